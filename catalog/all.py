@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
 from . import q_bills  # noqa: F401
+from . import q_series  # noqa: F401

@@ -56,3 +56,76 @@ def factors(ws: Workspace) -> DataFrame:
 
 def hist(ws: Workspace) -> DataFrame:
     return ws.stage("hist", lambda: accounts.agg_hist(fact(ws), cmap(ws), geo(ws), size(ws), factors(ws)))
+
+
+# -- series -----------------------------------------------------------------
+
+from metermill.operators import covariates, rebalance, territory  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+
+def overrides(ws: Workspace) -> DataFrame:
+    return territory.override_table(ws.spark, ws.params.base)
+
+
+def stage1(ws: Workspace) -> DataFrame:
+    return ws.stage("stage1", lambda: territory.agg_series_month(hist(ws), overrides(ws), ws.params.base))
+
+
+def mun_volume(ws: Workspace) -> DataFrame:
+    return territory.agg_municipality_12m(stage1(ws), ws.params.base)
+
+
+def abc(ws: Workspace) -> DataFrame:
+    return ws.stage("abc", lambda: territory.prj_abc(mun_volume(ws), ws.params.base))
+
+
+def stats(ws: Workspace) -> DataFrame:
+    return ws.stage("stats", lambda: territory.agg_series_stats(stage1(ws), ws.params.base))
+
+
+def valid(ws: Workspace) -> DataFrame:
+    return territory.rb_valid(stage1(ws), stats(ws))
+
+
+def joined8(ws: Workspace) -> DataFrame:
+    p, v = ws.params.base, valid(ws)
+    return rebalance.jn_using8(
+        rebalance.agg_bimester(v, p), rebalance.rb_share(v, p), rebalance.agg_neighbours(v, p), p
+    )
+
+
+def stage4(ws: Workspace) -> DataFrame:
+    return ws.stage("stage4", lambda: rebalance.rebalance(valid(ws), ws.params.base))
+
+
+def climate(ws: Workspace) -> DataFrame:
+    return ws.stage("climate", lambda: src.climate_monthly(ws.spark, ws.source))
+
+
+def jobs(ws: Workspace) -> DataFrame:
+    return ws.stage("jobs", lambda: src.jobs_monthly(ws.spark, ws.source))
+
+
+def price_index(ws: Workspace) -> DataFrame:
+    return ws.stage("price_index", lambda: src.price_index_monthly(ws.spark, ws.source))
+
+
+def jobs_filled(ws: Workspace) -> DataFrame:
+    b = stage4(ws)
+    grid = covariates.jn_calendar(
+        b.select("ibge_code").distinct(), territory.last_period(b), jobs(ws), ws.params.base
+    )
+    return covariates.win_locf(grid)
+
+
+def tariff(ws: Workspace) -> DataFrame:
+    p = ws.params.tariff
+    return covariates.agg_tariff(
+        covariates.adjustments(ws.spark, p), covariates.details(ws.spark, p),
+        covariates.win_cumprod(price_index(ws)), p,
+    )
+
+
+def base(ws: Workspace) -> DataFrame:
+    return ws.stage("base", lambda: covariates.jn_cov(stage4(ws), abc(ws), climate(ws), jobs_filled(ws), tariff(ws)))

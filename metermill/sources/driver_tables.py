@@ -55,13 +55,6 @@ def _pick(values: list, position: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), position)
 
 
-def _lookup(col: Column, table: dict[str, str]) -> Column:
-    out = F.lit(None).cast("string")
-    for k, v in table.items():
-        out = F.when(col == k, v).otherwise(out)
-    return out
-
-
 def account_id(key) -> Column:
     k = F.col(key) if isinstance(key, str) else key
     return F.when(k % 97 == 0, NO_ACCOUNT).when(k % 101 == 1, None).otherwise(k.cast("string"))
@@ -86,18 +79,26 @@ def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(c, F.col("o_custkey") == F.col("c_custkey"))
         .join(p, F.col("l_partkey") == F.col("p_partkey"))
     )
-    seg, kind, line = F.col("c_mktsegment"), F.col("p_type"), F.col("l_linenumber")
-    brand = F.substring("p_brand", 7, 3).cast("int")
+    # code strings come from two small VALUES lists instead of long CASE chains
+    items = relation(
+        spark, [("i_segment", "string"), ("i_brand", "string"), ("item", "string")],
+        [(k, f"Brand#{n}", code) for k, codes in ITEMS_BY_SEGMENT.items() for n, code in enumerate(codes, 1)],
+    )
+    classes = relation(
+        spark, [("k_segment", "string"), ("k_type", "string"), ("k_class", "string")],
+        [(k, t, v) for k in ITEMS_BY_SEGMENT for t, v in CLASS_BY_SEGMENT.get(k, CLASS_BY_SEGMENT["RES"]).items()],
+    )
+    j = j.join(
+        F.broadcast(items), (F.col("c_mktsegment") == F.col("i_segment")) & (F.col("p_brand") == F.col("i_brand")), "left"
+    ).join(
+        F.broadcast(classes), (F.col("c_mktsegment") == F.col("k_segment")) & (F.col("p_type") == F.col("k_type")), "left"
+    )
+    seg, kind, line, item = F.col("c_mktsegment"), F.col("p_type"), F.col("l_linenumber"), F.col("item")
+    brand = F.col("p_brand")
     residential = seg.isin("HOUSEHOLD", "FURNITURE")
-
-    item = F.lit(None).cast("string")
-    for s, codes in ITEMS_BY_SEGMENT.items():
-        item = F.when(seg == s, _pick(codes, brand)).otherwise(item)
     class_code = F.when(
         residential & (kind == "ECONOMY"), F.when(line == 5, "SB_SOC_50_4").otherwise("SB_SOC_50_1")
-    ).when(residential, _lookup(kind, CLASS_BY_SEGMENT["RES"]))
-    for s in ("BUILDING", "MACHINERY", "AUTOMOBILE"):
-        class_code = class_code.when(seg == s, _lookup(kind, CLASS_BY_SEGMENT[s]))
+    ).otherwise(F.col("k_class"))
     supp = F.col("l_suppkey") % 11
     product = (
         F.when(residential & (supp == 0), "SB_SOCIAL_2_SR")
@@ -110,9 +111,9 @@ def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     usage = (
         F.when(residential, "1")
-        .when((seg == "BUILDING") & (brand == 17), "5")
+        .when((seg == "BUILDING") & (brand == "Brand#17"), "5")
         .when(seg == "BUILDING", "2")
-        .when((seg == "MACHINERY") & brand.isin(19, 21), "9")
+        .when((seg == "MACHINERY") & brand.isin("Brand#19", "Brand#21"), "9")
         .when(seg == "MACHINERY", "3")
         .otherwise("4")
     )
@@ -122,7 +123,7 @@ def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sewage_item = F.when(
         sewage & item.isNotNull(),
-        F.when(brand == 25, "SB_ESG_ND_ESP_4F").otherwise(
+        F.when(brand == "Brand#25", "SB_ESG_ND_ESP_4F").otherwise(
             F.concat(F.lit("SB_ESGOTO_"), item, F.when(kind == "PROMO", "_D").otherwise(""))
         ),
     )
