@@ -62,6 +62,9 @@ def build(sql: str) -> str:
 
     for name in _needs(sql):
         visit(name, ())
+    sql = sql.strip()
     if not order:
-        return sql.strip()
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + sql.strip()
+        return sql
+    if sql.startswith("WITH "):  # the query's own expressions follow the shared ones
+        sql = "," + sql[5:]
+    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + sql

@@ -45,8 +45,8 @@ def parse_pt_month(label) -> Column:
 def parse_period(text) -> Column:
     """AAAAMM, ISO date or ISO timestamp text -> first of month."""
     c = F.trim(as_column(text).cast("string"))
-    six = F.when(c.rlike(r"^\d{6}$"), F.try_to_date(F.concat(c, F.lit("01")), F.lit("yyyyMMdd")))
-    iso = F.try_to_date(F.substring(c, 1, 10), F.lit("yyyy-MM-dd"))
+    six = F.when(c.rlike(r"^\d{6}$"), F.try_to_date(F.concat(c, F.lit("01")), "yyyyMMdd"))
+    iso = F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd")
     return F.trunc(F.coalesce(six, iso), "month")
 
 
