@@ -368,9 +368,9 @@ def _(ws):
 
 @query("dq_compare", f"""
 WITH n AS (SELECT ibge_code, period, temp_med * 1.01 AS temp_med, prec_tot + 0.5 AS prec_tot FROM climate),
-j AS (SELECT n.temp_med AS bt, o.temp_med AS at, n.prec_tot AS bp, o.prec_tot AS ap FROM climate_old o JOIN n USING (ibge_code, period))
-SELECT 'temp_med' AS variable, 'climate' AS "table", count(*) AS common_keys, {r("avg(abs(bt - at))", 6)} AS mean_diff, {r("max(abs(bt - at))", 6)} AS max_diff, {r("corr(at, bt)", 6)} AS corr FROM j
-UNION ALL SELECT 'prec_tot', 'climate', count(*), {r("avg(abs(bp - ap))", 6)}, {r("max(abs(bp - ap))", 6)}, {r("corr(ap, bp)", 6)} FROM j""")
+j AS (SELECT n.temp_med AS tn, o.temp_med AS tp, n.prec_tot AS pn, o.prec_tot AS pp FROM climate_old o JOIN n USING (ibge_code, period))
+SELECT 'temp_med' AS variable, 'climate' AS "table", count(*) AS common_keys, {r("avg(abs(tn - tp))", 6)} AS mean_diff, {r("max(abs(tn - tp))", 6)} AS max_diff, {r("corr(tp, tn)", 6)} AS corr FROM j
+UNION ALL SELECT 'prec_tot', 'climate', count(*), {r("avg(abs(pn - pp))", 6)}, {r("max(abs(pn - pp))", 6)}, {r("corr(pp, pn)", 6)} FROM j""")
 def _(ws):
     new = st.climate(ws).withColumns({"temp_med": F.col("temp_med") * 1.01, "prec_tot": F.col("prec_tot") + 0.5})
     return out(covariates.dq_compare(climate_old(ws), new, ["ibge_code", "period"], ["temp_med", "prec_tot"], "climate"), 6)

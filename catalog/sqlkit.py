@@ -67,4 +67,4 @@ def build(sql: str) -> str:
         return sql
     if sql.startswith("WITH "):  # the query's own expressions follow the shared ones
         sql = "," + sql[5:]
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + sql
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + sql

@@ -129,3 +129,74 @@ def tariff(ws: Workspace) -> DataFrame:
 
 def base(ws: Workspace) -> DataFrame:
     return ws.stage("base", lambda: covariates.jn_cov(stage4(ws), abc(ws), climate(ws), jobs_filled(ws), tariff(ws)))
+
+
+# -- model series -----------------------------------------------------------
+
+from metermill.operators import forecast as fcs  # noqa: E402
+from metermill.operators import series  # noqa: E402
+
+
+def train_end(ws: Workspace):
+    return fcs.shift_date(ws.params.backtest.cut, -1)
+
+
+def test_end(ws: Workspace):
+    return fcs.shift_date(ws.params.backtest.cut, ws.params.backtest.horizon - 1)
+
+
+def mbase(ws: Workspace) -> DataFrame:
+    return ws.stage("mbase", lambda: series.model_base(base(ws), ws.params.backtest, ws.params.grouping))
+
+
+def exog(ws: Workspace) -> DataFrame:
+    return ws.stage("exog", lambda: series.ts_exog_fill(mbase(ws)))
+
+
+def key_rows(ws: Workspace, target: str = "med_agua") -> DataFrame:
+    """Series of a target cleaned on the training window."""
+    b = ws.params.backtest
+    return ws.stage(
+        f"keys_{target}",
+        lambda: series.ts_key_prep(mbase(ws), target, train_end(ws), b.treat_outliers, b.clean_units),
+    )
+
+
+def peaked(ws: Workspace, target: str = "med_agua") -> DataFrame:
+    b = ws.params.backtest
+    return series.ts_peaks(key_rows(ws, target), train_end(ws), b.peak_factor, b.peak_months)
+
+
+def grouped(ws: Workspace, target: str = "med_agua") -> DataFrame:
+    b = ws.params.backtest
+    return series.prj_grouping(peaked(ws, target), b.groupings, ws.params.grouping)
+
+
+def ts(ws: Workspace, target: str = "med_agua") -> DataFrame:
+    return ws.stage(f"ts_{target}", lambda: series.ts_group(grouped(ws, target), exog(ws)))
+
+
+def info(ws: Workspace, target: str = "med_agua") -> DataFrame:
+    return ws.stage(
+        f"info_{target}", lambda: series.agg_series_info(ts(ws, target), train_end(ws), ws.params.backtest.min_obs)
+    )
+
+
+def test_rows(ws: Workspace) -> DataFrame:
+    first, last = ws.params.backtest.cut, test_end(ws)
+    return ts(ws).where(F.col("period").between(F.lit(first), F.lit(last)) & ~F.col("filled"))
+
+
+def test_grid(ws: Workspace) -> DataFrame:
+    return test_rows(ws).select(*series.GROUPED, "period")
+
+
+def scenarios(ws: Workspace) -> DataFrame:
+    """Realised and ex-ante scenarios of the test months."""
+
+    def make():
+        real = fcs.sc_realized(ts(ws), ws.params.backtest.cut, test_end(ws))
+        ante = fcs.sc_exante(ts(ws), real.select(*series.GROUPED, "period"), train_end(ws))
+        return real.unionByName(ante)
+
+    return ws.stage("scenarios", make)

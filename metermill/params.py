@@ -194,6 +194,7 @@ def driver_scale() -> Params:
         grouping=replace(p.grouping, capital="NATION_0", by_office=("NATION_0", "NATION_1", "NATION_2")),
         backtest=replace(
             p.backtest,
+            segment="Todos", categories=rules.SIZE_CATEGORIES,
             cut=date(2000, 12, 1), merged_months=((date(2001, 3, 1), date(2001, 4, 1)),),
             models=("snaive", "arima_0", "arima_2", "arima_2_sem_drift", "vol_arima_2"),
         ),
