@@ -5,3 +5,4 @@ from . import q_series  # noqa: F401
 from . import q_quality  # noqa: F401
 from . import q_sources  # noqa: F401
 from . import q_model  # noqa: F401
+from . import q_eval  # noqa: F401

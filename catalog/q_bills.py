@@ -208,7 +208,7 @@ def _(ws):
         F.sum(F.col("vol_meas_water").cast("double") * F.col("f_meas_water")).alias("vol"),
         F.min("f_meas_water").alias("factor"),
     )
-    return out(out(g, 6).withColumn("vol", F.col("vol")), 6).withColumn("vol", F.round("vol", 4))
+    return out(g, 6, vol=4)
 
 
 @query("jn_large", f"""

@@ -52,7 +52,7 @@ SELECT series_key, period, {r("sum(vol_meas_water)", 4)} AS vol_meas_water, {r("
 FROM base GROUP BY 1, 2""")
 def _(ws):
     g = series.agg_sum_na(st.base(ws)).select("series_key", "period", "vol_meas_water", "units_water", "jobs")
-    return out(out(g).withColumn("jobs", F.round("jobs", 2)))
+    return out(g, jobs=2)
 
 
 @query("prj_size_mode", f"""
@@ -210,7 +210,7 @@ def _(ws):
     from metermill.operators import reports
 
     g = reports.agg_base_mix(st.mbase(ws))
-    return out(out(g, 6).withColumn("vol", F.round("vol", 3)), 6)
+    return out(g, 6, vol=3)
 
 
 # -- groupings --------------------------------------------------------------
@@ -350,8 +350,7 @@ SELECT {K5}, jobs_last, CASE WHEN j13 > 0 THEN pow(jobs_last / j13, 1.0::DOUBLE
 
 @query("agg_jobs_trend", f"SELECT {K5}, {r('jobs_last', 2)} AS jobs_last, {r('g', 6)} AS g FROM jtrend")
 def _(ws):
-    t = out(fcs.agg_jobs_trend(st.ts(ws), st.train_end(ws)), 6)
-    return t.withColumn("jobs_last", F.round("jobs_last", 2))
+    return out(fcs.agg_jobs_trend(st.ts(ws), st.train_end(ws)), 6, jobs_last=2)
 
 
 TESTP = f"period BETWEEN {lit(CUT)} AND {lit(TEST_END)}"
@@ -369,7 +368,7 @@ SC = f"SELECT {K5}, period, scenario, {r('temp_med', 4)} AS temp_med, {r('prec_t
 
 def sc_out(df):
     df = df.select(*GROUPED, "period", "scenario", "temp_med", "prec_tot", "jobs")
-    return out(out(df).withColumn("jobs", F.round("jobs", 2)))
+    return out(df, jobs=2)
 
 
 @query("sc_exante", SC + " WHERE scenario <> 'realizado'")
@@ -390,8 +389,7 @@ FROM scen LEFT JOIN info USING ({K5}) GROUP BY 1, 2, 3"""
 
 
 def summ_out(ws):
-    s = out(fcs.sc_summary(st.scenarios(ws), st.info(ws)), 5)
-    return s.withColumn("jobs", F.round("jobs", 2))
+    return out(fcs.sc_summary(st.scenarios(ws), st.info(ws)), 5, jobs=2)
 
 
 @query("sc_summary", SUMM)
@@ -449,9 +447,9 @@ cte("segm", f"SELECT grouping, region_adj, category_detail, territory, sum(vol_a
 cte("catm", f"SELECT grouping, category_detail, territory, sum(vol_adj) / sum(units_adj) AS ccat FROM ts_obs WHERE {REC} GROUP BY ALL")
 cte("tgrid", f"SELECT {K5}, period FROM ts WHERE {TESTP} AND NOT filled")
 cte("fb", f"""
-SELECT g.*, o.consumption AS csn, c12, cseg, ccat, coalesce(o.consumption, c12, cseg, ccat) AS cfb FROM tgrid g
-LEFT JOIN ts_obs o ON {" AND ".join(f'g.{k} = o.{k}' for k in ("grouping", "region_adj", '"group"', "category_detail", "territory"))}
-  AND o.period = g.period - to_months(CAST(12 * ceil(datediff('month', {lit(TRAIN)}, g.period) / 12.0) AS INTEGER))
+SELECT g.* EXCLUDE (src), o.consumption AS csn, c12, cseg, ccat, coalesce(o.consumption, c12, cseg, ccat) AS cfb
+FROM (SELECT *, CAST(period - to_months(CAST(12 * ceil(datediff('month', {lit(TRAIN)}, period) / 12.0) AS INTEGER)) AS DATE) AS src FROM tgrid) g
+LEFT JOIN (SELECT {K5}, period AS src, consumption FROM ts_obs) o USING ({K5}, src)
 LEFT JOIN mean12 USING ({K5}) LEFT JOIN segm USING (grouping, region_adj, category_detail, territory) LEFT JOIN catm USING (grouping, category_detail, territory)""")
 
 
@@ -520,7 +518,7 @@ damped_sql("lvl", LVL, fcs.shift_date(HIST, 1), PJ.last_period, PJ.min_obs_units
 def _(ws):
     lvl = list(ws.params.projection.units_level)
     now = st.peaked(ws).where(F.col("period") == F.lit(st.test_end(ws))).select("series_key", *lvl, F.col("units_adj").alias("units_last"))
-    return out(out(fcs.agg_units_part(now, lvl, "units_last"), 6).withColumn("units_last", F.round("units_last", 4)), 6)
+    return out(fcs.agg_units_part(now, lvl, "units_last"), 6, units_last=4)
 
 
 @query("fc_damped", f"SELECT {LVL}, period, i AS candidate, {r('forecast', 4)} AS forecast FROM ud_fc")

@@ -167,9 +167,7 @@ def _(ws):
 @query("jn_using8", f"SELECT {o.S8}, {r('s', 6)} AS s, {r('vol_meas_water', 4)} AS vol_meas_water, {r('near_vol_meas_water', 4)} AS near_vol_meas_water FROM bim_near")
 def _(ws):
     j = st.joined8(ws).select(*SERIES_SIZE, "s", "vol_meas_water", "near_vol_meas_water")
-    return out(out(j, 6).withColumns({c: F.col(c) for c in ()}), 6).withColumns(
-        {c: F.round(c, 4) for c in ("vol_meas_water", "near_vol_meas_water")}
-    )
+    return out(j, 4, s=6)
 
 
 GRP = [f"group_{v}" for v in o.VOL4] + [f"group_near_{v}" for v in o.VOL4]

@@ -32,10 +32,11 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def out(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Result form: decimals and doubles as rounded doubles."""
+def out(df: DataFrame, digits: int = 4, **per: int) -> DataFrame:
+    """Result form: decimals and doubles as rounded doubles; ``per`` gives
+    single columns their own digits."""
     fixed = {
-        f.name: snap_round(F.col(f"`{f.name}`"), digits)
+        f.name: snap_round(F.col(f"`{f.name}`"), per.get(f.name, digits))
         for f in df.schema.fields
         if f.dataType.typeName() in ("double", "float", "decimal")
     }
