@@ -13,7 +13,7 @@ from metermill.plans.workspace import Workspace, workspace
 from .sqlkit import build
 
 QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+_RAW: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -26,12 +26,17 @@ def query(name: str, sql: str | None = None):
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = build(sql)
+            _RAW[name] = sql
         return fn
 
     return deco
 
 
+def oracles() -> dict[str, str]:
+    """Complete statements, built once every shared expression is known."""
+    return {name: build(sql) for name, sql in _RAW.items()}
+
+
 def out(df: DataFrame, digits: int = 4, **per: int) -> DataFrame:
     """Result form: decimals and doubles as rounded doubles; ``per`` gives
     single columns their own digits."""
