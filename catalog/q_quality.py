@@ -194,14 +194,14 @@ def _(ws):
 
 
 @query("dq_d6", f"""
-WITH cand AS (SELECT account, "year", "month", CAST(sum(vol_meas_water) AS DOUBLE) AS vol, CAST(sum(vol_bill_water) AS DOUBLE) AS vol_bill, max(office) AS office,
+WITH d6 AS (SELECT account, "year", "month", CAST(sum(vol_meas_water) AS DOUBLE) AS vol, CAST(sum(vol_bill_water) AS DOUBLE) AS vol_bill, max(office) AS office,
     max(category_code) AS category_code, max(units_water) AS units, {big("sum(n_bills)")} AS bills
   FROM fact WHERE account IS NOT NULL AND account <> '-1' GROUP BY 1, 2, 3 HAVING sum(vol_meas_water) >= {A.floor}),
-med AS (SELECT account, quantile_cont(meas_water, 0.5) AS median, count(*) AS months FROM acc_month WHERE account IN (SELECT account FROM cand) GROUP BY 1),
+med AS (SELECT account, quantile_cont(meas_water, 0.5) AS median, count(*) AS months FROM acc_month WHERE account IN (SELECT account FROM d6) GROUP BY 1),
 tot AS (SELECT "year", "month", CAST(sum(vol_meas_water) AS DOUBLE) AS t FROM fact GROUP BY 1, 2)
 SELECT c."year", c."month", account, office, category_code, units, bills, {r("vol", 4)} AS vol, {r("vol_bill", 4)} AS vol_bill, {r("median", 4)} AS median, months,
   {r("vol / greatest(median, 1)", 1)} AS ratio_median, {r("vol - median", 4)} AS excess, {r("100 * (vol - median) / t", 2)} AS pct_excess_month
-FROM cand c JOIN med USING (account) JOIN tot USING ("year", "month") WHERE vol >= {A.ratio} * greatest(median, 1)""")
+FROM d6 c JOIN med USING (account) JOIN tot USING ("year", "month") WHERE vol >= {A.ratio} * greatest(median, 1)""")
 def _(ws):
     return quality.dq_d6(st.fact(ws), ws.params.absurd)
 

@@ -23,7 +23,7 @@ PUBLISHED = [o._month(FIRST, k) for k in range(77)]  # jobs are published to May
 
 
 def land_json(ws, name, df):
-    path = ws.folder(f"landing/{name}")
+    path = ws.output(f"landing/{name}")
     df.write.mode("overwrite").json(path)
     return path
 
@@ -136,7 +136,7 @@ def jobs_sheet(ws):
     labels = landing.jobs_sheet_columns(len(names))
     sheet = wide.select(*[c.alias(l) for c, l in zip(cols, labels)])
     head = sheet.limit(1).select(*[F.lit("UF" if i == 0 else "Estoque").alias(l) for i, l in enumerate(labels)])
-    path = ws.folder("landing/jobs")
+    path = ws.output("landing/jobs")
     sheet.unionByName(head).write.mode("overwrite").csv(path)
     return ws.spark.read.schema(", ".join(f"{l} string" for l in labels)).csv(path)
 
@@ -169,7 +169,7 @@ BASE_CHECK = f"SELECT * {rounded(BASE_DBL)} FROM base"
 
 @query("src_csv_base", BASE_CHECK)
 def _(ws):
-    path = ws.folder("landing/base_csv")
+    path = ws.output("landing/base_csv")
     st.base(ws).write.mode("overwrite").option("header", True).csv(path)
     read = landing.src_csv_base(ws.spark, path)
     return out(landing.check_unique(read, ["series_key", "size_class", "period"]))
@@ -178,7 +178,7 @@ def _(ws):
 @query("src_csv_infer", f"""
 SELECT category_detail, CAST("year" AS INTEGER) AS "year", {r("sum(vol_meas_water)", 3)} AS vol FROM hist GROUP BY ALL""")
 def _(ws):
-    path = ws.folder("landing/hist_csv")
+    path = ws.output("landing/hist_csv")
     st.hist(ws).write.mode("overwrite").option("header", True).csv(path)
     old = landing.src_csv_infer(ws.spark, path)
     return out(old.groupBy("category_detail", "year").agg(F.sum("vol_meas_water").alias("vol")), 3)
@@ -211,7 +211,7 @@ def premise(ws):
     example = sheet.limit(1).select(*keep[:-1], F.lit("Exemplo de preenchimento").alias("Nota"))
     total = sheet.limit(1).select(F.lit("Total").alias("Categoria"), *keep[1:])
     head = sheet.limit(1).select(*[F.lit(c).alias(c) for c in sheet.columns])
-    path = ws.folder("landing/premise")
+    path = ws.output("landing/premise")
     sheet.unionByName(example).unionByName(total).unionByName(head).write.mode("overwrite").option("header", True).csv(path)
     return landing.src_premise(ws.spark.read.option("header", True).csv(path))
 
@@ -252,7 +252,7 @@ def ext_raw(ws):
         F.when(F.col("municipality") == ws.params.grouping.capital, "M").otherwise(F.col("region")).alias("regiao"),
         "vol_med_agua", "econ_agua",
     ).unpivot(["tp", "periodo", "categoria", "regiao"], ["vol_med_agua", "econ_agua"], "var", "valor")
-    path = ws.folder("landing/external")
+    path = ws.output("landing/external")
     rows.write.mode("overwrite").option("header", True).csv(path)
     from metermill import schemas
 
@@ -290,7 +290,7 @@ def _(ws):
 SELECT ibge_code, period, CASE WHEN period >= DATE '2001-01-01' THEN {r("temp_med + 1", 6)} ELSE temp_med END AS temp_med, prec_tot
 FROM (SELECT * FROM climate_old UNION SELECT ibge_code, period, temp_med, prec_tot FROM climate WHERE period >= DATE '2001-01-01')""")
 def _(ws):
-    path, keys = ws.folder("tables/climate"), ["ibge_code", "period"]
+    path, keys = ws.output("tables/climate"), ["ibge_code", "period"]
     cols = ["ibge_code", "period", "temp_med", "prec_tot"]
     incremental.snk_upsert(ws.spark, climate_old(ws).select(*cols), path, 0, keys)
     new = st.climate(ws).where(F.col("period") >= F.lit(date(2001, 1, 1))).select(
@@ -308,23 +308,23 @@ def by_month(df):
 
 @query("snk_replace", FACT_MONTH)
 def _(ws):
-    return by_month(sinks.snk_replace(st.hist(ws), ws.folder("tables/hist")))
+    return by_month(sinks.snk_replace(st.hist(ws), ws.output("tables/hist")))
 
 
 @query("snk_overwrite", FACT_MONTH)
 def _(ws):
-    return by_month(sinks.snk_overwrite(st.hist(ws), ws.folder("tables/hist_overwrite")))
+    return by_month(sinks.snk_overwrite(st.hist(ws), ws.output("tables/hist_overwrite")))
 
 
 @query("snk_snapshot", FACT_MONTH)
 def _(ws):
-    sinks.snk_overwrite(st.hist(ws), ws.folder("tables/hist_live"))
-    return by_month(sinks.snk_snapshot(ws.spark, ws.folder("tables/hist_live"), ws.folder("tables/hist_bkp")))
+    sinks.snk_overwrite(st.hist(ws), ws.output("tables/hist_live"))
+    return by_month(sinks.snk_snapshot(ws.spark, ws.output("tables/hist_live"), ws.output("tables/hist_bkp")))
 
 
 @query("snk_csv", BASE_CHECK)
 def _(ws):
-    path = sinks.snk_csv(st.base(ws), ws.folder("export"), ["series_key", "size_class", "period"])
+    path = sinks.snk_csv(st.base(ws), ws.output("export"), ["series_key", "size_class", "period"])
     return out(landing.src_csv_base(ws.spark, path))
 
 
@@ -336,7 +336,7 @@ def _(ws):
 @query("snk_bundle", """
 SELECT 'abc' AS name, count(*) AS n FROM abc UNION ALL SELECT 'stats', count(*) FROM stats UNION ALL SELECT 'factors', count(*) FROM factors""")
 def _(ws):
-    paths = sinks.snk_bundle({"abc": st.abc(ws), "stats": st.stats(ws), "factors": st.factors(ws)}, ws.folder("bundle"))
+    paths = sinks.snk_bundle({"abc": st.abc(ws), "stats": st.stats(ws), "factors": st.factors(ws)}, ws.output("bundle"))
     res = None
     for name, p in paths.items():
         row = ws.spark.read.parquet(p).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
@@ -354,7 +354,7 @@ def _(ws):
     n, last = st.base(ws).agg(F.countDistinct("period"), F.max("period")).first()
     rows = [("Meses do histórico", str(n)), ("Histórico até", str(last)), ("Reajuste nominal", str(p.adjustment)),
             ("IPCA projetado (a.a.)", str(p.inflation)), ("Cenário principal", p.main_scenario)]
-    return sinks.snk_params(ws.spark, rows, ws.folder("params"))
+    return sinks.snk_params(ws.spark, rows, ws.output("params"))
 
 
 @query("snk_nan", f"""
@@ -362,7 +362,7 @@ SELECT account, {r("avg(CASE WHEN meas_water > 0 THEN bill_water / meas_water EN
 def _(ws):
     m = accounts.account_months(st.fact(ws).where("account IS NOT NULL AND account <> '-1'"))
     price = F.when(F.col("meas_water") > 0, F.col("bill_water") / F.col("meas_water")).otherwise(F.lit(float("nan")))
-    clean = sinks.snk_overwrite(m.withColumn("price", price), ws.folder("tables/prices"))
+    clean = sinks.snk_overwrite(m.withColumn("price", price), ws.output("tables/prices"))
     return out(clean.groupBy("account").agg(F.avg("price").alias("mean_price")))
 
 

@@ -78,6 +78,12 @@ def _fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row])
 
 
+def _tasks(df: DataFrame) -> int:
+    """Fits cost CPU, not bytes: keep every shuffle partition instead of letting
+    small ones merge."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def fc_fit(train: DataFrame, models: Sequence[str]) -> DataFrame:
     """Parameters of every eligible series x model, one row each.
 
@@ -87,7 +93,8 @@ def fc_fit(train: DataFrame, models: Sequence[str]) -> DataFrame:
     rows = train.select(
         *GROUPED, month_index("period").alias("period_no"), *cols, F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
     )
-    return rows.groupBy(*GROUPED, "model").applyInPandas(_fit_one, FIT_DDL)
+    spread = rows.repartition(_tasks(train), *GROUPED, "model")
+    return spread.groupBy(*GROUPED, "model").applyInPandas(_fit_one, FIT_DDL)
 
 
 def _predict_series(fits: pd.DataFrame, scen: pd.DataFrame) -> pd.DataFrame:
@@ -126,7 +133,9 @@ def fc_predict(fits: DataFrame, scenarios: DataFrame) -> DataFrame:
     scen = scenarios.select(
         *GROUPED, "period", month_index("period").alias("period_no"), "scenario", *TERM_OF
     )
-    slim = fits.drop("residuals")
+    n = _tasks(fits)
+    slim = fits.drop("residuals").repartition(n, *GROUPED)
+    scen = scen.repartition(n, *GROUPED)
     return slim.groupBy(*GROUPED).cogroup(scen.groupBy(*GROUPED)).applyInPandas(_predict_series, FORECAST_DDL)
 
 

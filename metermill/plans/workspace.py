@@ -49,6 +49,13 @@ class Workspace:
         root = shared_folder(self.spark)
         return f"{root}/{self.run_id}/{name}" if root else None
 
+    def output(self, name: str) -> str:
+        """Folder for files a caller asked for; needs a shared place."""
+        path = self.folder(name)
+        if path is None:
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
+        return path
+
     def stage(self, name: str, build: Callable[[], DataFrame], bucket_by: str | None = None) -> DataFrame:
         """The stage's table, built on first use."""
         if name not in self._built:
