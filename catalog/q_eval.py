@@ -84,7 +84,7 @@ def metric_sql():
     }
 
 
-MET = ", ".join(f"{r(e, 5)} AS {k}" for k, e in metric_sql().items()) + ", count(*) AS n"
+MET = ", ".join(f"{r(r(e, 8), 5)} AS {k}" for k, e in metric_sql().items()) + ", count(*) AS n"
 METRAW = ", ".join(f"{r(e, 8)} AS {k}" for k, e in metric_sql().items()) + ", count(*) AS n"
 
 

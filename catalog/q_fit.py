@@ -37,7 +37,11 @@ def train(ws):
 
 
 def fits(ws):
-    return ws.stage("fits", lambda: fit.fc_fit(train(ws), ws.params.backtest.models))
+    def make():
+        plan = fit.model_plan(st.info(ws).where("eligible"), ws.params.backtest.models)
+        return fit.fc_fit(train(ws), plan)
+
+    return ws.stage("fits", make)
 
 
 def fc(ws):
@@ -181,16 +185,13 @@ def project(ws):
     """Each category with its chosen grouping and model, all in one job."""
 
     def make():
-        p, b, end = ws.params.projection, ws.params.backtest, st.test_end(ws)
+        p, end = ws.params.projection, st.test_end(ws)
         ts = ts_proj(ws)
         info = series.agg_series_info(ts, end, p.min_obs_model)
         chosen = pj.chosen_series(info, choice(ws).where("chosen"))
-        models = [m for m in b.models if m not in rules.BENCHMARKS]
         hist = series.jn_semi_keys(ts.where(F.col("period") <= F.lit(end)), info.where("eligible"))
         grid = pj.project_grid(chosen, end, p.last_period, p.scenarios)
-        # one fit per chosen series: the model list narrows to the choice
-        fitted = fit.fc_fit(hist.join(chosen.select(*GROUPED), GROUPED, "left_semi"), models)
-        fitted = fitted.join(chosen.select(*GROUPED, "model"), [*GROUPED, "model"], "left_semi")
+        fitted = fit.fc_fit(hist, chosen)  # only the chosen model of each series
         months = chosen.select(*GROUPED).crossJoin(F.broadcast(grid.select("period").distinct()))
         scen = fcs.sc_exante(ts, months, end)
         nino = fcs.sc_apply(scen.where("scenario = 'base'"), fcs.sc_anomaly(ts, p), p, "el_nino")

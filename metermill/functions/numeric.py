@@ -75,7 +75,7 @@ def exact_quantiles(
 
     ``percentile`` keeps every distinct value of a group in one buffer.  Here a
     sketch of fixed size brackets each wanted rank; only rows inside a bracket
-    (about 4 in ``accuracy`` of the group) are ranked, the rest are counted.
+    (about 4 in ``accuracy`` of a large group) are ranked, the rest are counted.
     One row per key, one column per entry of ``probs``.
     """
     keys = list(keys)
@@ -98,8 +98,10 @@ def exact_quantiles(
     both = vals.join(edges, keys) if keys else vals.crossJoin(F.broadcast(edges))
     out = None
     for i, (name, p) in enumerate(probs.items()):
-        lo = F.col("_lo") if p - eps <= 0 else F.col("_e")[2 * i]
-        hi = F.col("_hi") if p + eps >= 1 else F.col("_e")[2 * i + 1]
+        # a small group is ranked whole: its bracket could miss a neighbour
+        small = F.col("_n") <= 4 * accuracy
+        lo = F.when(small | F.lit(p - eps <= 0), F.col("_lo")).otherwise(F.col("_e")[2 * i])
+        hi = F.when(small | F.lit(p + eps >= 1), F.col("_hi")).otherwise(F.col("_e")[2 * i + 1])
         below = F.sum(F.when(F.col(value) < lo, F.col("_c")).otherwise(0)).alias("_below")
         near = both.where((F.col(value) >= lo) & (F.col(value) <= hi))
         base = both.groupBy(*keys).agg(below, F.first("_n").alias("_n"))

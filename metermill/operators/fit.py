@@ -3,7 +3,7 @@ task fits one short monthly series at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ FIT_DDL = (
     "p_value array<double>, ar_lags array<int>, ar array<double>, ma_lags array<int>, ma array<double>, "
     "y_tail array<double>, x_tail array<double>, u_tail array<double>, e_tail array<double>, residuals array<double>"
 )
-FORECAST_DDL = KEY_DDL + ", scenario string, period date, forecast double"
+FIT_NAMES = [f.split()[0].strip("`") for f in FIT_DDL.split(", ")]
 TAIL = 26  # months a forecast looks back at most
 
 
@@ -35,47 +35,49 @@ def fc_catalog(names: Sequence[str] | None = None) -> list[tuple]:
     ]
 
 
-def _null(keys: dict) -> dict:
-    row = {f.split()[0].strip("`"): None for f in FIT_DDL.split(", ")}
-    return {**row, **keys, "spec": "NULL model", "fitted": False}
-
-
-def _fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("period_no")
-    keys = {c: pdf[c].iloc[0] for c in (*GROUPED, "model")}
-    spec = MODELS[keys["model"]]
+def _fit_one(s, spec) -> dict | None:
+    """Fields of one fit, or None.  ``s`` holds the series' months as arrays."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        y = np.log(pdf[spec.response].to_numpy(float))
-        x = np.log(pdf[list(spec.regressors)].to_numpy(float)).reshape(len(pdf), len(spec.regressors))
-    months = pdf["period_no"].to_numpy() % 12 + 1
-    last = int(pdf["period_no"].iloc[-1])
+        y = np.log(np.asarray(getattr(s, spec.response), float))
+        cols = [np.asarray(getattr(s, c), float) for c in spec.regressors]
+        x = np.log(np.column_stack(cols)) if cols else np.zeros((len(y), 0))
+    months = np.asarray(s.period_no, int)
+    last = int(months[-1])
     if spec.seasonal_naive:
-        ok = len(y) >= reg.SEASON and np.isfinite(y[-reg.SEASON :]).all()
-        resid = y[reg.SEASON :] - y[: -reg.SEASON] if len(y) > reg.SEASON else np.zeros(0)
-        row = _null(keys)
-        if ok:
-            row.update(
-                spec="SNAIVE", fitted=True, sigma2=float(resid.var()) if len(resid) else 0.0, n_obs=len(y), n_arma=0,
-                last_month=last, y_tail=y[-reg.SEASON :].tolist(), residuals=resid.tolist(), columns=[], terms=[],
-            )
-        return pd.DataFrame([row])
+        if len(y) < reg.SEASON or not np.isfinite(y[-reg.SEASON :]).all():
+            return None
+        resid = y[reg.SEASON :] - y[: -reg.SEASON]
+        return {
+            "spec": "SNAIVE", "sigma2": float(resid.var()) if len(resid) else 0.0, "n_obs": len(y), "n_arma": 0,
+            "last_month": last, "y_tail": y[-reg.SEASON :], "residuals": resid, "columns": [], "terms": [],
+        }
     try:
-        m = reg.fit(y, x, months, spec.d, spec.seasonal_d, spec.constant)
+        m = reg.fit(y, x, months % 12 + 1, spec.d, spec.seasonal_d, spec.constant)
     except np.linalg.LinAlgError:
-        m = None
+        return None
     if m is None:
-        return pd.DataFrame([_null(keys)])
-    row = {
-        **keys, "spec": reg.spec_text(m, x.shape[1]), "fitted": True, "aicc": m["aicc"], "sigma2": m["sigma2"],
+        return None
+    return {
+        "spec": reg.spec_text(m, x.shape[1]), "aicc": m["aicc"], "sigma2": m["sigma2"],
         "n_obs": len(y), "n_arma": len(m["ar"][0]) + len(m["ma"][0]), "d": m["order"][1], "sd": m["order"][4],
         "last_month": last, "const": m["const"], "columns": list(spec.regressors),
-        "terms": [TERM_OF[c] for c in spec.regressors], "beta": m["beta"].tolist(),
+        "terms": [TERM_OF[c] for c in spec.regressors], "beta": m["beta"],
         "p_value": [None if np.isnan(v) else v for v in m["p_value"]],
-        "ar_lags": m["ar"][0], "ar": m["ar"][1].tolist(), "ma_lags": m["ma"][0], "ma": m["ma"][1].tolist(),
-        "y_tail": y[-TAIL:].tolist(), "x_tail": x[-TAIL:].ravel().tolist(), "u_tail": m["u"][-TAIL:].tolist(),
-        "e_tail": m["e"][-TAIL:].tolist(), "residuals": m["e"][reg.START :].tolist(),
+        "ar_lags": m["ar"][0], "ar": m["ar"][1], "ma_lags": m["ma"][0], "ma": m["ma"][1],
+        "y_tail": y[-TAIL:], "x_tail": x[-TAIL:].ravel(), "u_tail": m["u"][-TAIL:],
+        "e_tail": m["e"][-TAIL:], "residuals": m["e"][reg.START :],
     }
-    return pd.DataFrame([row])
+
+
+def _fit_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for s in pdf.itertuples(index=False):
+            keys = {c: getattr(s, c) for c in (*GROUPED, "model")}
+            got = _fit_one(s, MODELS[s.model])
+            rows.append({**keys, "spec": "NULL model", "fitted": got is not None, **(got or {})})
+        frame = pd.DataFrame(rows, columns=FIT_NAMES, dtype=object)
+        yield frame.where(frame.notna(), None)
 
 
 def _tasks(df: DataFrame) -> int:
@@ -84,59 +86,62 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def fc_fit(train: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Parameters of every eligible series x model, one row each.
+def model_plan(series: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Every series with every model of a list."""
+    return series.select(*GROUPED, F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
 
-    ``train`` holds the eligible series only; the group is one series' months.
-    """
-    cols = ["consumption", "volume", *TERM_OF]
-    rows = train.select(
-        *GROUPED, month_index("period").alias("period_no"), *cols, F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
-    )
-    spread = rows.repartition(_tasks(train), *GROUPED, "model")
-    return spread.groupBy(*GROUPED, "model").applyInPandas(_fit_one, FIT_DDL)
-
-
-def _predict_series(fits: pd.DataFrame, scen: pd.DataFrame) -> pd.DataFrame:
-    parts = []
-    for _, f in fits[fits["fitted"]].iterrows():
-        h0 = int(f["last_month"])
-        for name, s in scen.groupby("scenario"):
-            s = s.sort_values("period_no")
-            h = s["period_no"].to_numpy() - h0
-            if f["spec"] == "SNAIVE":
-                y = np.asarray(f["y_tail"], float)
-                value = np.exp(y[(h - 1) % reg.SEASON])
-            else:
-                cols = list(f["columns"])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    x = np.log(s[cols].to_numpy(float)).reshape(len(s), len(cols))
-                state = {
-                    "d": int(f["d"]), "sd": int(f["sd"]), "const": float(f["const"]), "sigma2": float(f["sigma2"]),
-                    "beta": np.asarray(f["beta"], float), "y_tail": list(f["y_tail"]), "u_tail": list(f["u_tail"]),
-                    "e_tail": list(f["e_tail"]), "ar": list(zip(f["ar_lags"], f["ar"])),
-                    "ma": list(zip(f["ma_lags"], f["ma"])),
-                    "x_tail": np.asarray(f["x_tail"], float).reshape(len(f["y_tail"]), len(cols)),
-                }
-                if len(h) == 0 or not (h == np.arange(1, len(h) + 1)).all():
-                    continue  # the forecast months must follow the history
-                value = reg.predict(state, x)
-            out = s[[*GROUPED, "scenario", "period"]].copy()
-            out["model"], out["forecast"] = f["model"], value
-            parts.append(out)
-    names = [*GROUPED, "model", "scenario", "period", "forecast"]
-    return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
+
+def _packed(rows: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """One row per key: its months as parallel arrays in time order.  A key has
+    one entry per calendar month, so the arrays are short."""
+    obs = F.array_sort(F.collect_list(F.struct("period_no", *cols)))
+    packed = rows.withColumn("period_no", month_index("period")).groupBy(*keys).agg(obs.alias("_o"))
+    return packed.select(*keys, *[F.col("_o").getField(c).alias(c) for c in ("period_no", *cols)])
+
+
+def fc_fit(train: DataFrame, plan: DataFrame) -> DataFrame:
+    """Parameters of every series x model of the plan, one row each."""
+    packed = _packed(train, GROUPED, ["consumption", "volume", *TERM_OF])
+    work = packed.join(plan.select(*GROUPED, "model"), GROUPED).repartition(_tasks(train), *GROUPED, "model")
+    return work.mapInPandas(_fit_batches, FIT_DDL)
+
+
+def _forecast(s) -> np.ndarray | None:
+    h = np.asarray(s.period_no, int) - int(s.last_month)
+    if s.spec == "SNAIVE":
+        return np.exp(np.asarray(s.y_tail, float)[(h - 1) % reg.SEASON])
+    if not (h == np.arange(1, len(h) + 1)).all():
+        return None  # the forecast months must follow the history
+    cols = list(s.columns_)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = np.log(np.column_stack([np.asarray(getattr(s, c), float) for c in cols])) if cols else np.zeros((len(h), 0))
+    state = {
+        "d": int(s.d), "sd": int(s.sd), "const": float(s.const_), "sigma2": float(s.sigma2),
+        "beta": np.asarray(s.beta, float), "y_tail": list(s.y_tail), "u_tail": list(s.u_tail), "e_tail": list(s.e_tail),
+        "ar": list(zip(s.ar_lags, s.ar)), "ma": list(zip(s.ma_lags, s.ma)),
+        "x_tail": np.asarray(s.x_tail, float).reshape(len(s.y_tail), len(cols)),
+    }
+    return reg.predict(state, x)
+
+
+def _predict_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        values = [_forecast(s) for s in pdf.itertuples(index=False)]
+        out = pdf[[*GROUPED, "model", "scenario", "period"]].copy()
+        out["forecast"] = pd.Series(values, index=out.index, dtype=object)
+        yield out
 
 
 def fc_predict(fits: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Forecasts per series x model x scenario, mean on the original scale."""
-    scen = scenarios.select(
-        *GROUPED, "period", month_index("period").alias("period_no"), "scenario", *TERM_OF
-    )
-    n = _tasks(fits)
-    slim = fits.drop("residuals").repartition(n, *GROUPED)
-    scen = scen.repartition(n, *GROUPED)
-    return slim.groupBy(*GROUPED).cogroup(scen.groupBy(*GROUPED)).applyInPandas(_predict_series, FORECAST_DDL)
+    scen = _packed(scenarios, [*GROUPED, "scenario"], ["period", *TERM_OF])
+    slim = fits.where("fitted").drop("residuals", "p_value", "terms", "aicc")
+    slim = slim.withColumnsRenamed({"columns": "columns_", "const": "const_"})
+    work = scen.join(slim, GROUPED).repartition(_tasks(fits), *GROUPED, "model", "scenario")
+    ddl = KEY_DDL + ", scenario string, period array<date>, forecast array<double>"
+    done = work.mapInPandas(_predict_batches, ddl).where(F.col("forecast").isNotNull())
+    cells = F.explode(F.arrays_zip("period", "forecast")).alias("c")
+    return done.select(*GROUPED, "model", "scenario", cells).select(*GROUPED, "model", "scenario", "c.period", "c.forecast")
 
 
 def raw_coefficients(fits: DataFrame) -> DataFrame:
