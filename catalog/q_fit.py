@@ -181,23 +181,47 @@ def ts_proj(ws):
     return ws.stage("ts_proj", lambda: series.ts_group(grouped, st.exog(ws)))
 
 
+def info_proj(ws):
+    p = ws.params.projection
+    return ws.stage("info_proj", lambda: series.agg_series_info(ts_proj(ws), st.test_end(ws), p.min_obs_model))
+
+
+def chosen_proj(ws):
+    return ws.stage("chosen_proj", lambda: pj.chosen_series(info_proj(ws), choice(ws).where("chosen")))
+
+
+def fits_proj(ws):
+    """One fit per series: only the chosen model, on the whole history."""
+
+    def make():
+        past = ts_proj(ws).where(F.col("period") <= F.lit(st.test_end(ws)))
+        return fit.fc_fit(series.jn_semi_keys(past, info_proj(ws).where("eligible")), chosen_proj(ws))
+
+    return ws.stage("fits_proj", make)
+
+
+def scenarios_proj(ws):
+    def make():
+        p, end, ts = ws.params.projection, st.test_end(ws), ts_proj(ws)
+        months = fcs.future_grid(chosen_proj(ws), GROUPED, fcs.shift_date(end, 1), p.last_period)
+        ante = ws.stage("exante_proj", lambda: fcs.sc_exante(ts, months, end))
+        return ante.unionByName(fcs.sc_apply(ante.where("scenario = 'base'"), fcs.sc_anomaly(ts, p), p, "el_nino"))
+
+    return ws.stage("scenarios_proj", make)
+
+
 def project(ws):
     """Each category with its chosen grouping and model, all in one job."""
 
     def make():
-        p, end = ws.params.projection, st.test_end(ws)
-        ts = ts_proj(ws)
-        info = series.agg_series_info(ts, end, p.min_obs_model)
-        chosen = pj.chosen_series(info, choice(ws).where("chosen"))
-        hist = series.jn_semi_keys(ts.where(F.col("period") <= F.lit(end)), info.where("eligible"))
-        grid = pj.project_grid(chosen, end, p.last_period, p.scenarios)
-        fitted = fit.fc_fit(hist, chosen)  # only the chosen model of each series
-        months = chosen.select(*GROUPED).crossJoin(F.broadcast(grid.select("period").distinct()))
-        scen = fcs.sc_exante(ts, months, end)
-        nino = fcs.sc_apply(scen.where("scenario = 'base'"), fcs.sc_anomaly(ts, p), p, "el_nino")
-        forecast = fit.fc_predict(fitted, scen.unionByName(nino))
+        p, end, ts = ws.params.projection, st.test_end(ws), ts_proj(ws)
+        grid = pj.project_grid(chosen_proj(ws), end, p.last_period, p.scenarios)
+        forecast = fit.fc_predict(fits_proj(ws), scenarios_proj(ws))
+        months = fcs.future_grid(chosen_proj(ws), GROUPED, fcs.shift_date(end, 1), p.last_period)
         fb = fcs.fc_fallback(ts, months, end)
-        return pj.fc_volume(grid, forecast, fb, info, units_group(ws), fcs.fc_tariff_factor(tariff_path(ws), ws.spark, p))
+        return pj.fc_volume(
+            grid, forecast, fb, info_proj(ws), units_group(ws), fcs.fc_tariff_factor(tariff_path(ws), ws.spark, p)
+        )
 
     return ws.stage("project", make)
 

@@ -564,7 +564,7 @@ SELECT category_detail, period, pow(tariff / tariff_ref, eps) AS factor, pow(tar
 
 
 def tariff_path(ws):
-    return fcs.fc_tariff_path(series.ts_tariff(st.mbase(ws)), st.test_end(ws), ws.params.projection)
+    return ws.stage("tariff_path", lambda: fcs.fc_tariff_path(series.ts_tariff(st.mbase(ws)), st.test_end(ws), ws.params.projection))
 
 
 @query("win_horizon", "SELECT category_detail, period, CAST(k AS INTEGER) AS k FROM tpath")
