@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ..functions.numeric import median, ratio, snap_round
+from ..functions.numeric import exact_quantiles, median, ratio, snap_round
 from ..functions.text import normalise_name
 from ..params import BacktestParams
 from ..rules import (
@@ -292,9 +292,7 @@ def agg_total_series(ts: DataFrame, cells: DataFrame, first: date) -> DataFrame:
 def win_iqr(coefs: DataFrame) -> DataFrame:
     """Flag coefficients outside Q1 - 2 IQR .. Q3 + 2 IQR of their model term."""
     keys = ["grouping", "model", "term"]
-    q = coefs.groupBy(*keys).agg(
-        F.percentile("estimate", F.lit(0.25)).alias("q1"), F.percentile("estimate", F.lit(0.75)).alias("q3")
-    )
+    q = exact_quantiles(coefs, keys, "estimate", {"q1": 0.25, "q3": 0.75})
     span = 2 * (F.col("q3") - F.col("q1"))
     out = (F.col("estimate") < F.col("q1") - span) | (F.col("estimate") > F.col("q3") + span)
     return coefs.join(q, keys).withColumn("outlier", out).drop("q1", "q3")
@@ -319,19 +317,18 @@ def el_coef(raw: DataFrame, train: DataFrame, terms: DataFrame) -> DataFrame:
 
 def el_summary(coefs: DataFrame, level: Sequence[str]) -> DataFrame:
     """Distribution of the elasticities, outliers aside."""
+    keys = ["grouping", "model", "variable", "term", *level]
     keep = ~F.col("outlier")
-    x = F.when(keep, F.col("estimate"))
     share = lambda c: F.avg(F.when(keep, F.col(c).cast("double")))
-    return coefs.groupBy("grouping", "model", "variable", "term", *level).agg(
+    g = coefs.groupBy(*keys).agg(
         F.count("*").alias("n_series"),
         F.count_if("outlier").alias("n_outliers"),
-        F.percentile(x, F.lit(0.5)).alias("median"),
         ratio(F.sum(F.when(keep, F.col("estimate") * F.col("weight"))), F.sum(F.when(keep, F.col("weight")))).alias("weighted_mean"),
-        F.percentile(x, F.lit(0.25)).alias("p25"),
-        F.percentile(x, F.lit(0.75)).alias("p75"),
         share("significant").alias("share_significant"),
         share("sign_ok").alias("share_expected_sign"),
     )
+    q = exact_quantiles(coefs.where(keep), keys, "estimate", {"median": 0.5, "p25": 0.25, "p75": 0.75})
+    return g.join(q, keys, "left")
 
 
 # -- diagnostics ------------------------------------------------------------
@@ -365,13 +362,13 @@ def dg_summary(diag: DataFrame, fallback_share: DataFrame, best: DataFrame) -> D
         frac(F.col("spec") == "NULL model").alias("share_null"),
         frac(F.col("spec").rlike(r"ARIMA\(\d,[1-9]")).alias("share_differenced"),
         frac(F.col("spec").rlike(r"\)\(")).alias("share_seasonal"),
-        F.percentile("aicc", F.lit(0.5)).alias("aicc_median"),
-        F.percentile(F.sqrt("sigma2"), F.lit(0.5)).alias("sd_median"),
         frac(F.col("lb_p_value") > 0.05).alias("share_lb_ok"),
-        F.percentile("wape", F.lit(0.5)).alias("wape_median"),
-        F.percentile("wape", F.lit(0.9)).alias("wape_p90"),
     )
     fb = fallback_share.where(F.col("fallback") != "modelo").groupBy(*keys).agg(F.sum("share").alias("share_fallback"))
+    for column, wanted in (
+        ("aicc", {"aicc_median": 0.5}), ("sd", {"sd_median": 0.5}), ("wape", {"wape_median": 0.5, "wape_p90": 0.9}),
+    ):
+        g = g.join(exact_quantiles(diag.withColumn("sd", F.sqrt("sigma2")), keys, column, wanted), keys, "left")
     rows = g.join(top_modes(diag, keys), keys, "left").join(fb, keys, "left")
     rows = rows.withColumn("share_fallback", F.coalesce("share_fallback", F.lit(0.0)))
     return jn_right(rows, best)
