@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import lines, mixing, quality
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,16 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(documents(spark, sf_dir))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(documents(spark, sf_dir))
+
+
+ORACLES["op9_line_dedup"] = lines.ORACLE
