@@ -25,7 +25,7 @@ from .shared import stored, word_count
 TOLERANCE = 1e-9
 ITERATIONS = 60
 #: Documents of one class that are ranked together.
-RANKED = 4096
+RANKED = 512
 #: Passes that correct the rounding.
 PASSES = 5
 
