@@ -70,6 +70,8 @@ class Lattice:
         nodes: dict[tuple[int, int], int] = {}
         emits = [-1]
         for t, symbols in enumerate(pieces):
+            if not symbols:  # no merges lead to it
+                continue
             at = 0
             for s in symbols:
                 to = nodes.get((at, s))

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, lm, minhash, mixing, quality, tokens
+from . import lines, lm, minhash, mixing, pieces, quality, tokens
 from .shared import documents
 
+
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -50,4 +57,11 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return tokens.with_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return tokens.with_counts(docs, tokenizer("byte_bpe_50k.json"), limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rows = pieces.encoded(docs, tokenizer("piece_bpe_32k.model"))
+    return rows.select("doc_id", F.greatest(F.size("sp_ids"), F.lit(0)).cast("long").alias("n_pieces"), F.coalesce("sp_bytes", F.lit(0)).cast("long").alias("n_bytes"), F.col("sp_ids").alias("ids"), F.col("sp_back").alias("decoded_sha256"), F.col("sp_same").alias("same"))
