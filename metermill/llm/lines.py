@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import stored, word_count
+from .shared import of_row, packed, stored, unpacked, word_count
 
 #: Distinct sites from which on a line is boilerplate, and the fewest words of a line that counts.
 MIN_SITES, MIN_WORDS = 5, 3
@@ -62,7 +62,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
 
 
 def _with_gone(docs: DataFrame, id_col: str, text_col: str, source_col: str, min_sites: int, min_words: int) -> DataFrame:
-    """``docs`` with ln_gone: the keys of the lines that leave each document (null: none)."""
+    """``row`` and ln_gone: the keys of the lines that leave each document (null: none)."""
     lines = _exploded(docs, id_col, text_col, source_col, min_words)
     found = boilerplate(lines, min_sites)
     gone = (
@@ -70,20 +70,20 @@ def _with_gone(docs: DataFrame, id_col: str, text_col: str, source_col: str, min
         .groupBy("ln_id", "ln_text").agg(F.collect_set("ln_key").alias("ln_gone"))
         .withColumnsRenamed({"ln_id": "ln_gone_id", "ln_text": "ln_gone_text"})
     )
-    d = docs.withColumn("ln_text", _text_key(F.col(f"`{text_col}`")))
-    return d.join(stored(gone, "gone"), F.col(f"`{id_col}`").eqNullSafe(F.col("ln_gone_id")) & (F.col("ln_text") == F.col("ln_gone_text")), "left")
+    d = packed(docs).withColumns({"ln_text": _text_key(of_row(text_col)), "ln_id": of_row(id_col)})
+    return d.join(stored(gone, "gone"), F.col("ln_id").eqNullSafe(F.col("ln_gone_id")) & (F.col("ln_text") == F.col("ln_gone_text")), "left")
 
 
 def _stay(text_col: str) -> Column:
     """The lines of a document that stay (null for a null text)."""
-    every = _lines(F.col(f"`{text_col}`"))
+    every = _lines(of_row(text_col))
     return F.when(F.col("ln_gone").isNull(), every).otherwise(F.filter(every, lambda x: ~F.array_contains(F.col("ln_gone"), _key(x))))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """A row per document: doc_id, lines before and after, words after, and the MD5 of the cleaned text."""
     d = _with_gone(docs, id_col, text_col, source_col, min_sites, min_words)
-    d = d.select(F.col(f"`{id_col}`").alias("doc_id"), F.greatest(F.size(_lines(F.col(f"`{text_col}`"))), F.lit(0)).cast("long").alias("n_lines"), _stay(text_col).alias("stay"))
+    d = d.select(F.col("ln_id").alias("doc_id"), F.greatest(F.size(_lines(of_row(text_col))), F.lit(0)).cast("long").alias("n_lines"), _stay(text_col).alias("stay"))
     rest = F.array_join("stay", "\n")
     return d.select("doc_id", "n_lines", F.greatest(F.size("stay"), F.lit(0)).cast("long").alias("n_kept"), word_count(rest).alias("n_words"), F.md5(rest.cast("binary")).alias("text_md5"))
 
@@ -93,7 +93,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     d = _with_gone(docs, id_col, text_col, source_col, min_sites, min_words).withColumn("ln_rest", F.array_join(_stay(text_col), "\n"))
     if drop_emptied:
         d = d.filter(F.col("ln_gone").isNull() | F.coalesce(word_count(F.col("ln_rest")) > 0, F.lit(False)))
-    return d.select(*[F.col("ln_rest").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(d, docs.columns, **{text_col: F.col("ln_rest")})
 
 
 #: The same rows as ``report`` of the documents table.

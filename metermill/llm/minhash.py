@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .shared import prepare, stored
+from .shared import of_row, packed, prepare, stored, unpacked
 from .text import U, Words, mixed, slices
 
 BANDS, ROWS = 32, 5
@@ -201,4 +201,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """The documents that stay: of each component the one with the smallest id."""
     gone = stored(near_duplicates(docs, id_col, text_col, shingle, threshold).filter("not kept").select(F.col("doc_id").alias("mh_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("mh_gone"), "left_anti")
+    return unpacked(packed(docs).join(gone, of_row(id_col) == F.col("mh_gone"), "left_anti"), docs.columns)

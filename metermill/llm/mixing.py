@@ -12,14 +12,14 @@ what is missing with the largest documents that fit.  Inside a class a keyed has
 
 Defined results: null and empty texts have size 0, keep one copy and take no words; a null source is a source of its
 own, last in order; repeated rows (same id, source and size) share their copies decision; an empty table gives an empty
-table; columns besides id, text and source pass through ``mix`` untouched, its own columns start with ``mix_``.
+table; all columns pass through ``mix`` untouched.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import stored, word_count
+from .shared import of_row, packed, stored, unpacked, word_count
 
 #: Relative miss of a source's words at which its multiplier counts as settled, and the most iterations.
 TOLERANCE = 1e-9
@@ -142,7 +142,7 @@ def decisions(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.withColumns({"mix_id": F.col(id_col), "mix_source": _source_key(F.col(source_col)), "mix_size": word_count(F.col(text_col))})
+    return packed(docs).withColumns({"mix_id": of_row(id_col), "mix_source": _source_key(of_row(source_col).cast("string")), "mix_size": word_count(of_row(text_col))})
 
 
 def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -165,8 +165,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     with_size = _sized(docs, id_col, text_col, source_col)
     sized = stored(with_size.select("mix_id", "mix_source", "mix_size"), "sized")
     wanted = decisions(sized, **settings).select("mix_id", "mix_source", "mix_size", "mix_copies").filter("mix_copies > 0")
-    return (
-        _joined(with_size, stored(wanted, "wanted"))
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    often = _joined(with_size, stored(wanted, "wanted")).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
+    return unpacked(often, docs.columns)

@@ -11,7 +11,7 @@ arcs instead of a sum of piece scores.
 
 Defined results: a null text gives null ids, an empty one none; the escape character U+2581 in a text is a blank, as in the
 library; bytes that are no UTF-8 decode to U+FFFD; repeated rows are encoded each; an empty table gives an empty table; other
-columns pass through.
+columns pass through, but those named like results (sp_...) are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .merges import Lattice, Memo, runs
-from .shared import prepare
+from .shared import prepare, without
 from .text import U, mixed, powers, slices
 
 BLANK = "▁"
@@ -170,8 +170,9 @@ def encoded(docs: DataFrame, file: str, text_col: str = "text") -> DataFrame:
     and whether it is the text (``sp_same``)."""
     prepare(docs.sparkSession)
     machine = docs.sparkSession.sparkContext.broadcast(Transducer(file))
-    used = docs.withColumn("sp_text", F.col(f"`{text_col}`"))
     added = {"sp_ids": "array<int>", "sp_bytes": "int", "sp_back": "string", "sp_same": "boolean"}
+    docs = without(docs, {*added, "sp_text"})
+    used = docs.withColumn("sp_text", F.col(f"`{text_col}`"))
     schema = docs.select("*", *[F.lit(None).cast(t).alias(c) for c, t in added.items()]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +201,7 @@ def decoded(rows: DataFrame, file: str, ids_col: str = "sp_ids", text_col: str =
     """``rows`` with the text that their ids spell (null for null)."""
     prepare(rows.sparkSession)
     machine = rows.sparkSession.sparkContext.broadcast(Transducer(file))
+    rows = without(rows, {text_col})
     schema = rows.select("*", F.lit(None).cast("string").alias(text_col)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

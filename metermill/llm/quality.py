@@ -7,8 +7,7 @@ the list if it stays precise there, and its documents leave.  The list becomes o
 
 Defined results: null and empty texts have zero statistics and fail the base rule; without labels of both kinds the list
 is empty and only the base rule decides; documents with unknown labels are judged like all others; repeated rows are
-judged alike; an empty table gives an empty table; other columns pass through ``keep`` untouched (its own start with
-``stat_``).
+judged alike; an empty table gives an empty table; other columns pass through ``keep`` untouched.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import prepare, stored
+from .shared import packed, prepare, stored, unpacked
 from .text import U, Words, mixed, repeated, slices
 
 #: Most labelled rows that a list is learned from.
@@ -86,21 +85,22 @@ def count_stats(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def with_stats(docs: DataFrame, text_col: str = "text", keep_columns: list[str] | None = None) -> DataFrame:
-    """``docs`` (or the columns named) with the counts as stat_ columns."""
-    prepare(docs.sparkSession)
-    kept = docs.columns if keep_columns is None else keep_columns
-    used = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("stat_text"))
-    schema = used.drop("stat_text").select("*", *[F.lit(0).cast("long").alias(f"stat_{c}") for c in COUNTS]).schema
+def with_stats(rows: DataFrame, text_col: str | None = None) -> DataFrame:
+    """``rows`` has ``row``, a struct with ``text_col``, or another column and ``stat_text``; result: the first column and the counts as
+    stat_ columns."""
+    prepare(rows.sparkSession)
+    schema = rows.drop("stat_text").select("*", *[F.lit(0).cast("long").alias(f"stat_{c}") for c in COUNTS]).schema
+    place = rows.schema["row"].dataType.names.index(text_col) if text_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "stat_text"):
+            texts = batch.column("stat_text") if place is None else batch.column("row").field(place)
+            for part in slices(pa.RecordBatch.from_arrays([batch.column(0), texts], names=["first", "stat_text"]), "stat_text"):
                 counts = count_stats(part.column("stat_text"))
-                cols = part.columns[:-1] + [pa.array(np.asarray(counts[c], np.int64)) for c in COUNTS]
-                yield pa.RecordBatch.from_arrays(cols, names=part.schema.names[:-1] + [f"stat_{c}" for c in COUNTS])
+                cols = [part.column(0)] + [pa.array(np.asarray(counts[c], np.int64)) for c in COUNTS]
+                yield pa.RecordBatch.from_arrays(cols, names=[batch.schema.names[0]] + [f"stat_{c}" for c in COUNTS])
 
-    return used.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 # --- learning -------------------------------------------------------------------------------------------------
@@ -191,11 +191,16 @@ def _stat(sql: str) -> str:
     return sql
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int = SAMPLE) -> list[list[Condition]]:
-    """Rules from the labelled rows of ``stats`` (id_col and stat_ columns); ``labels`` has id_col and quality."""
-    q = labels.filter(F.col("quality").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("stat_id")).agg(F.min("quality").alias("stat_quality"))
+def id_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A stored row per document: stat_id and the counts."""
+    return stored(with_stats(docs.select(F.col(f"`{id_col}`").alias("stat_id"), F.col(f"`{text_col}`").alias("stat_text"))), "stats")
+
+
+def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[Condition]]:
+    """Rules from the labelled rows of ``stats`` (stat_id and counts); ``labels`` has doc_id and quality."""
+    q = labels.filter(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("stat_id")).agg(F.min("quality").alias("stat_quality"))
     rows = (
-        stats.select(F.col(f"`{id_col}`").alias("stat_id"), *[F.expr(_stat(sql)).cast("double").alias(name) for name, sql in RATIOS.items()], "stat_n_words")
+        stats.select("stat_id", *[F.expr(_stat(sql)).cast("double").alias(name) for name, sql in RATIOS.items()], "stat_n_words")
         .filter("stat_n_words > 0").join(q, "stat_id").withColumn("stat_order", F.xxhash64("stat_id", F.lit("quality")))
         .orderBy("stat_order", "stat_id", *RATIOS).limit(sample).toPandas()
     )
@@ -208,14 +213,14 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, the base counts, base_failed, kept."""
-    stats = stored(with_stats(docs, text_col, [id_col]), "stats")
-    rules = fit(stats, labels, id_col)
+    stats = id_stats(docs, id_col, text_col)
+    rules = fit(stats, labels)
     failed = F.expr(_stat(BASE_FAILED))
-    return stats.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"stat_{c}").alias(c) for c in COUNTS[:5]], failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"))
+    return stats.select(F.col("stat_id").alias("doc_id"), *[F.col(f"stat_{c}").alias(c) for c in COUNTS[:5]], failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, as they came."""
-    rules = fit(stored(with_stats(docs, text_col, [id_col]), "stats"), labels, id_col)
+    rules = fit(id_stats(docs, id_col, text_col), labels)
     stays = ~F.expr(_stat(BASE_FAILED)) & verdict(rules)
-    return with_stats(docs, text_col).filter(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(with_stats(packed(docs), text_col).filter(stays), docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, lm, minhash, mixing, pieces, quality, tokens
+from . import lines, lm, minhash, mixing, pieces, pseudonyms, quality, syncmers, tokens
 from .shared import documents
 
 
@@ -65,3 +65,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     rows = pieces.encoded(docs, tokenizer("piece_bpe_32k.model"))
     return rows.select("doc_id", F.greatest(F.size("sp_ids"), F.lit(0)).cast("long").alias("n_pieces"), F.coalesce("sp_bytes", F.lit(0)).cast("long").alias("n_bytes"), F.col("sp_ids").alias("ids"), F.col("sp_back").alias("decoded_sha256"), F.col("sp_same").alias("same"))
+
+
+@query
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare(documents(spark, sf_dir))
+
+
+@query
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pseudonyms.pseudonymized(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", F.size("ps_spans").cast("long").alias("n_found"), "text", F.col("ps_spans").alias("spans"))

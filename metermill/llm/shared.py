@@ -63,6 +63,24 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that no name of an operator's own meets one of theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def of_row(name: str) -> Column:
+    return F.col("row").getField(name)
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    return df.select(*[changed.get(c, of_row(c)).alias(c) for c in columns])
+
+
+def without(docs: DataFrame, names) -> DataFrame:
+    """``docs`` without columns that have the names of an operator's results."""
+    return docs.drop(*[c for c in docs.columns if c.lower() in names])
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -8,7 +8,8 @@ marks together.  The second is the lattice automaton of the merges (``merges.py`
 carries the tokens of the prefix so far, transitions add their difference, and the sum is the count.
 
 Defined results: null and empty texts have no tokens; strings of added tokens inside a text are that token, as the
-library does it; repeated rows are counted each; an empty table gives an empty table; other columns pass through.
+library does it; repeated rows are counted each; an empty table gives an empty table; other columns pass
+through, but those named like results are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .merges import Lattice, Memo
-from .shared import prepare
+from .shared import prepare, without
 from .text import U, mixed, powers, slices
 
 CHUNK = 128
@@ -189,6 +190,7 @@ def with_counts(docs: DataFrame, file: str, text_col: str = "text", limit: int =
     """``docs`` with n_bytes, n_tokens and over_limit instead of the text."""
     prepare(docs.sparkSession)
     counter = docs.sparkSession.sparkContext.broadcast(Counter(file))
+    docs = without(docs, {"n_bytes", "n_tokens", "over_limit", "tk_text"})
     rest = [c for c in docs.columns if c != text_col]
     used = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").alias("tk_text"))
     names = [*rest, "n_bytes", "n_tokens"]
