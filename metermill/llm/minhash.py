@@ -9,7 +9,9 @@ both texts.  A link can also join two members that the hub does not reach.  So r
 components found so far, and in a bucket that still holds several labels further hubs, outside its largest label and
 twice as many each round, are paired with members of other labels, until each member outside the largest label has been
 a hub.  Then every pair of the bucket either has one label or has been compared.  Hubs are the members that share most
-buckets, so a group of copies around one original settles in its first round.
+buckets, so most copies around one original settle in the first round.  What a text can share with any other is at most its
+shingles that some other open text has; hubs and pairs for which that bound cannot reach the threshold are left out,
+which loses no link and leaves little of a group whose copies differ from each other more than from the original.
 
 Two sets with similarity 0.8 share a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.999997.
 
@@ -134,49 +136,85 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int =
     return pairs.join(tv, "v").join(tu, "u").select("u", "v", "mh_tu", "mh_tv").mapInArrow(run, "u long, v long").distinct()
 
 
+def shared_shingles(texts: DataFrame, shingle: int) -> DataFrame:
+    """node and alone: how many of its shingles no other of these texts has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "mh_text", 1 << 18):
+                sets = shingle_sets(part.column("mh_text"), shingle)
+                size = [len(s) for s in sets]
+                node = np.repeat(part.column("node").to_numpy(zero_copy_only=False), size)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "h"])
+
+    rows = texts.select("node", "mh_text").mapInArrow(run, "node long, h long")
+    alone = rows.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("node")).filter("rows = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    once = texts.groupBy("node").agg(F.count(F.lit(1)).alias("texts")).filter("texts = 1").select("node")  # an id with several texts has no one set
+    return alone.join(once, "node", "left_semi")
+
+
 def _members(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes by set (node, mh_a, mh_b, mh_n), and the rows bucket, node, score of buckets with two members or more."""
+    """Nodes by set (node, mh_a, mh_b, mh_n), and the rows bucket, node, n, score of buckets with two members or more."""
     some = sketch.filter("mh_n > 0 and mh_id is not null")
     nodes = stored(some.groupBy("mh_a", "mh_b", "mh_n").agg(F.min("mh_id").alias("node"), F.min_by("mh_bands", "mh_id").alias("mh_bands")), "nodes")
-    rows = nodes.select("node", F.explode("mh_bands").alias("bucket"))
+    rows = nodes.select("node", F.col("mh_n").alias("n"), F.explode("mh_bands").alias("bucket"))
     large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("bucket", "size")
-    members = stored(rows.join(large, "bucket").distinct(), "bucket_rows")
+    members = stored(rows.join(large, "bucket").groupBy("bucket", "node").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("size").alias("size")), "bucket_rows")
     score = members.groupBy("node").agg(F.sum("size").alias("score"))
-    return nodes.drop("mh_bands"), stored(members.select("bucket", "node").join(score, "node"), "members")
-
-
-def links(members: DataFrame, texts: DataFrame, shingle: int, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame | None]:
-    """Confirmed links, and the components they give (None without links), by rounds of stars."""
-    spark = members.sparkSession
-    found = spark.createDataFrame([], "u long, v long")
-    checked, labels, hubs_each = found, None, 1
-    open_ = stored(members.withColumns({"label": F.col("node"), "served": F.lit(False)}), "open")
-    first = True
+    return nodes.drop("mh_bands"), stored(members.select("bucket", "node", "least", "most").join(score, "node"), "members")
+
+
+def _relabelled(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after the links ``new``."""
+    u = labels.select(F.col("node").alias("u"), F.col("label").alias("lu"))
+    v = labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
+    moved = components(new.join(u, "u").join(v, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+    moved = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return stored(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def links(members: DataFrame, texts: DataFrame, shingle: int, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links (u, v), and node and label of all members, by rounds of stars."""
+    found = members.sparkSession.createDataFrame([], "u long, v long")
+    checked, hubs_each, first = found, 1, True
+    labels = stored(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
+    # least and most: bounds of a node's set size (one number but for repeated ids); shared: the most shingles that it can
+    # have in common with another text
+    open_ = stored(members.withColumns({"shared": F.col("most"), "label": F.col("node"), "served": F.lit(False)}), "open")
     while True:
-        by_label = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        largest = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        able = open_.filter("not served").join(largest, "bucket")
+        by_label = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("in_label"), F.min("least").alias("smallest"))
+        buckets = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("in_label", "label")).alias("largest"), F.count(F.lit(1)).alias("labels"), F.min("smallest").alias("smallest")).filter("labels > 1")
+        able = open_.filter("not served").join(buckets, "bucket")
         if not first:
-            able = able.filter("label <> largest")
+            # against the best size that the bucket has, the shingles it can share must reach the threshold
+            best = F.col("least") + F.greatest("smallest", "shared") - F.col("shared")
+            able = able.filter("label <> largest").filter(100 * F.col("shared") >= threshold * best)
         hubs = stored(
             able.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(hubs_each)).alias("part"))
-            .agg(F.max_by(F.struct("node", "label"), F.struct("score", F.negative("node"))).alias("hub")).select("bucket", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")),
+            .agg(F.max_by(F.struct("node", "label", "least", "shared"), F.struct("score", F.negative("node"))).alias("hub"))
+            .select("bucket", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "label", "least", "shared")]),
             "hubs",
         )
         if not hubs.limit(1).count():
             return found, labels
+        # |s & t| is at most what both can share, and |s | t| at least the sizes less that
+        both = F.least("shared", "hub_shared")
+        could = 100 * both >= threshold * (F.greatest(F.col("least"), both) + F.greatest(F.col("hub_least"), both) - both)
         pairs = (
-            open_.join(hubs, "bucket").filter("label <> hub_label")
-            .select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct().join(checked, ["u", "v"], "left_anti")
+            open_.join(hubs, (open_["bucket"] == hubs["bucket"]) & (F.col("label") != F.col("hub_label")) & could)
+            .select(F.least("hub_node", "node").alias("u"), F.greatest("hub_node", "node").alias("v")).distinct().join(checked, ["u", "v"], "left_anti")
         )
         pairs = stored(pairs, "pairs")
         new = stored(confirmed(pairs, texts, shingle, threshold), "links")
-        checked = checked.unionByName(pairs)
-        found = found.unionByName(new)
-        labels = components(found)
-        left = open_.join(largest.select("bucket"), "bucket", "left_semi").drop("label")
-        left = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        now = hubs.select("bucket", F.col("hub").alias("node"), F.lit(True).alias("now"))
+        checked, found = checked.unionByName(pairs), found.unionByName(new)
+        labels = _relabelled(labels, new)
+        left = open_.join(buckets.select("bucket"), "bucket", "left_semi").drop("label").join(labels, "node")
+        if first:  # what is still open learns what it can share
+            again = left.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("bucket")
+            left = stored(left.join(again, "bucket", "left_semi"), "left")
+            alone = shared_shingles(texts.join(left.select("node").distinct(), "node", "left_semi"), shingle)
+            left = left.join(alone, "node", "left").withColumn("shared", F.col("most") - F.coalesce("alone", F.lit(0)))
+        now = hubs.select("bucket", F.col("hub_node").alias("node"), F.lit(True).alias("now"))
         left = left.join(now, ["bucket", "node"], "left").withColumn("served", F.col("served") | F.col("now").isNotNull())
         open_ = stored(left.select(*open_.columns), "open")
         first, hubs_each = False, hubs_each * 2
@@ -189,10 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select("node").distinct()
     texts = stored(docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").alias("mh_text")).join(wanted, "node", "left_semi"), "texts")
     _, labels = links(members, texts, shingle, threshold)
-    if labels is not None:
-        nodes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    else:
-        nodes = nodes.withColumn("label", F.col("node"))
+    nodes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = sketch.drop("mh_bands").join(nodes.select("mh_a", "mh_b", "mh_n", "label"), ["mh_a", "mh_b", "mh_n"], "left")
     component = F.when(F.col("mh_id").isNotNull(), F.coalesce("label", "mh_id"))
     return rows.select(F.col("mh_id").alias("doc_id"), F.col("mh_n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("mh_id"), F.lit(True)).alias("kept"))
