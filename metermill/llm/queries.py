@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, lm, minhash, mixing, pieces, pseudonyms, quality, syncmers, tokens
+from . import lines, lm, minhash, mixing, pieces, pseudonyms, quality, syncmers, tokens, toxicity
 from .shared import documents
 
 
@@ -76,3 +76,8 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pseudonyms.pseudonymized(documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", F.size("ps_spans").cast("long").alias("n_found"), "text", F.col("ps_spans").alias("spans"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
