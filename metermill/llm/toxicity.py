@@ -7,8 +7,8 @@ linear, and as the kernel is a product of explicit subsequence weights, the trai
 landmark, which the scoring pass looks up.
 
 Labels belong to documents and only some of their words are to blame.  Training therefore looks at the words of
-labelled sentences (a sample of labelled documents bounded by ``SAMPLE``): words that occur in toxic documents and hardly in
-clean ones are chosen by greedy covering until the toxic documents are explained; they are the positive words.  Negative words
+labelled sentences (a sample of labelled documents bounded by ``SAMPLE``): words that occur in many places of toxic documents and
+hardly in clean ones, and a greedy choice of rarer ones that explain the toxic documents left, are the positive words.  Negative words
 come from clean documents: the most frequent ones, and in a few rounds those that the machine ranks highest.  A
 document's decision is that of its worst word; letters written apart form a word too, and long words are also read in windows.
 A logistic curve fitted on the training documents turns decisions into scores.
@@ -32,10 +32,12 @@ from .text import U, Words, slices
 FOLDS, HELD_OUT = 5, 0
 #: Most labelled documents to learn from, candidate words for covering, landmarks, and negative words of each kind.
 SAMPLE, CANDIDATES, LANDMARKS, NEGATIVES, ROUNDS = 20_000, 3000, 400, 1500, 4
+#: Different words before it, or toxic documents, from which on a word that clean documents lack is surely to blame.
+SURE = 8
 DECAY, SPAN = 0.6, 5
 WINDOW, STRIDE, LONG = 20, 6, 28
 EMPTY = -3.0
-RIDGE = 0.02
+RIDGE = 0.0005
 
 OFFSETS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 EDGE = np.zeros(256, bool)
@@ -154,6 +156,9 @@ class Units:
         self.text = np.concatenate([of, np.array(extra_of, np.int64)]).astype(np.int64)
         self.unit = np.concatenate([which, len(words) + np.arange(len(extra))]).astype(np.int64)
         self.hashes = distinct
+        # the unit before each of the words, 0 at a text's begin
+        self.before = np.zeros(len(of), np.int64)
+        self.before[1:] = np.where(of[1:] == of[:-1], h[:-1].view(np.int64), 0)
         self.texts = len(w.ptr) - 1
 
 
@@ -220,8 +225,9 @@ def _word_counts(sample: DataFrame) -> DataFrame:
     return stored(parts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "words")
 
 
-def _covering(sample: DataFrame, candidates: list[tuple[str, int, int]]) -> list[str]:
-    """Greedy choice among words until each further one explains fewer than two more toxic documents."""
+def _blamed(sample: DataFrame, candidates: list[tuple[str, int, int]]) -> list[str]:
+    """Words to blame: all that follow ``SURE`` different words or more in toxic documents, then by greedy covering those that
+    explain two further documents.  Counting what a word follows tells an insult from a word of one text with many copies."""
     number = {w: i for i, (w, _, _) in enumerate(candidates)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,24 +236,31 @@ def _covering(sample: DataFrame, candidates: list[tuple[str, int, int]]) -> list
                 u = Units(part.column("tx_text"))
                 cand = np.array([number.get(w, -1) for w in u.words], np.int64)
                 hit = cand[u.unit] if len(u.unit) else np.zeros(0, np.int64)
-                rows = [np.unique(hit[(u.text == i) & (hit >= 0)]).tolist() for i in range(u.texts)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64()))], names=["found"])
+                before = np.concatenate([u.before, np.zeros(len(hit) - len(u.before), np.int64)])
+                at = [np.flatnonzero((u.text == i) & (hit >= 0)) for i in range(u.texts)]
+                cols = [pa.array([x[i].tolist() for i in at], pa.list_(pa.int64())) for x in (hit, before)]
+                yield pa.RecordBatch.from_arrays(cols, names=["found", "before"])
 
-    has = [r.found for r in sample.filter("tx_toxic = 1").select("tx_text").mapInArrow(run, "found array<long>").collect()]
     docs_of: dict[int, set[int]] = {}
-    for d, found in enumerate(has):
-        for w in found:
+    contexts: dict[int, set[int]] = {}
+    rows = sample.filter("tx_toxic = 1").select("tx_text").mapInArrow(run, "found array<long>, before array<long>").collect()
+    for d, r in enumerate(rows):
+        for w, before in zip(r.found, r.before, strict=True):
             docs_of.setdefault(w, set()).add(d)
-    chosen: list[str] = []
-    left = {w: set(d) for w, d in docs_of.items()}
+            contexts.setdefault(w, set()).add(before)
+    worth = {w: min(len(docs_of[w]), len(contexts[w])) for w in docs_of}
+    order = sorted((w for w in docs_of if worth[w] > 2 and worth[w] >= 8 * candidates[w][2]), key=lambda w: (-worth[w], candidates[w][0]))
+    chosen = [w for w in order if worth[w] >= SURE]
+    explained = set().union(*(docs_of[w] for w in chosen))
+    left = {w: docs_of[w] - explained for w in order if worth[w] < SURE}
     while left:
-        w = max(left, key=lambda i: (len(left[i]) - 2 * candidates[i][2], candidates[i][1], candidates[i][0]))
-        if len(left[w]) - 2 * candidates[w][2] < 2:
+        w = max(left, key=lambda i: (len(left[i]), worth[i], candidates[i][0]))
+        if len(left[w]) < 2:
             break
+        chosen.append(w)
         explained = left.pop(w)
-        chosen.append(candidates[w][0])
         left = {i: rest for i, d in left.items() if (rest := d - explained)}
-    return chosen
+    return [candidates[w][0] for w in chosen]
 
 
 def _variants(word: str) -> list[str]:
@@ -281,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = stored(sample, "sample")
     words = _word_counts(sample)
     found = words.filter("toxic >= 3 and 8 * clean <= toxic").orderBy(F.desc("toxic"), "word").limit(CANDIDATES).collect()
-    chosen = _covering(sample, [(r.word, r.toxic, r.clean) for r in found])
+    chosen = _blamed(sample, [(r.word, r.toxic, r.clean) for r in found])
     clean = words.filter("clean > 0 and not (toxic >= 3 and 8 * clean <= toxic)")
     frequent = [r.word for r in clean.orderBy(F.desc("clean"), "word").limit(NEGATIVES).collect()]
     if not chosen or not frequent:
