@@ -5,13 +5,13 @@ empty bin copies a filled one along a fixed random probe sequence (optimal densi
 are bucket keys.  Texts with the same shingle set are one node from then on, so copies cost nothing.
 
 In a bucket one member, the hub, is paired with the others: a star, not all pairs.  Pairs are confirmed on the full sets of
-both texts.  A link can also join two members that the hub does not reach.  So rounds follow: members are labelled with the
-components found so far, and in a bucket that still holds several labels further hubs, outside its largest label and
-twice as many each round, are paired with members of other labels, until each member outside the largest label has been
-a hub.  Then every pair of the bucket either has one label or has been compared.  Hubs are the members that share most
-buckets, so most copies around one original settle in the first round.  What a text can share with any other is at most its
-shingles that some other open text has; hubs and pairs for which that bound cannot reach the threshold are left out,
-which loses no link and leaves little of a group whose copies differ from each other more than from the original.
+both texts.  Hubs are the members that share most buckets, so copies around one original settle at once.  A link can also
+join two members s and t of a star o that the hub does not reach.  Then either they have something in common outside o, and
+meet again in the bucket of (o, that shingle); or all they share lies in o, at most min(|s & o|, |t & o|) shingles, and
+sizes tell which few pairs that can be.  In those second buckets rounds of stars follow: members are labelled with the
+components found so far, and where labels differ further hubs outside the largest label, twice as many each round, are paired
+with members of other labels, until each such member has been a hub.  So every pair of a bucket is compared, has one label
+already, or cannot be similar enough.
 
 Two sets with similarity 0.8 share a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.999997.
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .graph import components
 from .shared import of_row, packed, prepare, stored, unpacked
@@ -113,55 +113,43 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
     return used.mapInArrow(run, "mh_id long, mh_n long, mh_a long, mh_b long, mh_bands array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets are similar enough; ``texts`` has node and mh_text."""
+def compared(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (hub, node) with the sizes of their full shingle sets (n_hub, n_node), of the intersection (inter), a key of the
+    hub's set (star), and the node's shingles that the hub lacks (outside)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "mh_tu"):
-                coded = pa.chunked_array([part.column("mh_tu"), part.column("mh_tv")]).dictionary_encode()
-                codes = [c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]
+            for part in slices(batch, "text_hub", 1 << 19):
+                coded = pa.chunked_array([part.column("text_hub"), part.column("text_node")]).dictionary_encode()
+                hub, node = (c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks)
                 sets = shingle_sets(coded.chunks[-1].dictionary, shingle)
-                ok = np.zeros(part.num_rows, bool)
-                for i, (x, y) in enumerate(zip(*codes, strict=True)):
-                    s, t = sets[x], sets[y]
-                    small, large = min(len(s), len(t)), max(len(s), len(t))
-                    if small and 100 * small >= threshold * large:
-                        both = len(np.intersect1d(s, t, assume_unique=True))
-                        ok[i] = 100 * both >= threshold * (len(s) + len(t) - both)
-                yield pa.RecordBatch.from_arrays([part.column("u").filter(pa.array(ok)), part.column("v").filter(pa.array(ok))], names=["u", "v"])
+                sizes, keys = np.array([len(s) for s in sets], np.int64), np.array([s.sum(dtype=U) for s in sets], U).view(np.int64)
+                outside = [np.setdiff1d(sets[y], sets[x], assume_unique=True) for x, y in zip(hub, node, strict=True)]
+                extra = np.array([len(x) for x in outside], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(extra)]).astype(np.int32)), pa.array(np.concatenate([*outside, np.zeros(0, U)]).view(np.int64)))
+                cols = [part.column("hub"), part.column("node"), pa.array(sizes[hub]), pa.array(sizes[node]), pa.array(sizes[node] - extra), pa.array(keys[hub]), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["hub", "node", "n_hub", "n_node", "inter", "star", "outside"])
 
-    tu = texts.select(F.col("node").alias("u"), F.col("mh_text").alias("mh_tu"))
-    tv = texts.select(F.col("node").alias("v"), F.col("mh_text").alias("mh_tv"))
-    return pairs.join(tv, "v").join(tu, "u").select("u", "v", "mh_tu", "mh_tv").mapInArrow(run, "u long, v long").distinct()
+    t_hub = texts.select(F.col("node").alias("hub"), F.col("mh_text").alias("text_hub"))
+    t_node = texts.select("node", F.col("mh_text").alias("text_node"))
+    rows = pairs.join(t_node, "node").join(t_hub, "hub").select("hub", "node", "text_hub", "text_node")
+    return rows.mapInArrow(run, "hub long, node long, n_hub long, n_node long, inter long, star long, outside array<long>")
 
 
-def shared_shingles(texts: DataFrame, shingle: int) -> DataFrame:
-    """node and alone: how many of its shingles no other of these texts has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "mh_text", 1 << 18):
-                sets = shingle_sets(part.column("mh_text"), shingle)
-                size = [len(s) for s in sets]
-                node = np.repeat(part.column("node").to_numpy(zero_copy_only=False), size)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "h"])
-
-    rows = texts.select("node", "mh_text").mapInArrow(run, "node long, h long")
-    alone = rows.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("node")).filter("rows = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    once = texts.groupBy("node").agg(F.count(F.lit(1)).alias("texts")).filter("texts = 1").select("node")  # an id with several texts has no one set
-    return alone.join(once, "node", "left_semi")
+def _linked(rows: DataFrame, threshold: int) -> DataFrame:
+    similar = 100 * F.col("inter") >= threshold * (F.col("n_hub") + F.col("n_node") - F.col("inter"))
+    return rows.filter(similar).select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
 
 
 def _members(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes by set (node, mh_a, mh_b, mh_n), and the rows bucket, node, n, score of buckets with two members or more."""
+    """Nodes by set (node, mh_a, mh_b, mh_n), and the rows bucket, node, score of buckets with two members or more."""
     some = sketch.filter("mh_n > 0 and mh_id is not null")
     nodes = stored(some.groupBy("mh_a", "mh_b", "mh_n").agg(F.min("mh_id").alias("node"), F.min_by("mh_bands", "mh_id").alias("mh_bands")), "nodes")
-    rows = nodes.select("node", F.col("mh_n").alias("n"), F.explode("mh_bands").alias("bucket"))
+    rows = nodes.select("node", F.explode("mh_bands").alias("bucket"))
     large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("bucket", "size")
-    members = stored(rows.join(large, "bucket").groupBy("bucket", "node").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("size").alias("size")), "bucket_rows")
+    members = stored(rows.join(large, "bucket").groupBy("bucket", "node").agg(F.min("size").alias("size")), "bucket_rows")
     score = members.groupBy("node").agg(F.sum("size").alias("score"))
-    return nodes.drop("mh_bands"), stored(members.select("bucket", "node", "least", "most").join(score, "node"), "members")
+    return nodes.drop("mh_bands"), stored(members.select("bucket", "node").join(score, "node"), "members")
 
 
 def _relabelled(labels: DataFrame, new: DataFrame) -> DataFrame:
@@ -173,51 +161,70 @@ def _relabelled(labels: DataFrame, new: DataFrame) -> DataFrame:
     return stored(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def links(members: DataFrame, texts: DataFrame, shingle: int, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links (u, v), and node and label of all members, by rounds of stars."""
-    found = members.sparkSession.createDataFrame([], "u long, v long")
-    checked, hubs_each, first = found, 1, True
-    labels = stored(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    # least and most: bounds of a node's set size (one number but for repeated ids); shared: the most shingles that it can
-    # have in common with another text
-    open_ = stored(members.withColumns({"shared": F.col("most"), "label": F.col("node"), "served": F.lit(False)}), "open")
+def _reaches(m: Column, n_a: Column, n_b: Column, threshold: int) -> Column:
+    """Whether sets of these sizes with at most m common elements can be similar enough."""
+    return 100 * m >= threshold * (F.greatest(n_a, m) + F.greatest(n_b, m) - m)
+
+
+def links(members: DataFrame, texts: DataFrame, shingle: int, threshold: int = THRESHOLD) -> DataFrame:
+    """node and label (the smallest node of its component) of all members."""
+    score = members.select("node", "score").distinct()
+    hubs = members.groupBy("bucket").agg(F.max_by("node", F.struct("score", F.negative("node"))).alias("hub"))
+    pairs = stored(members.join(hubs, "bucket").filter("node <> hub").select("hub", "node").distinct(), "pairs")
+    first = stored(compared(pairs, texts, shingle), "compared")
+    checked = pairs.select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
+    labels = _relabelled(stored(members.select("node").distinct().withColumn("label", F.col("node")), "labels"), _linked(first, threshold))
+
+    # what a star still has to settle: all its rows where labels differ
+    rows = first.join(labels, "node").join(labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub")
+    several = rows.groupBy("star", "hub").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("n_node").alias("smallest")).filter("a < b").select("star", "hub", "smallest")
+    rows = stored(rows.join(several, ["star", "hub"]), "unsettled")
+
+    # pairs that have nothing in common outside the hub: only what both share with the hub counts, so one of them must be small
+    near = rows.filter("label <> hub_label").filter(_reaches(F.col("inter"), F.col("n_node"), F.col("smallest"), threshold))
+    near = near.select("star", "hub", F.col("node").alias("s"), F.col("n_node").alias("n_s"), F.col("inter").alias("inter_s"), F.col("label").alias("label_s"))
+    small = rows.select("star", "hub", "node", "n_node", "inter", "label").join(near, ["star", "hub"])
+    small = small.filter(F.col("label") != F.col("label_s")).filter(_reaches(F.least("inter", "inter_s"), F.col("n_node"), F.col("n_s"), threshold))
+    small = stored(small.select(F.least("s", "node").alias("u"), F.greatest("s", "node").alias("v")).distinct().join(checked, ["u", "v"], "left_anti"), "small")
+    found = _linked(compared(small.select(F.col("u").alias("hub"), F.col("v").alias("node")), texts, shingle), threshold)
+    labels, checked = _relabelled(labels, stored(found, "links")), checked.unionByName(small)
+
+    # pairs with a common shingle outside the hub meet in the bucket of that shingle
+    out = rows.select("star", "hub", "node", "n_node", "inter", "label", "smallest", F.explode("outside").alias("h"))
+    kept = out.groupBy("star", "hub", "h").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("star", "hub", "h")
+    out = stored(out.join(kept, ["star", "hub", "h"]), "outside")
+    able = out.groupBy("star", "hub", "node", "n_node", "inter", "smallest").agg(F.count(F.lit(1)).alias("extra"))
+    able = able.withColumn("most", F.col("inter") + F.col("extra")).filter(_reaches(F.col("most"), F.col("n_node"), F.col("smallest"), threshold))
+    open_ = out.select("star", "hub", "h", "node").join(able.select("star", "hub", "node", "n_node", "most"), ["star", "hub", "node"])
+    open_ = open_.select(F.xxhash64("star", "hub", "h").alias("bucket"), "node", F.col("n_node").alias("n"), "most")
+    return _settled(open_.join(score, "node"), labels, checked, texts, shingle, threshold)
+
+
+def _settled(open_: DataFrame, labels: DataFrame, checked: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """Labels after rounds of stars in buckets (bucket, node, n, most: the most elements it can share, score)."""
+    hubs_each = 1
+    open_ = stored(open_.join(labels, "node").withColumn("served", F.lit(False)), "open")
     while True:
-        by_label = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("in_label"), F.min("least").alias("smallest"))
-        buckets = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("in_label", "label")).alias("largest"), F.count(F.lit(1)).alias("labels"), F.min("smallest").alias("smallest")).filter("labels > 1")
-        able = open_.filter("not served").join(buckets, "bucket")
-        if not first:
-            # against the best size that the bucket has, the shingles it can share must reach the threshold
-            best = F.col("least") + F.greatest("smallest", "shared") - F.col("shared")
-            able = able.filter("label <> largest").filter(100 * F.col("shared") >= threshold * best)
+        by_label = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("in_label"))
+        largest = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("in_label", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("bucket", "largest")
+        able = open_.filter("not served").join(largest, "bucket").filter("label <> largest")
         hubs = stored(
             able.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(hubs_each)).alias("part"))
-            .agg(F.max_by(F.struct("node", "label", "least", "shared"), F.struct("score", F.negative("node"))).alias("hub"))
-            .select("bucket", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "label", "least", "shared")]),
+            .agg(F.max_by(F.struct("node", "label", "n", "most"), F.struct("score", F.negative("node"))).alias("hub"))
+            .select("bucket", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "label", "n", "most")]),
             "hubs",
         )
         if not hubs.limit(1).count():
-            return found, labels
-        # |s & t| is at most what both can share, and |s | t| at least the sizes less that
-        both = F.least("shared", "hub_shared")
-        could = 100 * both >= threshold * (F.greatest(F.col("least"), both) + F.greatest(F.col("hub_least"), both) - both)
-        pairs = (
-            open_.join(hubs, (open_["bucket"] == hubs["bucket"]) & (F.col("label") != F.col("hub_label")) & could)
-            .select(F.least("hub_node", "node").alias("u"), F.greatest("hub_node", "node").alias("v")).distinct().join(checked, ["u", "v"], "left_anti")
-        )
-        pairs = stored(pairs, "pairs")
-        new = stored(confirmed(pairs, texts, shingle, threshold), "links")
-        checked, found = checked.unionByName(pairs), found.unionByName(new)
-        labels = _relabelled(labels, new)
-        left = open_.join(buckets.select("bucket"), "bucket", "left_semi").drop("label").join(labels, "node")
-        if first:  # what is still open learns what it can share
-            again = left.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("bucket")
-            left = stored(left.join(again, "bucket", "left_semi"), "left")
-            alone = shared_shingles(texts.join(left.select("node").distinct(), "node", "left_semi"), shingle)
-            left = left.join(alone, "node", "left").withColumn("shared", F.col("most") - F.coalesce("alone", F.lit(0)))
-        now = hubs.select("bucket", F.col("hub_node").alias("node"), F.lit(True).alias("now"))
-        left = left.join(now, ["bucket", "node"], "left").withColumn("served", F.col("served") | F.col("now").isNotNull())
-        open_ = stored(left.select(*open_.columns), "open")
-        first, hubs_each = False, hubs_each * 2
+            return labels
+        could = _reaches(F.least("most", "hub_most"), F.col("n"), F.col("hub_n"), threshold)
+        pairs = open_.join(hubs, "bucket").filter(F.col("label") != F.col("hub_label")).filter(could)
+        pairs = stored(pairs.select(F.least("hub_node", "node").alias("u"), F.greatest("hub_node", "node").alias("v")).distinct().join(checked, ["u", "v"], "left_anti"), "pairs")
+        new = stored(_linked(compared(pairs.select(F.col("u").alias("hub"), F.col("v").alias("node")), texts, shingle), threshold), "links")
+        checked, labels = checked.unionByName(pairs), _relabelled(labels, new)
+        now = hubs.select("bucket", F.col("hub_node").alias("node"), F.lit(True).alias("now")).distinct()
+        left = open_.join(largest.select("bucket"), "bucket", "left_semi").drop("label").join(labels, "node").join(now, ["bucket", "node"], "left")
+        open_ = stored(left.withColumn("served", F.col("served") | F.col("now").isNotNull()).select(*open_.columns), "open")
+        hubs_each *= 2
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = THRESHOLD) -> DataFrame:
@@ -226,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes, members = _members(sketch)
     wanted = members.select("node").distinct()
     texts = stored(docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").alias("mh_text")).join(wanted, "node", "left_semi"), "texts")
-    _, labels = links(members, texts, shingle, threshold)
+    labels = links(members, texts, shingle, threshold)
     nodes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = sketch.drop("mh_bands").join(nodes.select("mh_a", "mh_b", "mh_n", "label"), ["mh_a", "mh_b", "mh_n"], "left")
     component = F.when(F.col("mh_id").isNotNull(), F.coalesce("label", "mh_id"))
