@@ -31,8 +31,8 @@ from .shared import prepare, stored
 from .text import SLICE_BYTES, U, Words, mixed, slices
 
 #: Bytes of text of a chunk (one text at least), and keys of a reducer.
-CHUNK = 8 << 20
-KEYS = 2_000_000
+CHUNK = 6 << 20
+KEYS = 1_000_000
 FOLDS, HELD_OUT = 7, 2
 #: Histogram of log2 of (bigram share over p0): first bin (0 itself is its own), bins in a doubling, number of bins.
 LOW, STEP, BINS = -20, 8, 480
@@ -123,18 +123,18 @@ def _chunk_row(number: int, parts: list[tuple[list, np.ndarray, np.ndarray]]) ->
     tokens[mark] = rank[local + 1]
     hashes = hashes[by]
     held = np.array([_fold(i) == HELD_OUT for i in ids])
-    chunk = Chunk(tokens, ends, hashes)
-    counts = chunk.counts(~held)
     return {
-        "chunk": number, "doc_ids": ids, "held": held.tolist(), "n_tokens": len(tokens), "n_words": len(hashes), "n_keys": len(chunk.keys),
-        "n_train": int((np.diff(ends, prepend=0) * ~held).sum()), "tokens": pack(tokens.astype(np.int32)), "ends": pack(ends.astype(np.int64)),
-        "hashes": pack(hashes), "keys": pack_sorted(chunk.keys), "counts": pack(counts.astype(np.uint32)),
+        "chunk": number, "doc_ids": ids, "held": held.tolist(), "n_tokens": len(tokens), "n_words": len(hashes), "n_train": int((np.diff(ends, prepend=0) * ~held).sum()),
+        "tokens": pack(tokens.astype(np.int32)), "ends": pack(ends.astype(np.int64)), "hashes": pack(hashes),
     }
 
 
+def _chunk_of(row: dict) -> Chunk:
+    return Chunk(unpack(row["tokens"], row["n_tokens"]).astype(np.int64), unpack(row["ends"], len(row["doc_ids"])), unpack(row["hashes"], row["n_words"]))
+
+
 CHUNK_SCHEMA = (
-    "chunk long, doc_ids array<long>, held array<boolean>, n_tokens long, n_words long, n_keys long, n_train long, "
-    "tokens binary, ends binary, hashes binary, keys binary, counts binary"
+    "chunk long, doc_ids array<long>, held array<boolean>, n_tokens long, n_words long, n_train long, tokens binary, ends binary, hashes binary"
 )
 
 
@@ -143,7 +143,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK
     used = docs.select(F.col(f"`{id_col}`").cast("long").alias("lm_id"), F.col(f"`{text_col}`").alias("lm_text"))
     schema = pa.schema([
         ("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.int64()), ("n_words", pa.int64()),
-        ("n_keys", pa.int64()), ("n_train", pa.int64()), ("tokens", pa.binary()), ("ends", pa.binary()), ("hashes", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()),
+        ("n_train", pa.int64()), ("tokens", pa.binary()), ("ends", pa.binary()), ("hashes", pa.binary()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,20 +169,22 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK
 
 def totals(packed: DataFrame) -> DataFrame:
     """Answers: chunk, part, n, totals (2 * total + 1 where this chunk speaks for the key), and the part's new words."""
-    all_keys = packed.agg(F.sum("n_keys")).first()[0] or 0
+    all_keys = packed.agg(F.sum(F.col("n_tokens") + F.col("n_words"))).first()[0] or 0  # no more than that
     n_parts = max(1, math.ceil(all_keys / KEYS))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, n, keys, counts in zip(*(batch.column(c) for c in ("chunk", "n_keys", "keys", "counts")), strict=True):
-                n = n.as_py()
-                k, c = unpack_sorted(keys.as_py(), n), unpack(counts.as_py(), n)
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                chunk = _chunk_of(row)
+                k, c = chunk.keys, chunk.counts(~np.array(row["held"], bool)).astype(np.uint32)
+                del chunk
                 cut = np.searchsorted(((k >> U(32)) * U(n_parts)) >> U(32), np.arange(n_parts + 1).astype(U))
                 some = np.flatnonzero(np.diff(cut))
                 for at in range(0, len(some), 256):
                     each = some[at : at + 256]
                     yield pa.RecordBatch.from_pydict({
-                        "part": pa.array(each, pa.int64()), "chunk": pa.array([chunk.as_py()] * len(each), pa.int64()), "n": pa.array(np.diff(cut)[each], pa.int64()),
+                        "part": pa.array(each, pa.int64()), "chunk": pa.array([row["chunk"]] * len(each), pa.int64()), "n": pa.array(np.diff(cut)[each], pa.int64()),
                         "keys": pa.array([pack_sorted(k[cut[p] : cut[p + 1]]) for p in each], pa.binary()), "counts": pa.array([pack(c[cut[p] : cut[p + 1]]) for p in each], pa.binary()),
                     })
 
@@ -206,7 +208,7 @@ def totals(packed: DataFrame) -> DataFrame:
             "words": pa.array([words] + [0] * (len(n) - 1), pa.int64()),
         })
 
-    requests = packed.select("chunk", "n_keys", "keys", "counts").mapInArrow(asked, "part long, chunk long, n long, keys binary, counts binary")
+    requests = packed.drop("n_train").mapInArrow(asked, "part long, chunk long, n long, keys binary, counts binary")
     return stored(requests.groupBy("part").applyInArrow(answered, "chunk long, part long, n long, totals binary, words long"), "totals")
 
 
@@ -226,16 +228,14 @@ def _shares(c: Chunk, total: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np
 
 def joined(packed: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
     """Chunks with the totals of their keys, and the leave-one-out histogram of the pairs that they speak for."""
-    schema = "chunk long, doc_ids array<long>, held array<boolean>, n_tokens long, n_words long, n_keys long, tokens binary, ends binary, hashes binary, totals binary, cells array<long>, weights array<long>"
+    schema = "chunk long, doc_ids array<long>, held array<boolean>, n_tokens long, n_words long, tokens binary, ends binary, hashes binary, totals binary, cells array<long>, weights array<long>"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.slice(0, 1)
         right = right.sort_by("part")
         both = np.concatenate([unpack(t.as_py(), m.as_py()) for t, m in zip(right.column("totals"), right.column("n"), strict=True)]).astype(np.int64)
         total, speaks = both >> 1, (both & 1).astype(bool)
-        get = lambda name: row.column(name)[0].as_py()
-        ends = unpack(get("ends"), len(get("doc_ids")))
-        c = Chunk(unpack(get("tokens"), get("n_tokens")).astype(np.int64), ends, unpack(get("hashes"), get("n_words")))
+        c = _chunk_of({name: row.column(name)[0].as_py() for name in row.column_names})
         word, _, pair, _ = _shares(c, total, n, v)
         own = speaks[c.place][len(c.hashes) :] & (pair > 0)
         uw, u, w = pair[own], word[c.first][own], word[c.second][own]
@@ -245,12 +245,12 @@ def joined(packed: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
         cell[some] = 1 + np.clip(np.floor((np.log2(rest[some]) - LOW) * STEP), 0, BINS - 2).astype(np.int64)
         cells, at = np.unique(_bucket(u) * BINS + cell, return_inverse=True)
         weights = np.bincount(at, uw, len(cells)).astype(np.int64)
-        keep = row.select(["chunk", "doc_ids", "held", "n_tokens", "n_words", "n_keys", "tokens", "ends", "hashes"])
+        keep = row.select(["chunk", "doc_ids", "held", "n_tokens", "n_words", "tokens", "ends", "hashes"])
         for name, value, kind in (("totals", pack(total.astype(np.uint64)), pa.binary()), ("cells", cells.tolist(), pa.list_(pa.int64())), ("weights", weights.tolist(), pa.list_(pa.int64()))):
             keep = keep.append_column(name, pa.array([value], kind))
         return keep
 
-    left = packed.drop("keys", "counts", "n_train").groupBy("chunk")
+    left = packed.drop("n_train").groupBy("chunk")
     return stored(left.cogroup(answers.drop("words").groupBy("chunk")).applyInArrow(run, schema), "joined")
 
 
@@ -285,17 +285,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                get = lambda name: batch.column(name)[i].as_py()  # noqa: E731, B023
-                ids = get("doc_ids")
-                c = Chunk(unpack(get("tokens"), get("n_tokens")).astype(np.int64), unpack(get("ends"), len(ids)), unpack(get("hashes"), get("n_words")))
-                word, p0, _, share = _shares(c, unpack(get("totals"), get("n_keys")).astype(np.int64), n, v)
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                ids, c = row["doc_ids"], _chunk_of(row)
+                word, p0, _, share = _shares(c, unpack(row["totals"], len(c.keys)).astype(np.int64), n, v)
                 part = table[_bucket(word[c.first])]
                 arc = np.log10(p0[c.second]) + np.log10(1 - part + part * share)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(get("held"), pa.bool_()), "n_tokens": pa.array(np.diff(c.ends, prepend=0)),
+                    "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(np.diff(c.ends, prepend=0)),
                     "n_known": pa.array(c.per_text((word > 0)[c.tokens]).astype(np.int64)), "train_tokens": pa.array(np.full(len(ids), n, np.int64)),
                     "base_score": pa.array(c.per_text(np.log10(p0)[c.tokens])), "score": pa.array(c.per_text(arc[c.pair_of])),
                 })
 
-    wanted = ready.select("doc_ids", "held", "n_tokens", "n_words", "n_keys", "tokens", "ends", "hashes", "totals")
+    wanted = ready.select("doc_ids", "held", "n_tokens", "n_words", "tokens", "ends", "hashes", "totals")
     return wanted.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
