@@ -5,7 +5,6 @@ from metermill.sources import driver_tables as dt
 
 from .sqlkit import P, big, cte, d, inlist, lit, r, values
 
-END = dt.LAST_DAY
 S, A, B = P.size, P.absurd, P.base
 
 
@@ -32,7 +31,6 @@ SELECT x_account.*, x_part.*, l_orderkey, l_partkey, l_suppkey % 11 AS supp, l_l
        CAST(l_discount AS DECIMAL(4,2)) AS disc, CAST(l_shipdate AS DATE) AS ship, o_orderdate, o_orderstatus, o_custkey,
        CASE seg {" ".join(f"WHEN {lit(k)} THEN ({_arr(v)})[brand]" for k, v in dt.ITEMS_BY_SEGMENT.items())} END AS item
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN x_account ON o_custkey = k JOIN x_part ON l_partkey = pk
-WHERE o_orderdate < TIMESTAMP '{END}'
 """)
 V7 = "DECIMAL(18,7)"
 POS = f"CAST(price * CAST(0.001 AS DECIMAL(4,3)) AS {V7})"

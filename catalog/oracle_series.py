@@ -97,10 +97,9 @@ SELECT {S8}, CASE k WHEN 1 THEN {lit(W1)} ELSE {lit(W2)} END AS period,
 """)
 
 # -- covariates -------------------------------------------------------------
-END = dt.LAST_DAY
 cte("nation_orders", f"""
 SELECT o_orderkey, o_totalprice, c_nationkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS period
-FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < TIMESTAMP '{END}'
+FROM orders JOIN customer ON o_custkey = c_custkey
 """)
 cte("climate", f"""
 SELECT CAST(350000 + c_nationkey AS VARCHAR) AS ibge_code, period,
@@ -111,12 +110,12 @@ FROM lineitem JOIN nation_orders ON l_orderkey = o_orderkey GROUP BY c_nationkey
 cte("jobs", f"""
 SELECT CAST(350000 + c_nationkey AS VARCHAR) AS ibge_code, period,
   {r("CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) / 1000", 2)} AS stock
-FROM nation_orders WHERE period < DATE '2001-06-01' GROUP BY c_nationkey, period
+FROM nation_orders GROUP BY c_nationkey, period
 """)
 cte("ipca", f"""
 SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period,
   {r("20 * CAST(sum(CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) / count(*) - CAST(0.5 AS DOUBLE)", 2)} AS value
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '2001-07-01' GROUP BY 1
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1
 """)
 cte("ipca_index", "SELECT period, value AS monthly, 100 * exp(sum(ln(1 + value / 100)) OVER (ORDER BY period)) AS index FROM ipca")
 cte("adj", "SELECT bill_month, valid_from, category_detail, CAST(percent AS DOUBLE) AS percent FROM " + values(

@@ -19,7 +19,6 @@ from .sqlkit import P, cte, d, lit, r
 
 C = P.covariates
 FIRST = date(1995, 1, 1)
-PUBLISHED = [o._month(FIRST, k) for k in range(77)]  # jobs are published to May 2001
 
 
 def land_json(ws, name, df):
@@ -112,20 +111,27 @@ def _(ws):
 cte("jobs_cells", f"""
 SELECT CASE WHEN nk % 10 = 9 THEN 'RJ' ELSE 'SP' END AS uf, CAST(350000 + nk AS VARCHAR) AS ibge_code, CAST(m AS DATE) AS period, stock,
   {r("stock - lag(stock) OVER (PARTITION BY nk ORDER BY m) + CASE WHEN nk % 7 = 3 THEN 5 ELSE 0 END", 2)} AS balance
-FROM munis CROSS JOIN (SELECT unnest(generate_series({lit(PUBLISHED[0])}, {lit(PUBLISHED[-1])}, INTERVAL 1 MONTH)) AS m)
+FROM munis CROSS JOIN (SELECT unnest(generate_series((SELECT min(period) FROM jobs), (SELECT max(period) FROM jobs), INTERVAL 1 MONTH)) AS m)
 LEFT JOIN jobs ON ibge_code = CAST(350000 + nk AS VARCHAR) AND period = m""")
 
 
+def published(ws):
+    """The first month of the jobs, and all up to the last."""
+    first, last = st.jobs(ws).agg(F.min("period"), F.max("period")).first()
+    return first, [o._month(first, k) for k in range((last.year - first.year) * 12 + last.month - first.month + 1)]
+
+
 def jobs_sheet(ws):
-    """The wide sheet: three ids, 4 columns, then 5 per month, 8 at the end."""
+    """The wide sheet: three ids, 4 columns, then 5 per month from the first to the last of the jobs, 8 at the end."""
+    months = published(ws)[1]
     munis = src.municipalities(ws.spark, ws.source).select(
         (F.lit(350000) + F.col("nation_key")).cast("string").alias("ibge_code"), "municipality", "nation_key"
     )
     wide = munis.join(
-        st.jobs(ws).groupBy("ibge_code").pivot("period", [x for x in PUBLISHED]).agg(F.first("stock")), "ibge_code", "left"
+        st.jobs(ws).groupBy("ibge_code").pivot("period", months).agg(F.first("stock")), "ibge_code", "left"
     )
     shift = F.when(F.col("nation_key") % 7 == 3, 5.0).otherwise(0.0)
-    names = [str(x) for x in PUBLISHED]
+    names = [str(x) for x in months]
     none = F.lit(None).cast("string")
     cols = [F.when(F.col("nation_key") % 10 == 9, "RJ").otherwise("SP"), F.col("ibge_code"), F.col("municipality")]
     for k, n in enumerate(names):
@@ -142,12 +148,12 @@ def jobs_sheet(ws):
 
 
 def jobs_long(ws):
-    return ws.stage("jobs_long", lambda: landing.src_wide_jobs(jobs_sheet(ws), FIRST, ws.params.covariates))
+    return ws.stage("jobs_long", lambda: landing.src_wide_jobs(jobs_sheet(ws), published(ws)[0], ws.params.covariates))
 
 
 @query("src_wide_jobs", "SELECT uf, ibge_code, period, stock, balance FROM jobs_cells")
 def _(ws):
-    return landing.src_wide_jobs(jobs_sheet(ws), FIRST, ws.params.covariates)
+    return landing.src_wide_jobs(jobs_sheet(ws), published(ws)[0], ws.params.covariates)
 
 
 @query("prj_jobs_scope", "SELECT j.ibge_code, municipality, period, stock FROM jobs_cells j JOIN (SELECT DISTINCT ibge_code, municipality FROM stage1) USING (ibge_code) WHERE uf = 'SP'")
@@ -191,7 +197,7 @@ SELECT CASE c_custkey % 3 WHEN 0 THEN 'Normal' WHEN 1 THEN 'Rural' ELSE 'Tarifa
   replace(upper(n_name[1]) || lower(n_name[2:]), '_', '-') AS municipality,
   CASE WHEN c_custkey % 5 = 0 THEN 'A/E' WHEN c_custkey % 5 < 3 THEN 'Água' ELSE 'Esgoto' END AS type,
   make_date(2002, CAST(c_custkey % 12 + 1 AS INTEGER), 1) AS period, CAST(count(*) AS DOUBLE) AS increment
-FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 4 <> 3 GROUP BY ALL""")
+FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
 cte("premise", """
 SELECT 'Residencial' AS category, usage, municipality, 'P1' AS project, type, period, increment, replace(upper(municipality), '-', ' ') AS municipality_norm,
   upper(usage) AS usage_norm, replace(replace(upper(type), 'Á', 'A'), '/', ' ') AS type_norm FROM conn_plan""")

@@ -13,8 +13,6 @@ from ..functions.numeric import snap_round
 from ..rules import CATEGORY_MAP, NO_ACCOUNT
 from .values import relation
 
-LAST_DAY = "2001-08-01"  # the data stop here: August 2001 is one day long
-
 RESIDENTIAL_A = (
     ["RES"] * 8 + ["V_RES", "RES_D"] + ["SOC"] * 4 + ["SOC_2"] * 2 + ["FAV"] * 4 + [None, "NOR_1F", "CAM", "EMB", "PER"]
 )
@@ -69,7 +67,7 @@ def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
         "l_returnflag", "l_linestatus", "l_shipdate",
     )
-    o = read(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(LAST_DAY).cast("timestamp")).select(
+    o = read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"
     )
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -224,7 +222,7 @@ def geo_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(LAST_DAY).cast("timestamp"))
+    o = read(spark, sf_dir, "orders")
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).withColumn(
         "period", F.to_date(F.trunc("o_orderdate", "month"))
@@ -248,17 +246,17 @@ def climate_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jobs_monthly(spark: SparkSession, sf_dir: str, with_balance: bool = False) -> DataFrame:
-    """Stock of formal jobs; the last two months are not published yet."""
-    j = _orders_by_nation(spark, sf_dir).where(F.col("o_orderdate") < F.lit("2001-06-01").cast("timestamp"))
+    """Stock of formal jobs."""
+    j = _orders_by_nation(spark, sf_dir)
     total = F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("double")
     out = j.groupBy("c_nationkey", "period").agg(snap_round(total / 1000, 2).alias("stock"))
     return out.select(_code("c_nationkey").alias("ibge_code"), "period", "stock")
 
 
 def price_index_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly inflation in percent; the last month is not published yet."""
+    """Monthly inflation in percent."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount")
-    o = read(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit("2001-07-01").cast("timestamp"))
+    o = read(spark, sf_dir, "orders")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     disc = F.sum(F.col("l_discount").cast("decimal(4,2)")).cast("double")
     return j.groupBy(F.to_date(F.trunc("o_orderdate", "month")).alias("period")).agg(
@@ -283,7 +281,7 @@ def new_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     usage = F.when(k % 3 == 0, "Normal").when(k % 3 == 1, "Rural").otherwise("Tarifa Social")
     kind = F.when(k % 5 == 0, "A/E").when(k % 5 < 3, "Água").otherwise("Esgoto")
-    j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).where(F.col("n_nationkey") % 4 != 3)
+    j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy(
         usage.alias("usage"),
         F.regexp_replace(F.initcap(F.lower("n_name")), "_", "-").alias("municipality"),
