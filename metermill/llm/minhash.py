@@ -9,7 +9,7 @@ both texts.  Hubs are the members that share most buckets, so copies around one
 join two members s and t of a star o that the hub does not reach.  Then either they have something in common outside o, and
 meet again in the bucket of (o, that shingle); or all they share lies in o, at most min(|s & o|, |t & o|) shingles, and
 sizes tell which few pairs that can be.  In those second buckets rounds of stars follow: members are labelled with the
-components found so far, and where labels differ further hubs outside the largest label, twice as many each round, are paired
+components found so far, and where labels differ further hubs outside the largest label, four times as many each round, are paired
 with members of other labels, until each such member has been a hub.  So every pair of a bucket is compared, has one label
 already, or cannot be similar enough.
 
@@ -154,11 +154,13 @@ def _members(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _relabelled(labels: DataFrame, new: DataFrame) -> DataFrame:
     """``labels`` (node, label) after the links ``new``."""
+    if not new.limit(1).count():
+        return labels
     u = labels.select(F.col("node").alias("u"), F.col("label").alias("lu"))
     v = labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
     moved = components(new.join(u, "u").join(v, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")))
     moved = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return stored(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    return stored(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels", True)
 
 
 def _reaches(m: Column, n_a: Column, n_b: Column, threshold: int) -> Column:
@@ -170,10 +172,11 @@ def links(members: DataFrame, texts: DataFrame, shingle: int, threshold: int = T
     """node and label (the smallest node of its component) of all members."""
     score = members.select("node", "score").distinct()
     hubs = members.groupBy("bucket").agg(F.max_by("node", F.struct("score", F.negative("node"))).alias("hub"))
-    pairs = stored(members.join(hubs, "bucket").filter("node <> hub").select("hub", "node").distinct(), "pairs")
+    pairs = stored(members.join(hubs, "bucket").filter("node <> hub").select("hub", "node").distinct(), "pairs", True)
     first = stored(compared(pairs, texts, shingle), "compared")
     checked = pairs.select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
-    labels = _relabelled(stored(members.select("node").distinct().withColumn("label", F.col("node")), "labels"), _linked(first, threshold))
+    labels = stored(members.select("node").distinct().withColumn("label", F.col("node")), "labels", True)
+    labels = _relabelled(labels, stored(_linked(first, threshold), "links", True))
 
     # what a star still has to settle: all its rows where labels differ
     rows = first.join(labels, "node").join(labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub")
@@ -185,9 +188,9 @@ def links(members: DataFrame, texts: DataFrame, shingle: int, threshold: int = T
     near = near.select("star", "hub", F.col("node").alias("s"), F.col("n_node").alias("n_s"), F.col("inter").alias("inter_s"), F.col("label").alias("label_s"))
     small = rows.select("star", "hub", "node", "n_node", "inter", "label").join(near, ["star", "hub"])
     small = small.filter(F.col("label") != F.col("label_s")).filter(_reaches(F.least("inter", "inter_s"), F.col("n_node"), F.col("n_s"), threshold))
-    small = stored(small.select(F.least("s", "node").alias("u"), F.greatest("s", "node").alias("v")).distinct().join(checked, ["u", "v"], "left_anti"), "small")
+    small = stored(small.select(F.least("s", "node").alias("u"), F.greatest("s", "node").alias("v")).distinct().join(checked, ["u", "v"], "left_anti"), "small", True)
     found = _linked(compared(small.select(F.col("u").alias("hub"), F.col("v").alias("node")), texts, shingle), threshold)
-    labels, checked = _relabelled(labels, stored(found, "links")), checked.unionByName(small)
+    labels, checked = _relabelled(labels, stored(found, "links", True)), checked.unionByName(small)
 
     # pairs with a common shingle outside the hub meet in the bucket of that shingle
     out = rows.select("star", "hub", "node", "n_node", "inter", "label", "smallest", F.explode("outside").alias("h"))
@@ -202,8 +205,8 @@ def links(members: DataFrame, texts: DataFrame, shingle: int, threshold: int = T
 
 def _settled(open_: DataFrame, labels: DataFrame, checked: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """Labels after rounds of stars in buckets (bucket, node, n, most: the most elements it can share, score)."""
-    hubs_each = 1
-    open_ = stored(open_.join(labels, "node").withColumn("served", F.lit(False)), "open")
+    hubs_each = 2
+    open_ = stored(open_.join(labels, "node").withColumn("served", F.lit(False)), "open", True)
     while True:
         by_label = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("in_label"))
         largest = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("in_label", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("bucket", "largest")
@@ -213,18 +216,19 @@ def _settled(open_: DataFrame, labels: DataFrame, checked: DataFrame, texts: Dat
             .agg(F.max_by(F.struct("node", "label", "n", "most"), F.struct("score", F.negative("node"))).alias("hub"))
             .select("bucket", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "label", "n", "most")]),
             "hubs",
+            True,
         )
         if not hubs.limit(1).count():
             return labels
         could = _reaches(F.least("most", "hub_most"), F.col("n"), F.col("hub_n"), threshold)
         pairs = open_.join(hubs, "bucket").filter(F.col("label") != F.col("hub_label")).filter(could)
-        pairs = stored(pairs.select(F.least("hub_node", "node").alias("u"), F.greatest("hub_node", "node").alias("v")).distinct().join(checked, ["u", "v"], "left_anti"), "pairs")
-        new = stored(_linked(compared(pairs.select(F.col("u").alias("hub"), F.col("v").alias("node")), texts, shingle), threshold), "links")
+        pairs = stored(pairs.select(F.least("hub_node", "node").alias("u"), F.greatest("hub_node", "node").alias("v")).distinct().join(checked, ["u", "v"], "left_anti"), "pairs", True)
+        new = stored(_linked(compared(pairs.select(F.col("u").alias("hub"), F.col("v").alias("node")), texts, shingle), threshold), "links", True)
         checked, labels = checked.unionByName(pairs), _relabelled(labels, new)
         now = hubs.select("bucket", F.col("hub_node").alias("node"), F.lit(True).alias("now")).distinct()
         left = open_.join(largest.select("bucket"), "bucket", "left_semi").drop("label").join(labels, "node").join(now, ["bucket", "node"], "left")
-        open_ = stored(left.withColumn("served", F.col("served") | F.col("now").isNotNull()).select(*open_.columns), "open")
-        hubs_each *= 2
+        open_ = stored(left.withColumn("served", F.col("served") | F.col("now").isNotNull()).select(*open_.columns), "open", True)
+        hubs_each *= 4
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = THRESHOLD) -> DataFrame:

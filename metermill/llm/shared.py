@@ -25,8 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage ends there, later jobs read it again."""
+def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its lineage ends there, later jobs read it again.
+
+    ``narrow`` is for rows of a few numbers (links, labels): two tasks a core write them, however many partitions a shuffle has.
+    """
+    if narrow:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     path = f"{shared_folder(df.sparkSession)}/llm/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
