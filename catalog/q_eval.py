@@ -98,11 +98,18 @@ def _(ws):
     return out(ev.acc_metrics(judged(ws), ev.CELL), 5)
 
 
+CELL_COLS = ["grouping", "scenario", "model", "region_adj", "category_detail", "territory", "period", "units", "vol_actual", "vol_fit"]
+# the external forecast is judged beside the models where it has a value; it never takes part in the selection
+cte("judged_ext", f"""SELECT {", ".join(CELL_COLS)} FROM judged
+UNION ALL SELECT 'LCA', scenario, 'LCA', region_adj, category_detail, territory, period, units, vol_actual, vol_fit FROM ext_cells WHERE covered""")
+
+
 @query("acc_levels", " UNION ALL ".join(
-    f"SELECT '{lv}' AS level, grouping, scenario, model, {MET} FROM {lvl_sql(dims)} GROUP BY grouping, scenario, model"
+    f"SELECT '{lv}' AS level, grouping, scenario, model, {MET} FROM {lvl_sql(dims).replace('FROM judged', 'FROM judged_ext')} GROUP BY grouping, scenario, model"
     for lv, dims in rules.ACCURACY_LEVELS.items()))
 def _(ws):
-    return out(ev.acc_levels(judged(ws)), 5)
+    ext = ext_cells(ws).where("covered").select(*CELL_COLS)
+    return out(ev.acc_levels(judged(ws).select(*CELL_COLS).unionByName(ext)), 5)
 
 
 BY = list(BT.select_by)
@@ -318,9 +325,9 @@ def _(ws):
 
 @query("acc_external", f"""
 SELECT 'LCA' AS grouping, scenario, 'LCA' AS model, region_adj, category_detail, territory, period, {r("units", 4)} AS units, {r("vol_actual", 4)} AS vol_actual,
-  {r("vol_fit", 4)} AS vol_fit, covered FROM ext_cells""")
+  {r("vol_fit", 4)} AS vol_fit FROM ext_cells WHERE covered""")
 def _(ws):
-    return out(ext_cells(ws))
+    return out(ext_cells(ws).where("covered").drop("covered"))
 
 
 @query("acc_external_coverage", f"SELECT scenario, {r('sum(CASE WHEN covered THEN vol_actual ELSE 0 END) / sum(vol_actual)', 6)} AS share_covered FROM ext_cells GROUP BY 1")

@@ -64,59 +64,12 @@ def median(x) -> Column:
     return F.percentile(as_column(x), F.lit(0.5))
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    accuracy: int = 10_000,
-) -> DataFrame:
-    """Exact interpolated quantiles of groups of any size.
-
-    ``percentile`` keeps every distinct value of a group in one buffer.  Here a
-    sketch of fixed size brackets each wanted rank; only rows inside a bracket
-    (about 4 in ``accuracy`` of a large group) are ranked, the rest are counted.
-    One row per key, one column per entry of ``probs``.
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles, all in one aggregation.
+
+    One row per key, one column per entry of ``probs``.  A group's buffer holds its distinct values with their
+    counts; the groups here are the series of a model term, so it is bounded by the number of series.
     """
-    keys = list(keys)
-    vals = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    eps = 2.0 / accuracy
-    cuts: list[float] = []
-    for p in probs.values():
-        cuts += [max(p - eps, 0.0), min(p + eps, 1.0)]
-    # the sketch is built on the raw rows so that ranks count repeated values
-    edges = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.percentile_approx(value, cuts, accuracy).alias("_e"),
-            F.min(value).alias("_lo"),
-            F.max(value).alias("_hi"),
-            F.count("*").alias("_n"),
-        )
-    )
-    both = vals.join(edges, keys) if keys else vals.crossJoin(F.broadcast(edges))
-    out = None
-    for i, (name, p) in enumerate(probs.items()):
-        # a small group is ranked whole: its bracket could miss a neighbour
-        small = F.col("_n") <= 4 * accuracy
-        lo = F.when(small | F.lit(p - eps <= 0), F.col("_lo")).otherwise(F.col("_e")[2 * i])
-        hi = F.when(small | F.lit(p + eps >= 1), F.col("_hi")).otherwise(F.col("_e")[2 * i + 1])
-        below = F.sum(F.when(F.col(value) < lo, F.col("_c")).otherwise(0)).alias("_below")
-        near = both.where((F.col(value) >= lo) & (F.col(value) <= hi))
-        base = both.groupBy(*keys).agg(below, F.first("_n").alias("_n"))
-        w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        near = near.select(*keys, value, "_c")
-        near = near.join(base, keys) if keys else near.crossJoin(F.broadcast(base))
-        last = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_below")
-        ranked = near.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_c") + 1)
-        pos = (F.col("_n") - 1) * F.lit(float(p)) + 1
-        k = F.floor(pos)
-        a = F.max(F.when((F.col("_first") <= k) & (F.col("_last") >= k), F.col(value)))
-        b = F.max(
-            F.when((F.col("_first") <= F.ceil(pos)) & (F.col("_last") >= F.ceil(pos)), F.col(value))
-        )
-        frac = F.max(pos - k)
-        part = ranked.groupBy(*keys).agg((a + (b - a) * frac).alias(name))
-        out = part if out is None else (out.join(part, keys) if keys else out.crossJoin(part))
-    return out
+    q = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()]))
+    found = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(q.alias("_q"))
+    return found.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])

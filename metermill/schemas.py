@@ -25,6 +25,8 @@ BASE = (
     "vol_meas_water_imputed double, rebalanced boolean, prec_tot double, temp_med double, jobs double, "
     "real_tariff double"
 )
+BASE_ALIASES = {"irt_real": "real_tariff"}
+BASE_OPTIONAL = ["size_class"]
 EXTERNAL_RAW = "tp string, periodo string, categoria string, regiao string, var string, valor double"
 DECISION = "segment string, target string, category_detail string, grouping string, model string"
 

@@ -102,11 +102,6 @@ def src_wide_jobs(wide: DataFrame, first_month, p: CovariateParams) -> DataFrame
     )
 
 
-def src_csv_base(spark: SparkSession, path: str) -> DataFrame:
-    """Analytic base from CSV with a fixed schema."""
-    return spark.read.schema(schemas.BASE).option("header", True).csv(path)
-
-
 def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The relation itself; the job fails if a key repeats or nothing is there.
 
@@ -118,6 +113,24 @@ def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(ok)).where(F.col("_ok").isNull()).drop("_ok")
 
 
+def src_csv_base(spark: SparkSession, path: str, keys: Sequence[str] = ("series_key", "size_class", "period")) -> DataFrame:
+    """Analytic base from CSV: columns by their header name, in any order, with the types of the base.
+
+    The tariff may have its older name and the size class may be absent (then null); any other missing column is
+    an error, and so are files with different headers, an empty base and a repeated key.
+    """
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    for old, new in schemas.BASE_ALIASES.items():
+        if old in raw.columns and new not in raw.columns:
+            raw = raw.withColumnRenamed(old, new)
+    wanted = spark.createDataFrame([], schemas.BASE).schema
+    missing = [f.name for f in wanted if f.name not in raw.columns and f.name not in schemas.BASE_OPTIONAL]
+    if missing:
+        raise ValueError(f"the base lacks {missing}")
+    cols = [(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]
+    return check_unique(raw.select(*cols), list(keys))
+
+
 def src_csv_infer(spark: SparkSession, path: str) -> DataFrame:
     """Older files: header and inferred types."""
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
