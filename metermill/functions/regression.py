@@ -9,6 +9,7 @@ import numpy as np
 
 SEASON = 12
 START = 13  # months lost to the longest lag
+MIN_MONTHS = 36  # the shortest history that gets a model
 
 
 def difference(x: np.ndarray, d: int, sd: int) -> np.ndarray:
@@ -79,7 +80,7 @@ def fit(y: np.ndarray, x: np.ndarray, months: np.ndarray, d_opts, sd_opts, const
     d = d_opts[0] if len(d_opts) == 1 else plain_difference(base)
     z, zx = difference(y, d, sd), difference(x, d, sd)
     n = len(z)
-    if n < START + 16 or z.std() == 0:
+    if len(y) < MIN_MONTHS or z.std() == 0:  # the trials below skip what the months left cannot support
         return None
     has_const = constant and d + sd <= 1
     fixed = np.column_stack([np.ones(n), zx]) if has_const else zx

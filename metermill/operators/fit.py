@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import regression as reg
 from ..functions.dates import month_index
+from ..plans.shipping import ship
 from ..rules import MODELS, TERMS
 from .evaluate import series_accuracy
 from .series import GROUPED
@@ -102,6 +103,7 @@ def _packed(rows: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFr
 def fc_fit(train: DataFrame, plan: DataFrame) -> DataFrame:
     """Parameters of every series x model of the plan, one row each."""
     packed = _packed(train, GROUPED, ["consumption", "volume", *TERM_OF])
+    ship(train.sparkSession)
     work = packed.join(plan.select(*GROUPED, "model"), GROUPED).repartition(_tasks(train), *GROUPED, "model")
     return work.mapInPandas(_fit_batches, FIT_DDL)
 
@@ -134,6 +136,7 @@ def _predict_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fc_predict(fits: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Forecasts per series x model x scenario, mean on the original scale."""
+    ship(fits.sparkSession)
     scen = _packed(scenarios, [*GROUPED, "scenario"], ["period", *TERM_OF])
     slim = fits.where("fitted").drop("residuals", "p_value", "terms", "aicc")
     slim = slim.withColumnsRenamed({"columns": "columns_", "const": "const_"})

@@ -4,7 +4,7 @@ A stage used by several jobs is a table in the folder the cluster shares
 (``spark.checkpoint.dir``).  Reading it back cuts the lineage, survives the
 loss of executors, and gives the optimizer real sizes: joins turn into
 broadcasts only where the stored side is small enough for the session's
-threshold.  On a cluster without that setting stages stay lazy.
+threshold.  A cluster must have that setting.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_root: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str | None:
+def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a private one only for local sessions."""
     conf = spark.conf.get(CHECKPOINT_KEY, None)
     if conf:
         return conf.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return None
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_root:
         _local_root[app] = tempfile.mkdtemp(prefix="metermill-")
@@ -45,24 +45,18 @@ class Workspace:
         self.run_id = hashlib.sha1(text.encode()).hexdigest()[:12]
         self._built: dict[str, DataFrame] = {}
 
-    def folder(self, name: str) -> str | None:
-        root = shared_folder(self.spark)
-        return f"{root}/{self.run_id}/{name}" if root else None
+    def folder(self, name: str) -> str:
+        return f"{shared_folder(self.spark)}/{self.run_id}/{name}"
 
     def output(self, name: str) -> str:
-        """Folder for files a caller asked for; needs a shared place."""
-        path = self.folder(name)
-        if path is None:
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        return path
+        """Folder for files a caller asked for."""
+        return self.folder(name)
 
     def stage(self, name: str, build: Callable[[], DataFrame], bucket_by: str | None = None) -> DataFrame:
         """The stage's table, built on first use."""
         if name not in self._built:
             path = self.folder(name)
-            if path is None:
-                self._built[name] = build()
-            elif bucket_by:
+            if bucket_by:
                 self._built[name] = self._bucketed(name, path, build(), bucket_by)
             else:
                 build().write.mode("overwrite").parquet(path)

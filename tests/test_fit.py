@@ -66,3 +66,12 @@ def test_damped_trend_follows_growth(spark):
     assert got[("a", month(40))] == pytest.approx(1000 * 1.01**40, rel=0.01)
     assert got[("b", month(41))] == pytest.approx(5.0)
     assert ("c", month(40)) not in got
+
+
+def test_every_history_from_the_minimum_on_is_fitted():
+    rng = np.random.default_rng(5)
+    for n in range(reg.MIN_MONTHS, 44):
+        months = np.arange(n) % 12 + 1
+        y = 3 + 0.01 * np.arange(n) + 0.1 * np.sin(months) + rng.normal(0, 0.02, n)
+        for d, sd in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            assert reg.fit(y, np.zeros((n, 0)), months, [d], [sd], True) is not None, (n, d, sd)
