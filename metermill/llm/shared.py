@@ -1,14 +1,14 @@
-"""What the operators share: intermediate tables in the cluster's folder, and shipping this package to executors."""
+"""What the operators share: intermediate tables in the cluster's folder, and how Python workers are prepared."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.shipping import ship
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Words of all operators: runs of anything but these six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,23 +37,6 @@ def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, also where the driver's path is not theirs."""
-    sc = spark.sparkContext
-    if getattr(sc, "_metermill_shipped", False):
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="metermill-ship-"), "metermill.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for top, _, files in os.walk(package):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(top, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
-    sc.addPyFile(target)
-    sc._metermill_shipped = True
-
-
 def arrow_rows(spark: SparkSession, rows: int = 500) -> None:
     """Rows of an Arrow batch: with long texts the default of 10,000 would be gigabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
