@@ -49,14 +49,14 @@ def _(ws):
 
 @query("prj_item", "SELECT item_code, water_item, sewage_item, count(*) AS n FROM flagged GROUP BY ALL")
 def _(ws):
-    return facts.prj_item(facts.prj_dedup(st.bills(ws))).groupBy("item_code", "water_item", "sewage_item").agg(
+    return facts.prj_item(st.clean_bills(ws)).groupBy("item_code", "water_item", "sewage_item").agg(
         F.count("*").alias("n")
     )
 
 
 @query("prj_flags", "SELECT sewage_item, is_water, is_sewage, is_avail, count(*) AS n FROM flagged GROUP BY ALL")
 def _(ws):
-    return facts.prj_flags(facts.prj_dedup(st.bills(ws))).groupBy(
+    return facts.prj_flags(st.clean_bills(ws)).groupBy(
         "sewage_item", "is_water", "is_sewage", "is_avail"
     ).agg(F.count("*").alias("n"))
 
@@ -64,7 +64,7 @@ def _(ws):
 @query("prj_classify", """
 SELECT category_code, item_code, product_code, benefit_type, class_code, usage_code, count(*) AS n FROM coded GROUP BY ALL""")
 def _(ws):
-    return facts.coded_bills(st.bills(ws)).groupBy(
+    return facts.classified(st.clean_bills(ws)).groupBy(
         "category_code", "item_code", "product_code", "benefit_type", "class_code", "usage_code"
     ).agg(F.count("*").alias("n"))
 
@@ -73,7 +73,7 @@ def _(ws):
 SELECT class_code, class_code LIKE '%SOC\_50%' ESCAPE '\' AS is_soc_50, class_code NOT LIKE '%\_COMER%' ESCAPE '\' AS not_comer,
   regexp_matches(class_code, '(_PRO|CON_PR|PUB_PR)') AS is_program, count(*) AS n_bills FROM clean_bills GROUP BY class_code""")
 def _(ws):
-    return facts.flt_pattern(facts.prj_dedup(st.bills(ws)))
+    return facts.flt_pattern(st.clean_bills(ws))
 
 
 @query("win_latest", "SELECT account, territory FROM latest")
@@ -86,13 +86,13 @@ SELECT b.account, b.contract, b."year", b."month", l.territory, count(*) AS n
 FROM clean_bills b LEFT JOIN latest l ON b.account = l.account GROUP BY ALL""")
 def _(ws):
     # several bills of a contract fold before the join
-    rows = facts.prj_dedup(st.bills(ws)).groupBy("account", "contract", "year", "month").agg(F.count("*").alias("n"))
+    rows = st.clean_bills(ws).groupBy("account", "contract", "year", "month").agg(F.count("*").alias("n"))
     return facts.jn_latest(rows, st.latest(ws)).select("account", "contract", "year", "month", "territory", "n")
 
 
 @query("agg_account_month", f"SELECT * {FACT_ROUND} FROM fact")
 def _(ws):
-    f = facts.agg_account_month(facts.coded_bills(st.bills(ws)), st.latest(ws))
+    f = facts.agg_account_month(facts.classified(st.clean_bills(ws)), st.latest(ws))
     return out(f)
 
 

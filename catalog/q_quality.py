@@ -36,7 +36,7 @@ FROM multi_bills""")
 
 @query("win_bill_order", f'SELECT account, "year", "month", issue_date, contract, {r("meas_water", 4)} AS meas_water, bill_order FROM bill_order')
 def _(ws):
-    rows = quality.win_bill_order(st.bills(ws), st.fact(ws))
+    rows = quality.win_bill_order(st.multi_bills(ws))
     return out(rows.select("account", "year", "month", "issue_date", "contract", "meas_water", "bill_order"))
 
 
@@ -49,7 +49,7 @@ FROM (SELECT account, "year", "month", count(*) AS n, sum(days) AS dt, max(days)
         max(CASE WHEN bill_order = 1 THEN meas_water END) AS vl, sum(vb) AS vbb, sum(bill_water_neg) AS vn,
         count(*) FILTER (vb < 0 OR bill_water_neg < 0) AS nc FROM bill_order GROUP BY 1, 2, 3) GROUP BY 1""")
 def _(ws):
-    return out(quality.dq_d1b(st.bills(ws), st.fact(ws)))
+    return out(quality.dq_d1b(st.multi_bills(ws)))
 
 
 cte("top30", f"""

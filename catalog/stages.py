@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from metermill.operators import accounts, facts
+from metermill.operators import accounts, facts, quality
 from metermill.plans.workspace import Workspace
 from metermill.sources import driver_tables as src
 
@@ -13,6 +13,15 @@ def bills(ws: Workspace) -> DataFrame:
     return src.bills(ws.spark, ws.source)
 
 
+def clean_bills(ws: Workspace) -> DataFrame:
+    """Processed bills without exact copies: the joins and the DISTINCT of a run happen here, once."""
+    return ws.stage("clean_bills", lambda: facts.prj_dedup(bills(ws)))
+
+
+def multi_bills(ws: Workspace) -> DataFrame:
+    return ws.stage("multi_bills", lambda: quality.multi_bills(clean_bills(ws), fact(ws)))
+
+
 def registry(ws: Workspace) -> DataFrame:
     return src.registry(ws.spark, ws.source)
 
@@ -32,7 +41,7 @@ def latest(ws: Workspace) -> DataFrame:
 def fact(ws: Workspace) -> DataFrame:
     return ws.stage(
         "fact",
-        lambda: facts.agg_account_month(facts.coded_bills(bills(ws)), latest(ws)),
+        lambda: facts.agg_account_month(facts.classified(clean_bills(ws)), latest(ws)),
         bucket_by="account",
     )
 

@@ -160,7 +160,12 @@ def agg_account_month(coded: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def coded_bills(bills: DataFrame) -> DataFrame:
-    return prj_classify(prj_flags(prj_item(prj_dedup(bills))))
+    return classified(prj_dedup(bills))
+
+
+def classified(clean: DataFrame) -> DataFrame:
+    """The same from bills that are deduplicated already."""
+    return prj_classify(prj_flags(prj_item(clean)))
 
 
 def flt_account(fact: DataFrame) -> DataFrame:

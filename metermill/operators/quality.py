@@ -13,7 +13,7 @@ from ..rules import EXCLUDED_DETAILS, MULTI_BILL_TYPES, OFFICE_DUPLICATE, OFFICE
 from ..schemas import SERIES
 from ..sources.values import relation
 from .accounts import sized_scope
-from .facts import flt_account, prj_dedup
+from .facts import flt_account
 
 MONTH = ["account", "year", "month"]
 
@@ -28,10 +28,10 @@ def dq_d1(fact: DataFrame) -> DataFrame:
     )
 
 
-def multi_bills(bills: DataFrame, fact: DataFrame) -> DataFrame:
+def multi_bills(clean: DataFrame, fact: DataFrame) -> DataFrame:
     """Deduplicated bills of the account-months that have several."""
     multi = fact.where(F.col("n_bills") > 1).select(*MONTH).distinct()
-    return prj_dedup(bills.join(multi, MONTH, "left_semi"))
+    return clean.join(multi, MONTH, "left_semi")
 
 
 def _billed() -> Column:
@@ -42,21 +42,19 @@ def _credit() -> Column:
     return F.when(_billed() < 0, 1).otherwise(0)
 
 
-def win_bill_order(bills: DataFrame, fact: DataFrame) -> DataFrame:
-    """Bills of an account-month, credits last, then newest first.
+def win_bill_order(rows: DataFrame) -> DataFrame:
+    """Bills (``multi_bills``) of an account-month, credits last, then newest first.
 
     The order is counted inside (credit, issue day) cells, so an account-month
     with very many bills is split over tasks.
     """
-    rows = multi_bills(bills, fact)
     newest = -F.unix_date("issue_date")
     ties = [F.desc("contract"), F.desc("meas_water")]
     return rank_by_cells(rows, MONTH, [_credit(), newest], ties, "bill_order")
 
 
-def dq_d1b(bills: DataFrame, fact: DataFrame) -> DataFrame:
-    """What the account-months with several bills are."""
-    rows = multi_bills(bills, fact)
+def dq_d1b(rows: DataFrame) -> DataFrame:
+    """What the account-months with several bills (``multi_bills``) are."""
     # the first bill of the order above, as an aggregate: no ranking needed
     place = F.struct(1 - _credit(), "issue_date", "contract", "meas_water")
     per = rows.groupBy(*MONTH).agg(
