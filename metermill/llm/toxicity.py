@@ -80,7 +80,7 @@ def kernel(xs: list[str], ys: list[str]) -> np.ndarray:
     hit = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == kx)
     out = np.zeros((len(xs), len(ys)))
     order = np.flatnonzero(hit)
-    for part in np.array_split(order, max(1, len(order) // 200_000)):
+    for part in np.array_split(order, max(1, len(order) // 20_000)):
         np.add.at(out, wx[part], right[at[part]] * (vx[part] / nx[wx[part]])[:, None])
     return out
 
