@@ -333,7 +333,7 @@ def _(ws):
     return out(landing.src_csv_base(ws.spark, path))
 
 
-@query("snk_sample")
+@query("snk_sample", BASE_CHECK + " WHERE CAST('0x' || substr(md5(series_key), 1, 8) AS BIGINT) % 100 < 50")
 def _(ws):
     return out(sinks.snk_sample(st.base(ws)))
 
