@@ -158,7 +158,9 @@ def _(ws):
     return ev.jn_right(stats, fit.best_models(plain(ws)))
 
 
-@query("fc_refit")
+@query("fc_refit", f"""
+SELECT count(*) <> count(*) FILTER (WHERE period < {lit(TRAIN)}) OR count(DISTINCT ({K5})) <> count(DISTINCT ({K5})) FILTER (WHERE period < {lit(TRAIN)}) AS refit
+FROM ts WHERE period <= {lit(TRAIN)} AND ({K5}) IN (SELECT ({K5}) FROM info WHERE eligible)""")
 def _(ws):
     """Is a stored fit still valid?  The stored training set lacks a month."""
     formulas = {m: rules.MODELS[m].formula for m in ws.params.backtest.models}
