@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions.dates import yyyymm
 from ..functions.numeric import median, percent, ratio, snap_round
 from ..params import AbsurdParams, SizeParams
-from ..rules import FIRM_DEMAND, LARGE, OTHERS, SIZE_CATEGORIES
+from ..rules import FIRM_DEMAND, LARGE, NO_ACCOUNT, OTHERS, SIZE_CATEGORIES
 from ..sources.values import relation
 from .facts import flt_account
 
@@ -131,8 +131,21 @@ def agg_absurd_summary(factors: DataFrame) -> DataFrame:
     return factors.groupBy("year").agg(F.count("*").alias("account_months"), *removed)
 
 
+def has_account() -> Column:
+    """Rows of a real account.  The others can be a third of the fact and match no size class or factor."""
+    return F.coalesce(F.col("account") != NO_ACCOUNT, F.lit(False))
+
+
 def jn_factor(fact: DataFrame, factors: DataFrame) -> DataFrame:
-    """Correction factors next to each fact row; 1 where nothing is corrected."""
+    """Correction factors next to each fact row; 1 where nothing is corrected.
+
+    Rows without an account stay out of the join: they would all meet in one task.
+    """
+    none = {f"f_{v}": F.lit(1.0) for v in VOLUMES}
+    return _factor_of_known(fact.where(has_account()), factors).unionByName(fact.where(~has_account()).withColumns(none))
+
+
+def _factor_of_known(fact: DataFrame, factors: DataFrame) -> DataFrame:
     f = factors.select("account", "year", "month", *[f"f_{v}" for v in VOLUMES])
     one = {f"f_{v}": F.coalesce(F.col(f"f_{v}"), F.lit(1.0)) for v in VOLUMES}
     return fact.join(f, ["account", "year", "month"], "left").withColumns(one)
@@ -168,20 +181,22 @@ def agg_hist(
     Distinct connections come from one row per account (flags kept as maxima),
     so no distinct aggregate multiplies the rows.
     """
-    sized = fact.join(size.select("account", "size_class"), "account", "left").withColumn(
+    known_rows = fact.where(has_account()).join(size.select("account", "size_class"), "account", "left").withColumn(
         "size_class", F.coalesce("size_class", F.lit(OTHERS))
     )
-    rows = jn_factor(sized, factors)
+    known_rows = _factor_of_known(known_rows, factors)
+    other_rows = fact.where(~has_account()).withColumns({"size_class": F.lit(OTHERS), **{f"f_{v}": F.lit(1.0) for v in VOLUMES}})
     sums = ["n_bills", "days", "units", *[f"units_{x}" for x in FLAGS]]
-    per_account = rows.groupBy(
-        "account", "category_code", "size_class", "office", "territory", "year", "month"
-    ).agg(
+    per_row = [
         *[F.max(f"has_{x}").alias(f"has_{x}") for x in FLAGS],
         *[F.sum(c).alias(c) for c in sums],
         *[F.sum(F.col(v).cast("double") * F.col(f)).alias(v) for v, f in CORRECTED.items()],
         F.sum("vol_meas_water").cast("double").alias("vol_meas_water_raw"),
         F.sum("vol_bill_water").cast("double").alias("vol_bill_water_raw"),
-    )
+    ]
+    one = ["account", "category_code", "size_class", "office", "territory", "year", "month"]
+    # real accounts are grouped in their buckets; the others are dealt out by all their keys
+    per_account = known_rows.groupBy(*one).agg(*per_row).unionByName(other_rows.groupBy(*one).agg(*per_row))
     known = F.col("account").isNotNull()
     keys = ["category_code", "size_class", "office", "territory", "year", "month"]
     grouped = per_account.groupBy(*keys).agg(
