@@ -119,7 +119,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1
 """)
 cte("ipca_index", "SELECT period, value AS monthly, 100 * exp(sum(ln(1 + value / 100)) OVER (ORDER BY period)) AS index FROM ipca")
 cte("adj", "SELECT bill_month, valid_from, category_detail, CAST(percent AS DOUBLE) AS percent FROM " + values(
-    "t", "bill_month, valid_from, category_detail, percent, source", T.adjustments))
+    "t", "bill_month, valid_from, category_detail, percent", T.adjustments))
 cte("cats", "SELECT * FROM " + values("t", "category_detail", [(x,) for x in T.details]))
 cte("adj_all", "SELECT bill_month, c.category_detail, percent FROM adj JOIN cats c ON adj.category_detail IS NULL OR adj.category_detail = c.category_detail")
 cte("tariff_grid", f"""

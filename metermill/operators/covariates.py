@@ -21,10 +21,7 @@ def win_cumprod(index: DataFrame) -> DataFrame:
 
 
 def adjustments(spark: SparkSession, p: TariffParams) -> DataFrame:
-    ddl = [
-        ("bill_month", "date"), ("valid_from", "date"), ("category_detail", "string"), ("percent", "double"),
-        ("source", "string"),
-    ]
+    ddl = [("bill_month", "date"), ("valid_from", "date"), ("category_detail", "string"), ("percent", "double")]
     return relation(spark, ddl, p.adjustments)
 
 

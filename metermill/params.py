@@ -54,18 +54,18 @@ class BaseParams:
 class TariffParams:
     base_month: date = date(2022, 1, 1)
     last_month: date = date(2026, 8, 1)
-    # Fixed values: (month on bills, valid from, detail or None for all, percent, source)
-    adjustments: tuple[tuple[date, date, str | None, float, str], ...] = (
-        (date(2022, 6, 1), date(2022, 5, 10), None, 12.8019, "reajuste 2022"),
-        (date(2023, 6, 1), date(2023, 5, 10), None, 9.5609, "reajuste 2023"),
-        (date(2024, 6, 1), date(2024, 5, 10), None, 6.4469, "reajuste 2024"),
-        (date(2024, 8, 1), date(2024, 7, 23), "Residencial Normal", -1.0, "desestatização"),
-        (date(2024, 8, 1), date(2024, 7, 23), "Residencial Social", -10.0, "desestatização"),
-        (date(2024, 8, 1), date(2024, 7, 23), "Residencial Social Vulnerável", -10.0, "desestatização"),
-        (date(2024, 8, 1), date(2024, 7, 23), "Comercial", -0.5, "desestatização"),
-        (date(2024, 8, 1), date(2024, 7, 23), "Industrial", -0.5, "desestatização"),
-        (date(2024, 8, 1), date(2024, 7, 23), "Pública", 0.0, "desestatização (a confirmar)"),
-        (date(2026, 4, 1), date(2026, 1, 1), None, 6.1106, "deliberação 1.748/2025"),
+    # Fixed values: (month on bills, valid from, detail or None for all, percent)
+    adjustments: tuple[tuple[date, date, str | None, float], ...] = (
+        (date(2022, 6, 1), date(2022, 5, 10), None, 12.8019),
+        (date(2023, 6, 1), date(2023, 5, 10), None, 9.5609),
+        (date(2024, 6, 1), date(2024, 5, 10), None, 6.4469),
+        (date(2024, 8, 1), date(2024, 7, 23), "Residencial Normal", -1.0),
+        (date(2024, 8, 1), date(2024, 7, 23), "Residencial Social", -10.0),
+        (date(2024, 8, 1), date(2024, 7, 23), "Residencial Social Vulnerável", -10.0),
+        (date(2024, 8, 1), date(2024, 7, 23), "Comercial", -0.5),
+        (date(2024, 8, 1), date(2024, 7, 23), "Industrial", -0.5),
+        (date(2024, 8, 1), date(2024, 7, 23), "Pública", 0.0),
+        (date(2026, 4, 1), date(2026, 1, 1), None, 6.1106),
     )
     details: tuple[str, ...] = rules.MODEL_DETAILS
 
@@ -188,7 +188,7 @@ def driver_scale() -> Params:
         tariff=replace(
             p.tariff,
             base_month=date(1997, 1, 1), last_month=date(2001, 7, 1),
-            adjustments=tuple((back(a), back(b), c, d, e) for a, b, c, d, e in p.tariff.adjustments),
+            adjustments=tuple((back(a), back(b), c, d) for a, b, c, d in p.tariff.adjustments),
         ),
         covariates=replace(p.covariates, current_month=date(2024, 2, 1)),
         grouping=replace(p.grouping, capital="NATION_0", by_office=("NATION_0", "NATION_1", "NATION_2")),

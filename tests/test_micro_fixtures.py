@@ -191,7 +191,7 @@ def test_jobs_carry_inside_each_municipality(spark):
 
 def test_tariff(spark):
     p = replace(TariffParams(), base_month=date(2022, 1, 1), last_month=date(2022, 4, 1), details=("X", "Y"),
-                adjustments=((date(2022, 3, 1), date(2022, 2, 1), None, 10.0, ""), (date(2022, 3, 1), date(2022, 2, 1), "X", -50.0, "")))
+                adjustments=((date(2022, 3, 1), date(2022, 2, 1), None, 10.0), (date(2022, 3, 1), date(2022, 2, 1), "X", -50.0)))
     idx = spark.createDataFrame([(date(2022, m, 1), v) for m, v in ((1, 100.0), (2, 110.0), (3, 110.0))], "period date, index double")
     got = {(r.category_detail, r.period.month): r for r in covariates.agg_tariff(covariates.adjustments(spark, p), covariates.details(spark, p), idx, p).collect()}
     assert got[("X", 3)].real_tariff == pytest.approx(100 * 1.1 * 0.5 / 1.1)
