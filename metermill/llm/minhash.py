@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """A row per document: doc_id, n_shingles, component_id, kept."""
     sketch = stored(sketches(docs, id_col, text_col, shingle), "sketches")
     nodes, members = _members(sketch)
-    wanted = members.select("node").distinct()
+    wanted = members.select("node").distinct().hint("merge")  # the same join at every size: what is shuffled grows with the input
     texts = stored(docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").alias("mh_text")).join(wanted, "node", "left_semi"), "texts")
     labels = links(members, texts, shingle, threshold)
     nodes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -165,5 +165,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     with_size = _sized(docs, id_col, text_col, source_col)
     sized = stored(with_size.select("mix_id", "mix_source", "mix_size"), "sized")
     wanted = decisions(sized, **settings).select("mix_id", "mix_source", "mix_size", "mix_copies").filter("mix_copies > 0")
-    often = _joined(with_size, stored(wanted, "wanted")).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
+    # texts travel by one kind of join at every size, so what a run shuffles grows with its input
+    often = _joined(with_size, stored(wanted, "wanted").hint("merge")).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
     return unpacked(often, docs.columns)
