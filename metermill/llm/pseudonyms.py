@@ -3,7 +3,10 @@
 A value is found by its form, validated (check digits, calendar, ranges), turned into an integer of its format's domain and sent
 through a keyed Feistel permutation of that domain; cycle walking repeats it until the result is a valid value of
 the same format.  So cards pass the check-digit test again, dates are dates, separators and letter case stay, and equal values
-get equal pseudonyms in all documents, however they are punctuated.  With the key ``restored`` undoes it.
+get equal pseudonyms in all documents, however they are punctuated.  With the key and ps_spans ``restored`` undoes it.
+
+Where the longest text that fits a form fails its check, shorter heads that end between two groups are tried (an IBAN first at its
+country's length, a card first as cards are printed), then the other kinds at that place, then later starts inside it.
 
 Kinds: card (13-19 digits, Luhn), iban (mod 97), ssn, phone (+country code, or North American), ip (version 4),
 date (year-month-day or day and month before a year, 1900-2099), mail (the name before the @; the domain stays).
@@ -27,21 +30,39 @@ from .shared import prepare, without
 from .text import slices
 
 KEY = b"metermill pseudonyms"
+SPANS = "array<struct<kind:string,start:int,end:int>>"
 ROUNDS = 8
 
-FORMS = re.compile(
-    r"""
-    (?P<mail>(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
-  | (?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
-  | (?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?P<sep>[./-])\d{1,2}(?P=sep)\d{4})(?![\w/-]|\.\d))
-  | (?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))
-  | (?P<phone>(?<![\w+])(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w|-\d)
-      | (?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?![\w-]))
-  | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
-  | (?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))
-    """,
-    re.VERBOSE | re.ASCII,
-)
+_FORMS = {
+    "mail": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)",
+    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?P<sep>[./-])\d{1,2}(?P=sep)\d{4})(?![\w/-]|\.\d)",
+    "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)",
+    "phone": r"""(?<![\w+])(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w|-\d)
+      | (?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?![\w-])""",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
+}
+FORMS = re.compile("|".join(f"(?P<{k}>{f})" for k, f in _FORMS.items()), re.VERBOSE | re.ASCII)
+_EACH = {k: re.compile(f, re.VERBOSE | re.ASCII) for k, f in _FORMS.items()}
+#: A place inside a span where one group of characters ends and another begins.
+_BORDER = {"card": re.compile(r"(?<=\d)[ -](?=\d)"), "iban": re.compile(r"[ ]"), "phone": re.compile(r"(?<=[\d)])[ .-](?=[\d(])")}
+_GROUP = re.compile(r"(?<=[ .(-])\d")
+#: Cards as they are printed; tried before other cuts of a run of digits.
+_PRINTED = re.compile(r"(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})(?![\w]|\.\d)", re.ASCII)
+IBAN_LENGTH = {
+    k: int(n)
+    for n, ks in (
+        x.split(":")
+        for x in (
+            "15:NO", "16:BE", "18:DK FK FO FI GL NL SD", "19:MK SI", "20:AT BA EE KZ LT LU MN XK", "21:CH HR LI LV",
+            "22:BG BH CR DE GB GE IE ME RS VA", "23:AE GI IL IQ OM SO TL", "24:AD CZ ES MD PK RO SA SE SK TN VG", "25:LY PT ST",
+            "26:IS TR", "27:BI DJ FR GR IT MC SM MR", "28:AL AZ BY CY DO GT HN HU LB NI PL SV", "29:BR EG PS QA UA", "30:JO KW MU YE",
+            "31:MT SC", "32:LC", "33:RU",
+        )
+    )
+    for k in ks.split()
+}
 _HINT = re.compile(r"[0-9@]")
 _DAY0, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
@@ -102,6 +123,38 @@ def iban_rest(s: str) -> int:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
 
 
+def _is_card(digits: str) -> bool:
+    return luhn(digits[:-1]) == int(digits[-1]) and digits[0] != "0"
+
+
+def _printed(text: str, start: int, end: int) -> bool:
+    m = _PRINTED.match(text, start)
+    return m is not None and m.end() == end
+
+
+def _card_inside(text: str, start: int, end: int) -> bool:
+    """Does a valid card in a printed form start inside and not at the start?"""
+    found = (_PRINTED.match(text, g.start()) for g in _GROUP.finditer(text, start + 1, end))
+    return any(p is not None and _is_card(_digits(p.group())) for p in found)
+
+
+def _ends(text: str, kind: str, span: re.Match) -> list[int]:
+    """Where a value of ``kind`` may end: the form that its country or print gives it, the whole span, shorter heads."""
+    start, end = span.span()
+    if kind not in _BORDER:
+        return [end]
+    ends = [end, *reversed([b.start() for b in _BORDER[kind].finditer(text, start, end)])]
+    if kind == "card":
+        ends = [e for e in ends if len(_digits(text[start:e])) >= 13]
+        first = [e for e in ends if _printed(text, start, e)]
+    elif kind == "iban":
+        length = IBAN_LENGTH.get(text[start : start + 2])
+        first = [e for e in ends if len(text[start:e].replace(" ", "")) == length]
+    else:
+        first = []
+    return [*first, *(e for e in ends if e not in first)]
+
+
 class Pseudonymizer:
     def __init__(self, key: bytes = KEY):
         self.key, self.cache = key, {}
@@ -116,10 +169,13 @@ class Pseudonymizer:
 
     def card(self, s: str, undo: bool) -> str | None:
         d = _digits(s)
-        if luhn(d[:-1]) != int(d[-1]) or d[0] == "0":
+        if not _is_card(d):
             return None
         n = len(d) - 1
-        body = f"{self._permute('card', int(d[:-1]), 10**n, lambda x: x >= 10 ** (n - 1), undo):0{n}d}"
+        # heads that are cards themselves stay such, and others do not become cards: the same value is found again
+        heads = lambda body: [_is_card(body[:k]) for k in range(13, n + 1)]
+        same = heads(d[:-1])
+        body = f"{self._permute('card', int(d[:-1]), 10**n, lambda x: x >= 10 ** (n - 1) and heads(str(x)) == same, undo):0{n}d}"
         return _refill(s, body + str(luhn(body)))
 
     def iban(self, s: str, undo: bool) -> str | None:
@@ -213,28 +269,56 @@ class Pseudonymizer:
             out.append(c)
         return "".join(reversed(out)) + "@" + domain
 
+    def _at(self, text: str, m: re.Match, undo: bool) -> tuple[str, int, str | None]:
+        """Kind, end and new form of the first valid value that starts where ``m`` does; form None if there is none."""
+        kinds = list(_EACH)
+        for kind in kinds[next(i for i, k in enumerate(kinds) if m[k] is not None) :]:
+            if not (span := _EACH[kind].match(text, m.start())):
+                continue
+            for end in _ends(text, kind, span):
+                cut = kind == "phone" and end < span.end() or kind == "card" and not _printed(text, m.start(), end)
+                if cut and _card_inside(text, m.start(), end):
+                    continue
+                if (new := getattr(self, kind)(text[m.start() : end], undo)) is not None:
+                    return kind, end, new
+        return "", m.end(), None
+
+    def back(self, text: str, spans: list[tuple[str, int, int]]) -> str:
+        """The text before pseudonyms were put at ``spans``: no form has to be found again."""
+        out, at = [], 0
+        for kind, a, b in spans:
+            old = getattr(self, kind)(text[a:b], True)
+            out += [text[at:a], text[a:b] if old is None else old]
+            at = b
+        return "".join([*out, text[at:]])
+
     def text(self, text: str, undo: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and kind, start and end (code points of the new text) of each."""
         if not _HINT.search(text):
             return text, []
         out, spans, at, size = [], [], 0, 0
-        for m in FORMS.finditer(text):
-            kind = m.lastgroup if m.lastgroup != "sep" else "date"
-            new = getattr(self, kind)(m.group(), undo)
+        look = 0
+        while m := FORMS.search(text, look):
+            kind, end, new = self._at(text, m, undo)
             if new is None:
+                look = m.end() if m["mail"] else m.start() + 1  # what is valid may start inside
                 continue
             size += m.start() - at
             out += [text[at : m.start()], new]
             spans.append((kind, size, size + len(new)))
-            at, size = m.end(), size + len(new)
+            at, size = end, size + len(new)
+            look = at
         return "".join([*out, text[at:]]), spans
 
 
 def pseudonymized(docs: DataFrame, text_col: str = "text", key: bytes = KEY, undo: bool = False) -> DataFrame:
     """``docs`` with the text rewritten and ps_spans, an array of (kind, start, end)."""
     prepare(docs.sparkSession)
-    docs = without(docs, {"ps_spans"})
-    schema = docs.select("*", F.lit(None).cast("array<struct<kind:string,start:int,end:int>>").alias("ps_spans")).schema
+    empty = F.lit(None).cast(SPANS).alias("ps_spans")
+    known = undo and dict(docs.dtypes).get("ps_spans") == SPANS
+    plain = without(docs, {"ps_spans"})
+    schema = plain.select("*", empty).schema
+    docs = plain.select("*", empty) if not known else docs.select(*[F.col(f"`{c}`") for c in plain.columns], "ps_spans")
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     place = docs.columns.index(text_col)
 
@@ -243,17 +327,21 @@ def pseudonymized(docs: DataFrame, text_col: str = "text", key: bytes = KEY, und
         for batch in batches:
             for part in slices(batch, text_col):
                 texts, spans = [], []
-                for t in part.column(text_col).to_pylist():
-                    new, found = (None, []) if t is None else machine.text(t, undo)
+                for t, old in zip(part.column(text_col).to_pylist(), part.column("ps_spans").to_pylist(), strict=True):
+                    if t is not None and old is not None:
+                        new, found = machine.back(t, [(s["kind"], s["start"], s["end"]) for s in old]), []
+                    else:
+                        new, found = (None, []) if t is None else machine.text(t, undo)
                     texts.append(new)
                     spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-                cols = part.columns
+                cols = part.columns[:-1]
                 cols[place] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, span)], names=[*part.schema.names, "ps_spans"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, span)], names=part.schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def restored(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
-    """The texts as they were before ``pseudonymized`` with the same key."""
+    """The texts as they were before ``pseudonymized`` with the same key.  Exact with its ps_spans; without that column the values
+    are found again by form, which can fail where other digits stand next to one."""
     return pseudonymized(docs, text_col, key, undo=True).drop("ps_spans")

@@ -93,3 +93,51 @@ def test_table(spark):
 def test_odd_tables(spark, rows):
     out = ps.pseudonymized(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == len(rows) and len({r.text for r in out if r.doc_id == 2}) == (1 if rows else 0)
+
+
+def card(rng, n=16):
+    body = str(rng.randint(4, 6)) + "".join(str(rng.randint(0, 9)) for _ in range(n - 2))
+    return body + str(ps.luhn(body))
+
+
+def test_values_next_to_other_digits_and_words():
+    rng = random.Random(5)
+    cards = [card(rng) for _ in range(60)]
+    for c in cards:
+        spaced = " ".join(c[i : i + 4] for i in (0, 4, 8, 12))
+        alone = M.text(c)[0]
+        for form in (c, spaced, spaced.replace(" ", "-")):
+            for text in (f"{form} 12/25", f"{form} 123 end", f"{form} 12", f"2 {form}", f"12 {form} 123", f"+5 {form}"):
+                new, spans = M.text(text)
+                assert [ps._digits(new[a:b]) for k, a, b in spans] == [alone], (text, new)
+                assert M.back(new, spans) == text and M.text(new, undo=True)[0] == text
+    for iban in ("ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "GB82WEST12345698765432", "NO93 8601 1117 947"):
+        alone = M.text(iban)[0]
+        for text in ("{} BIC CODE", "{} EUR 50", "{} 50 EUR", "IBAN {} EURO", "AB12 {} BIC"):
+            new, spans = M.text(text.format(iban))
+            assert new == text.format(alone) and [k for k, *_ in spans] == ["iban"], (text, iban, new)
+            assert M.text(new, undo=True)[0] == text.format(iban)
+    phone = "988-555-2485"
+    assert M.text(f"1234 {phone}")[0] == f"1234 {M.text(phone)[0]}"
+    assert [k for k, *_ in M.text("+49 30 1234567 4001 4002")[1]] == ["phone"]
+
+
+def test_long_cards_and_many_short_groups_can_be_undone():
+    rng = random.Random(6)
+    for n in range(13, 20):
+        for _ in range(30):
+            c = card(rng, n)
+            for form in (c, " ".join(re.findall(".{1,4}", c)), " ".join(re.findall(".{1,5}", c))):
+                new, spans = M.text(f"no {form}.")
+                assert M.text(new, undo=True)[0] == M.back(new, spans) == f"no {form}."
+    text = "".join(f"{rng.randint(0, 99)} " for _ in range(20000))
+    new, spans = M.text(text)
+    assert M.back(new, spans) == text
+
+
+def test_restored_by_spans(spark):
+    rng = random.Random(7)
+    texts = [f"{rng.randint(0, 99999)} {rng.randint(0, 999)} {card(rng)[:8]} {card(rng)} {rng.randint(0, 999)}" for _ in range(300)]
+    rows = list(enumerate(texts))
+    out = ps.pseudonymized(spark.createDataFrame([*rows, (300, None)], "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in ps.restored(out).collect()} == {**dict(rows), 300: None}
