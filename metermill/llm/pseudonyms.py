@@ -9,7 +9,8 @@ Where the longest text that fits a form fails its check, shorter heads that end
 country's length, a card first as cards are printed), then the other kinds at that place, then later starts inside it.
 
 Kinds: card (13-19 digits, Luhn), iban (mod 97), ssn, phone (+country code, or North American), ip (version 4),
-date (year-month-day or day and month before a year, 1900-2099), mail (the name before the @; the domain stays).
+date (year-month-day, also before the T of a timestamp, or day and month before a year; with - / or ., 1900-2099),
+mail (the name before the @; the domain stays).
 
 Defined results: a null text stays null; text without valid values stays as it is, byte for byte; repeated rows are treated
 alike; an empty table gives an empty table; other columns pass through, but one that is
@@ -36,7 +37,8 @@ ROUNDS = 8
 _FORMS = {
     "mail": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)",
-    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?P<sep>[./-])\d{1,2}(?P=sep)\d{4})(?![\w/-]|\.\d)",
+    "date": r"""(?<![\w./-])(?:\d{4}(?P<mark>[./-])\d{2}(?P=mark)\d{2}(?:(?=[Tt]\d)|(?![\w/-]|\.\d))
+      | \d{1,2}(?P<sep>[./-])\d{1,2}(?P=sep)\d{4}(?![\w/-]|\.\d))""",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)",
     "phone": r"""(?<![\w+])(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w|-\d)
       | (?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?![\w-])""",
@@ -249,7 +251,7 @@ class Pseudonymizer:
         x = self._permute(kind, x, _DAYS, ok, undo)
         q = [f"{v:02d}" if w else str(v) for v, w in zip(parts(x), wide, strict=True)]
         y = str(datetime.date.fromordinal(_DAY0 + x).year)
-        return "-".join([y, *q]) if year_first else s[len(p[0])].join([*q, y])
+        return s[len(p[0])].join([y, *q] if year_first else [*q, y])
 
     def mail(self, s: str, undo: bool) -> str | None:
         name, domain = s.split("@")

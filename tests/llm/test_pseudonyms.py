@@ -141,3 +141,14 @@ def test_restored_by_spans(spark):
     rows = list(enumerate(texts))
     out = ps.pseudonymized(spark.createDataFrame([*rows, (300, None)], "doc_id long, text string"))
     assert {r.doc_id: r.text for r in ps.restored(out).collect()} == {**dict(rows), 300: None}
+
+
+def test_dates_of_timestamps_and_year_first_forms():
+    new = M.text("2024-03-05")[0]
+    for text in ("2024-03-05T10:00:00Z", "at 2024-03-05T10:00:00.123+01:00, ok", "2024/03/05", "2024.03.05", "on 2024.03.05. Then", "2024/03/05 10:00"):
+        got, spans = M.text(text)
+        mark = re.search(r"\d{4}(.)", text)[1]
+        assert got == re.sub(r"2024.03.05", new.replace("-", mark), text) and [k for k, *_ in spans] == ["date"], (text, got)
+        assert M.text(got, undo=True)[0] == M.back(got, spans) == text
+    for t in ("2024-03-05Text", "2024/03-05", "2024.13.05", "2024/02/30", "/2024/03/05/x"):
+        assert M.text(t) == (t, [])
