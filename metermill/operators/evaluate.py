@@ -363,6 +363,7 @@ def dg_summary(diag: DataFrame, fallback_share: DataFrame, best: DataFrame) -> D
         frac(F.col("spec").rlike(r"ARIMA\(\d,[1-9]")).alias("share_differenced"),
         frac(F.col("spec").rlike(r"\)\(")).alias("share_seasonal"),
         frac(F.col("lb_p_value") > 0.05).alias("share_lb_ok"),
+        F.count("lb_p_value").alias("n_lb"),  # the series that share is over
     )
     fb = fallback_share.where(F.col("fallback") != "modelo").groupBy(*keys).agg(F.sum("share").alias("share_fallback"))
     for column, wanted in (

@@ -160,12 +160,15 @@ def _chi2_p(q: pd.Series, dof: pd.Series) -> pd.Series:
 
 
 def ljung_box(fits: DataFrame, lags: int = 24) -> DataFrame:
-    """Portmanteau statistic of the residuals, and its p-value."""
+    """Portmanteau statistic of the residuals, and its p-value.
+
+    A series with fewer residuals than lags is tested at the lags it has; without a degree of freedom the p-value is null."""
     r = F.col("residuals")
     n = F.size(r)
     dev = F.transform(r, lambda v: v - F.aggregate(r, F.lit(0.0), lambda a, b: a + b) / n)
-    rows = fits.where(F.col("fitted") & (F.size("residuals") > lags)).select(*GROUPED, "model", "n_arma", dev.alias("e"))
+    rows = fits.where(F.col("fitted") & (F.size("residuals") > 1)).select(*GROUPED, "model", "n_arma", dev.alias("e"))
     e, n = F.col("e"), F.size("e")
+    own = F.least(F.lit(lags), n - 1)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     c0 = dot(e, e)
 
@@ -173,9 +176,9 @@ def ljung_box(fits: DataFrame, lags: int = 24) -> DataFrame:
         ck = dot(F.slice(e, F.lit(1), n - k), F.slice(e, k + 1, n - k))
         return F.pow(F.try_divide(ck, c0), F.lit(2.0)) / (n - k)
 
-    q = n * (n + 2) * F.aggregate(F.sequence(F.lit(1), F.lit(lags)), F.lit(0.0), lambda acc, k: acc + term(k))
-    rows = rows.select(*GROUPED, "model", "n_arma", q.alias("lb_stat"))
-    return rows.withColumn("lb_p_value", _chi2_p("lb_stat", F.lit(lags) - F.col("n_arma")))
+    q = n * (n + 2) * F.aggregate(F.sequence(F.lit(1), own), F.lit(0.0), lambda acc, k: acc + term(k))
+    rows = rows.select(*GROUPED, "model", q.alias("lb_stat"), (own - F.col("n_arma")).alias("dof"))
+    return rows.withColumn("lb_p_value", _chi2_p("lb_stat", "dof")).drop("dof")
 
 
 def dg_series(fits: DataFrame, cells: DataFrame, scenario: str) -> DataFrame:

@@ -75,3 +75,17 @@ def test_every_history_from_the_minimum_on_is_fitted():
         y = 3 + 0.01 * np.arange(n) + 0.1 * np.sin(months) + rng.normal(0, 0.02, n)
         for d, sd in ((0, 0), (0, 1), (1, 0), (1, 1)):
             assert reg.fit(y, np.zeros((n, 0)), months, [d], [sd], True) is not None, (n, d, sd)
+
+
+def test_short_fits_get_a_ljung_box_value(spark):
+    keys = {c: "k" for c in GROUPED}
+    rng = np.random.default_rng(3)
+    rows = [{**keys, "group": str(n), "model": "m", "fitted": True, "n_arma": 2, "residuals": [float(v) for v in rng.normal(size=n)]} for n in (1, 3, 4, 10, 24, 25, 60)]
+    ddl = ", ".join(f"`{c}` string" for c in (*GROUPED, "model")) + ", fitted boolean, n_arma int, residuals array<double>"
+    got = {int(r.group): r for r in fit.ljung_box(spark.createDataFrame(rows, ddl)).collect()}
+    assert set(got) == {3, 4, 10, 24, 25, 60} and got[3].lb_p_value is None
+    for row in rows[2:]:
+        e = np.array(row["residuals"]) - np.mean(row["residuals"])
+        n, lags = len(e), min(24, len(e) - 1)
+        q = n * (n + 2) * sum((e[k:] @ e[:-k] / (e @ e)) ** 2 / (n - k) for k in range(1, lags + 1))
+        assert got[n].lb_stat == pytest.approx(q) and got[n].lb_p_value == pytest.approx(reg.chi2_upper(q, lags - 2))
