@@ -1,7 +1,9 @@
 """Queries on the fitted catalogue: an estimator has no SQL equivalent, so most
 give rows only; their deterministic parts are checked elsewhere."""
 
-from pyspark.sql import functions as F
+import functools
+
+from pyspark.sql import DataFrame, functions as F
 
 from metermill import rules
 from metermill.operators import evaluate as ev
@@ -10,6 +12,7 @@ from metermill.operators import forecast as fcs
 from metermill.operators import projection as pj
 from metermill.operators import series
 from metermill.operators.series import GROUPED
+from metermill.sources import landing
 from metermill.sources.values import relation
 
 from . import stages as st
@@ -79,29 +82,35 @@ def choice(ws):
     return ws.stage("choice", make)
 
 
+def backtested(ws, make):
+    """Rows of every segment and backtest target."""
+    return st.over_parts(ws, make, ws.params.backtest.targets)
+
+
 @query("fc_fit")
 def _(ws):
-    return out(fits(ws).select(*GROUPED, "model", "spec", "fitted", "aicc", "sigma2", "n_obs", "n_arma"), 6)
+    cols = [*GROUPED, "model", "spec", "fitted", "aicc", "sigma2", "n_obs", "n_arma"]
+    return out(backtested(ws, lambda p: fits(p).select(*cols)), 6)
 
 
 @query("fc_predict")
 def _(ws):
-    return out(fc(ws))
+    return out(backtested(ws, fc))
 
 
 @query("fc_backtest")
 def _(ws):
-    return out(cells(ws))
+    return out(backtested(ws, cells))
 
 
 @query("acc_backtest")
 def _(ws):
-    return out(ev.acc_levels(judged(ws)), 5)
+    return out(backtested(ws, lambda p: ev.acc_levels(judged(p))), 5)
 
 
 @query("sel_backtest")
 def _(ws):
-    return out(choice(ws), 5)
+    return out(backtested(ws, choice), 5)
 
 
 @query("fc_units_test")
@@ -119,7 +128,7 @@ def coefs(ws):
 
 @query("el_coef")
 def _(ws):
-    return out(coefs(ws), 5)
+    return out(backtested(ws, coefs), 5)
 
 
 def diag(ws):
@@ -128,12 +137,12 @@ def diag(ws):
 
 @query("dg_series")
 def _(ws):
-    return out(diag(ws), 5)
+    return out(backtested(ws, diag), 5)
 
 
 @query("dg_summary")
 def _(ws):
-    return out(ev.dg_summary(diag(ws), ev.agg_fallback_share(cells(ws)), fit.best_models(choice(ws))), 5)
+    return out(backtested(ws, lambda p: ev.dg_summary(diag(p), ev.agg_fallback_share(cells(p)), fit.best_models(choice(p)))), 5)
 
 
 def specs(ws):
@@ -174,7 +183,7 @@ def _(ws):
 
 def keys_proj(ws):
     b = ws.params.backtest
-    return ws.stage("keys_proj", lambda: series.ts_key_prep(st.mbase(ws), "med_agua", st.test_end(ws), b.treat_outliers, b.clean_units))
+    return ws.stage("keys_proj", lambda: series.ts_key_prep(st.mbase(ws), b.target, st.test_end(ws), b.treat_outliers, b.clean_units))
 
 
 def ts_proj(ws):
@@ -188,8 +197,23 @@ def info_proj(ws):
     return ws.stage("info_proj", lambda: series.agg_series_info(ts_proj(ws), st.test_end(ws), p.min_obs_model))
 
 
+def decided(ws):
+    """Grouping and model of every category of a segment x target: its backtest, the measured sibling's, the default."""
+
+    def make():
+        b, w = ws.params.backtest, ws.whole
+        seg = next(s for s in ws.params.segments if s.name == b.segment)
+        measured = rules.MEASURED_SIBLING.get(b.target, b.target)
+        own = choice(w.part(w.params.part(seg, measured))).where("chosen")
+        dec = own.select(F.lit(seg.name).alias("segment"), F.lit(measured).alias("target"), "category_detail", "grouping", "model")
+        cats = st.mbase(ws).select("category_detail").distinct()
+        return landing.src_decision(ws.spark, dec, cats, seg.name, ws.params.projection).where(F.col("target") == b.target)
+
+    return ws.stage("decided", make)
+
+
 def chosen_proj(ws):
-    return ws.stage("chosen_proj", lambda: pj.chosen_series(info_proj(ws), choice(ws).where("chosen")))
+    return ws.stage("chosen_proj", lambda: pj.chosen_series(info_proj(ws), decided(ws)))
 
 
 def fits_proj(ws):
@@ -230,13 +254,19 @@ def project(ws):
 
 @query("fc_project")
 def _(ws):
-    return out(project(ws))
+    return out(st.over_parts(ws, project, ws.params.projection.targets))
+
+
+def fitted_monthly(ws):
+    """Monthly result of one segment x target."""
+    p, b = ws.params.projection, ws.params.backtest
+    chosen = decided(ws).select("category_detail", "grouping")
+    real = series.ts_impute_hist(ts_proj(ws).join(chosen, ["category_detail", "grouping"], "left_semi"), st.test_end(ws), p.max_imputed_run)
+    return pj.agg_mensal(project(ws), real, p.scenarios, b.segment, b.target)
 
 
 @query("agg_project_annual")
 def _(ws):
     """Annual result of the fitted projection."""
-    chosen = choice(ws).where("chosen").select("category_detail", "grouping")
-    real = series.ts_impute_hist(ts_proj(ws).join(chosen, ["category_detail", "grouping"], "left_semi"), st.test_end(ws), ws.params.projection.max_imputed_run)
-    m = pj.agg_mensal(project(ws), real, ws.params.projection.scenarios, ws.params.backtest.segment, "med_agua")
-    return out(pj.agg_annual(m))
+    months = st.each_part(ws, fitted_monthly, ws.params.projection.targets)
+    return out(pj.agg_annual(functools.reduce(DataFrame.unionByName, months)))

@@ -59,7 +59,7 @@ def res_keys(ws):
 
 
 def increments(ws):
-    return pj.premise_increments(premise_stage(ws), "med_agua")
+    return pj.premise_increments(premise_stage(ws.whole), ws.params.backtest.target)
 
 
 def targets(ws):
@@ -124,7 +124,7 @@ LEFT JOIN (SELECT series_key, units AS ref FROM ukey WHERE period = (SELECT min(
 
 def units_premise(ws):
     p = ws.params.projection
-    cities = pj.covered_cities(premise_stage(ws), "med_agua", p.coverage)
+    cities = pj.covered_cities(premise_stage(ws.whole), ws.params.backtest.target, p.coverage)
     # only the premise's segment is covered; other series keep the trend
     res = res_keys(ws)
     mine = res.select("series_key").distinct()

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 
 from metermill.operators import accounts, facts, quality
+from metermill.plans.shipping import ship
 from metermill.plans.workspace import Workspace
 from metermill.sources import driver_tables as src
 
@@ -137,6 +142,7 @@ def tariff(ws: Workspace) -> DataFrame:
 
 
 def base(ws: Workspace) -> DataFrame:
+    ws = ws.whole  # one base for all segments
     return ws.stage("base", lambda: covariates.jn_cov(stage4(ws), abc(ws), climate(ws), jobs_filled(ws), tariff(ws)))
 
 
@@ -162,8 +168,9 @@ def exog(ws: Workspace) -> DataFrame:
     return ws.stage("exog", lambda: series.ts_exog_fill(mbase(ws)))
 
 
-def key_rows(ws: Workspace, target: str = "med_agua") -> DataFrame:
+def key_rows(ws: Workspace, target: str | None = None) -> DataFrame:
     """Series of a target cleaned on the training window."""
+    target = target or ws.params.backtest.target
     b = ws.params.backtest
     return ws.stage(
         f"keys_{target}",
@@ -171,21 +178,25 @@ def key_rows(ws: Workspace, target: str = "med_agua") -> DataFrame:
     )
 
 
-def peaked(ws: Workspace, target: str = "med_agua") -> DataFrame:
+def peaked(ws: Workspace, target: str | None = None) -> DataFrame:
+    target = target or ws.params.backtest.target
     b = ws.params.backtest
     return series.ts_peaks(key_rows(ws, target), train_end(ws), b.peak_factor, b.peak_months)
 
 
-def grouped(ws: Workspace, target: str = "med_agua") -> DataFrame:
+def grouped(ws: Workspace, target: str | None = None) -> DataFrame:
+    target = target or ws.params.backtest.target
     b = ws.params.backtest
     return series.prj_grouping(peaked(ws, target), b.groupings, ws.params.grouping)
 
 
-def ts(ws: Workspace, target: str = "med_agua") -> DataFrame:
+def ts(ws: Workspace, target: str | None = None) -> DataFrame:
+    target = target or ws.params.backtest.target
     return ws.stage(f"ts_{target}", lambda: series.ts_group(grouped(ws, target), exog(ws)))
 
 
-def info(ws: Workspace, target: str = "med_agua") -> DataFrame:
+def info(ws: Workspace, target: str | None = None) -> DataFrame:
+    target = target or ws.params.backtest.target
     return ws.stage(
         f"info_{target}", lambda: series.agg_series_info(ts(ws, target), train_end(ws), ws.params.backtest.min_obs)
     )
@@ -209,3 +220,31 @@ def scenarios(ws: Workspace) -> DataFrame:
         return real.unionByName(ante)
 
     return ws.stage("scenarios", make)
+
+
+# -- segments and targets ---------------------------------------------------
+
+SIDE_BY_SIDE = 4
+
+
+def parts(ws: Workspace, targets: tuple[str, ...]) -> list[Workspace]:
+    """One workspace per segment x target."""
+    return [ws.part(ws.params.part(s, t)) for s in ws.params.segments for t in targets]
+
+
+def over_parts(ws: Workspace, make: Callable[[Workspace], DataFrame], targets: tuple[str, ...]) -> DataFrame:
+    """Rows of every segment x target, which are the first columns."""
+
+    def named(p: Workspace) -> DataFrame:
+        b = p.params.backtest
+        return make(p).select(F.lit(b.segment).alias("segment"), F.lit(b.target).alias("target"), "*")
+
+    return functools.reduce(DataFrame.unionByName, each_part(ws, named, targets))
+
+
+def each_part(ws: Workspace, make: Callable[[Workspace], DataFrame], targets: tuple[str, ...]) -> list[DataFrame]:
+    """``make`` of every segment x target; their small jobs run side by side."""
+    base(ws)
+    ship(ws.spark)
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        return list(pool.map(make, parts(ws, targets)))

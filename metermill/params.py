@@ -91,9 +91,27 @@ class GroupingParams:
     capital_prefix: str = "SP_"
 
 
+@dataclass(frozen=True)
+class SegmentParams:
+    """What a segment sets differently in its backtest and projection."""
+
+    name: str
+    categories: tuple[str, ...]
+    clean_units: bool
+    units_over_categories: bool
+    units_level: tuple[str, ...]
+
+
+SEGMENTS = (
+    SegmentParams("Residencial", ("Residencial",), False, True, ("region_adj", "territory")),
+    SegmentParams("Nao_Residencial", ("Comercial", "Industrial", "Pública"), True, False, ("region_adj", "category_detail")),
+)
+
+
 @dataclass(frozen=True)
 class BacktestParams:
     segment: str = "Residencial"
+    target: str = "med_agua"
     categories: tuple[str, ...] = ("Residencial",)
     size_mode: str = "sum"  # "sum" | "others"
     targets: tuple[str, ...] = ("med_agua", "med_esg")
@@ -125,6 +143,7 @@ class ProjectionParams:
     min_obs_units: int = 24
     max_imputed_run: int = 3
     units_level: tuple[str, ...] = ("region_adj", "territory")
+    targets: tuple[str, ...] = tuple(rules.TARGETS)
     outside_premise: str = "trend"  # "trend" | "constant"
     coverage: str = "municipality_service"  # "municipality_service" | "municipality"
     default_choice: tuple[str, str] = ("G1_municipioA_clusterBC", "arima_2")
@@ -157,6 +176,15 @@ class Params:
     grouping: GroupingParams = field(default_factory=GroupingParams)
     backtest: BacktestParams = field(default_factory=BacktestParams)
     projection: ProjectionParams = field(default_factory=ProjectionParams)
+    segments: tuple[SegmentParams, ...] = SEGMENTS
+
+    def part(self, segment: SegmentParams, target: str) -> Params:
+        """The parameters of one segment x target."""
+        b = replace(
+            self.backtest, segment=segment.name, target=target, categories=segment.categories, clean_units=segment.clean_units,
+            units_over_categories=segment.units_over_categories,
+        )
+        return replace(self, backtest=b, projection=replace(self.projection, units_level=segment.units_level))
 
 
 def driver_scale() -> Params:
@@ -196,7 +224,6 @@ def driver_scale() -> Params:
             p.backtest,
             segment="Todos", categories=rules.SIZE_CATEGORIES,
             cut=date(2000, 12, 1), merged_months=((date(2001, 3, 1), date(2001, 4, 1)),),
-            models=("snaive", "arima_0", "arima_2", "arima_2_sem_drift", "vol_arima_2"),
         ),
         projection=replace(
             p.projection,

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,9 @@ class Workspace:
         text = f"{spark.sparkContext.applicationId}|{source}|{self.params!r}"
         self.run_id = hashlib.sha1(text.encode()).hexdigest()[:12]
         self._built: dict[str, DataFrame] = {}
+        self._parts: dict[str, Workspace] = {}
+        self._lock = threading.RLock()  # parts are built side by side
+        self.whole = self  # the workspace whose stages before the segments this one reads
 
     def folder(self, name: str) -> str:
         return f"{shared_folder(self.spark)}/{self.run_id}/{name}"
@@ -52,16 +56,26 @@ class Workspace:
         """Folder for files a caller asked for."""
         return self.folder(name)
 
+    def part(self, params: Params) -> Workspace:
+        """Workspace of one segment x target of this run."""
+        key = repr(params)
+        with self._lock:
+            if key not in self._parts:
+                self._parts[key] = Workspace(self.spark, self.source, params)
+                self._parts[key].whole = self.whole
+            return self._parts[key]
+
     def stage(self, name: str, build: Callable[[], DataFrame], bucket_by: str | None = None) -> DataFrame:
         """The stage's table, built on first use."""
-        if name not in self._built:
-            path = self.folder(name)
-            if bucket_by:
-                self._built[name] = self._bucketed(name, path, build(), bucket_by)
-            else:
-                build().write.mode("overwrite").parquet(path)
-                self._built[name] = self.spark.read.parquet(path)
-        return self._built[name]
+        with self._lock:
+            if name not in self._built:
+                path = self.folder(name)
+                if bucket_by:
+                    self._built[name] = self._bucketed(name, path, build(), bucket_by)
+                else:
+                    build().write.mode("overwrite").parquet(path)
+                    self._built[name] = self.spark.read.parquet(path)
+            return self._built[name]
 
     def _bucketed(self, name: str, path: str, df: DataFrame, key: str) -> DataFrame:
         """Hash-bucketed table: later joins and groupings on the key skip the shuffle."""
