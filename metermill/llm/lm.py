@@ -4,8 +4,8 @@ States are the words seen in training (and the end mark, which also is the state
 arc for every word w that followed it in training, with weight log10(l * c(uw) / c(u) + (1 - l) * p0(w)), and a failure arc
 to the root with weight log10(1 - l), where the root's arcs have p0(w) = (c(w) + 1) / (N + V + 1) and unknown words share one
 more event of that form.  l depends on the power of two of c(u) and is the one that leaves-one-out training likes best.
-Probabilities of a state sum to one.  A text is read once from left to right: each token is one arc or a failure arc and
-an arc, and leads to the next state.
+Probabilities of a state sum to one.  The automaton is not walked: with bigrams the arc, or the failure arc and the root's arc,
+depend on the pair of tokens alone, so each distinct pair of a chunk gets its weight once and a text adds those of its pairs.
 
 How the counts travel: texts are packed into chunks of ``CHUNK`` bytes.  A chunk's distinct words and word pairs, with its
 training counts, go as sorted runs of 64-bit keys to the reducer of their key range; the reducer adds up and answers each
