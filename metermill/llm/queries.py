@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, lm, minhash, mixing, pieces, pseudonyms, quality, syncmers, tokens, toxicity
+from . import divergence, lines, lm, minhash, mixing, pieces, pseudonyms, quality, syncmers, tokens, toxicity
 from .shared import documents
 
 
@@ -81,3 +81,11 @@ def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+@query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+ORACLES["op12_divergence"] = divergence.ORACLE
