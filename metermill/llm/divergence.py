@@ -23,8 +23,6 @@ empty table gives an empty table; other columns, whatever their names, are not r
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,64 +30,87 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .shared import prepare, stored
-from .text import slices
+from .text import LOWER, as_array, flat, slices
 
 MIN_DOCS, TOP, UNIT = 3, 200, 1_000_000_000
-#: Entries that a task counts before it hands them on, cells of a block of the dense matrix, rows of a result batch.
-ENTRIES, CELLS, ROWS = 200_000, 1 << 20, 50_000
-
-TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Bytes of text that a task counts at once (a longer text at once, too), cells of a block of the dense matrix, rows of a result batch.
+CHUNK, CELLS, ROWS = 8 << 20, 1 << 20, 50_000
+
+#: Bytes of terms: ASCII letters, and all bytes of characters beyond ASCII.
+TERM = np.zeros(256, bool)
+TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def _counted(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """lang, source, term, n, docs of these rows."""
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    lang, source = (as_array(rows.column(c)).dictionary_encode() for c in ("lang", "source"))
+    group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+    groups, group = np.unique(group, return_inverse=True)
+    data, offs = flat(as_array(rows.column("text")))
+    inside = TERM[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    heads = offs[:-1][offs[:-1] < len(data)]
+    first[heads] |= inside[heads]
+    starts = np.flatnonzero(first)
+    ends = np.concatenate([[0], np.cumsum(inside)])
+    ends = np.append(ends[starts], ends[-1])
+    terms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(LOWER[data[inside]])).dictionary_encode()
+    doc = np.searchsorted(offs, starts, "right") - 1
+    key = terms.indices.to_numpy().astype(np.int64) * len(groups) + group[doc]
+    both = np.sort(key * max(rows.num_rows, 1) + doc)  # term, group, document
+    key = both // max(rows.num_rows, 1)
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+    n = np.diff(np.append(at, len(key)))
+    new = np.concatenate([[True], both[1:] != both[:-1]]) if len(key) else np.zeros(0, bool)
+    docs = np.add.reduceat(new.astype(np.int64), at) if len(at) else n
+    of = groups[key[at] % len(groups)] if len(at) else key
+    term = terms.dictionary.take(pa.array(key[at] // max(len(groups), 1))).cast(pa.string())
+    columns = [lang.dictionary.take(pa.array(of // max(len(source.dictionary), 1))), source.dictionary.take(pa.array(of % max(len(source.dictionary), 1))), term, pa.array(n), pa.array(docs)]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+
+
+def _texts(docs: DataFrame, *columns: tuple[str, str]) -> DataFrame:
+    return docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(name) for c, name in columns])
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents with the term); a row with the term '' counts the group's documents."""
+    """lang, source, term, n (occurrences), docs (documents with the term)."""
     prepare(docs.sparkSession)
 
-    def batch_of(found: dict) -> pa.RecordBatch:
-        keys = [(lang, source, term) for (lang, source), (n, _) in found.items() for term in n]
-        n = [c for counts, _ in found.values() for c in counts.values()]
-        d = [docs_of[t] for counts, docs_of in found.values() for t in counts]
-        columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["lang", "source", "term", "n", "docs"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held, size = [], 0
         for batch in batches:
-            for rows in slices(batch, "text"):
-                for lang, source, text in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
-                    n, d = found.setdefault((lang, source), (Counter({"": 0}), Counter()))
-                    terms = TERM.findall(text.translate(SMALL))
-                    n.update(terms)
-                    d.update(set(terms))
-                    d[""] += 1
-                if sum(len(n) for n, _ in found.values()) > ENTRIES:
-                    yield batch_of(found)
-                    found = {}
-        if found:
-            yield batch_of(found)
-
-    used = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    parts = used.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+            for rows in slices(batch, "text", CHUNK):
+                held.append(rows)
+                size += rows.column("text").nbytes
+                if size >= CHUNK:
+                    yield _counted(held)
+                    held, size = [], 0
+        if held:
+            yield _counted(held)
+
+    parts = _texts(docs, (lang_col, "lang"), (source_col, "source"), (text_col, "text")).mapInArrow(run, "lang string, source string, term string, n long, docs long")
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def kept_terms(counts: DataFrame, min_docs: int) -> DataFrame:
     """lang, source, term, n, n_lang and first (true for one source of each term), of the terms that their language keeps."""
     of_term = Window.partitionBy("lang", "term")
-    rows = counts.filter("term <> ''").withColumns(
+    rows = counts.withColumns(
         {"n_lang": F.sum("n").over(of_term), "in_docs": F.sum("docs").over(of_term), "first": F.col("source") == F.min("source").over(of_term)}
     )
     return rows.filter(F.col("in_docs") >= min_docs).drop("docs", "in_docs")
 
 
-def groups_of(counts: DataFrame, kept: DataFrame) -> DataFrame:
-    """lang, source, total (N), lang_total and terms (V) of every group that occurs."""
+def groups_of(groups: DataFrame, kept: DataFrame) -> DataFrame:
+    """``groups`` (lang, source) with total (N), lang_total and terms (V)."""
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum(F.col("first").cast("long")).alias("firsts"))
-    groups = counts.filter("term = ''").select("lang", "source").join(sums, ["lang", "source"], "left")
     whole = Window.partitionBy("lang")
     zero = F.coalesce("total", F.lit(0))
-    return groups.select("lang", "source", zero.alias("total"), F.sum(zero).over(whole).alias("lang_total"), F.coalesce(F.sum("firsts").over(whole), F.lit(0)).alias("terms"))
+    rows = groups.join(sums, ["lang", "source"], "left")
+    return rows.select("lang", "source", zero.alias("total"), F.sum(zero).over(whole).alias("lang_total"), F.coalesce(F.sum("firsts").over(whole), F.lit(0)).alias("terms"))
 
 
 def share(n: str, total: str) -> Column:
@@ -234,9 +255,8 @@ def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank."""
-    counts = stored(term_counts(docs, text_col, lang_col, source_col), "counts")
-    kept = stored(kept_terms(counts, min_docs), "kept")
-    groups = stored(groups_of(counts, kept), "groups", True)
+    kept = stored(kept_terms(term_counts(docs, text_col, lang_col, source_col), min_docs), "kept")
+    groups = stored(groups_of(_texts(docs, (lang_col, "lang"), (source_col, "source")).distinct(), kept), "groups", True)
     pairs = source_pairs(kept, groups)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(order))
