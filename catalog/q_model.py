@@ -110,10 +110,25 @@ SELECT *, CAST(year(period) * 12 + month(period) AS DOUBLE) AS t, CASE WHEN cons
   ln(CASE WHEN consumption > 0 THEN consumption END) AS l,
   count(*) OVER (PARTITION BY {SI}) AS n, count(CASE WHEN consumption > 0 THEN 1 END) OVER (PARTITION BY {SI}) AS obs FROM k_full""")
 cte("c2", f"SELECT *, {interp('l', SI)} AS f FROM c1")
-cte("c3", f"""
-SELECT *, CASE WHEN l IS NOT NULL THEN l - avg(f) OVER (PARTITION BY {SI} ORDER BY period ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) END AS dt FROM c2""")
-cte("c4", f"""
-SELECT *, CASE WHEN n >= 25 THEN coalesce(quantile_cont(dt, 0.5) OVER (PARTITION BY {SI}, month(period)), 0) ELSE 0 END AS s FROM c3""")
+NEAR = f"PARTITION BY {SI} ORDER BY period ROWS BETWEEN {series.SIDE} PRECEDING AND {series.SIDE} FOLLOWING"
+
+
+def reweighted(src, last):
+    """The rounds of the decomposition, one expression each, up to ``last``: dt, s of the round and the next trend."""
+    cte("cr0", f"SELECT *, quantile_cont(f, 0.5) OVER ({NEAR}) AS tr FROM {src}")
+    for k in range(series.REWEIGHTS + 1):
+        cte(f"cs{k}", f"""
+SELECT *, l - tr AS dt, CASE WHEN n >= 25 THEN coalesce(quantile_cont(l - tr, 0.5) OVER (PARTITION BY {SI}, month(period)), 0) ELSE 0 END AS s FROM cr{k}""")
+        if k == series.REWEIGHTS:
+            break
+        cte(f"cu{k}", f"SELECT *, abs(dt - s) / ({series.REACH} * quantile_cont(abs(dt - s), 0.5) OVER (PARTITION BY {SI}) + 1e-9) AS u FROM cs{k}")
+        cte(f"cw{k}", f"SELECT *, CASE WHEN u < 1 THEN pow(1 - u * u, 2) ELSE 0 END AS w FROM cu{k}")
+        cte(f"cr{k + 1}", f"""
+SELECT * EXCLUDE (tr, dt, s, u, w), coalesce(sum(w * (f - s)) OVER ({NEAR}) / nullif(sum(w) OVER ({NEAR}), 0), tr) AS tr FROM cw{k}""")
+    cte(last, f"SELECT * FROM cs{series.REWEIGHTS}")
+
+
+reweighted("c2", "c4")
 cte("c5", f"""
 SELECT *, dt - s AS rem, quantile_cont(dt - s, 0.25) OVER (PARTITION BY {SI}) AS q1, quantile_cont(dt - s, 0.75) OVER (PARTITION BY {SI}) AS q3 FROM c4""")
 cte("c6", "SELECT *, CASE WHEN rem BETWEEN q1 - 3 * (q3 - q1) - 1e-9 AND q3 + 3 * (q3 - q1) + 1e-9 THEN l - s END AS ok FROM c5")
@@ -300,12 +315,26 @@ def _(ws):
     return out(series.agg_series_counts(st.info(ws)), 6)
 
 
+# text of a row as the fingerprint has it, its two hashes, and their sums per series
+CELL = {c: f"coalesce(CAST(CAST(round(TRY_CAST({c} AS DECIMAL(38,8)), 4) AS DECIMAL(38,4)) AS VARCHAR), chr(30))" for c in ("consumption", "units_adj")}
+FP_TEXT = "concat_ws(chr(31), " + ", ".join([*(f"coalesce(CAST({c} AS VARCHAR), chr(30))" for c in (*K5.split(", "), "period")), *CELL.values()]) + ")"
+HASH60 = " , ".join(f"CAST('0x' || substr(md5({FP_TEXT}), {1 + 15 * i}, 15) AS BIGINT) AS h{h}" for i, h in enumerate(series.HASHES))
+FP_SUMS = ", ".join(f"CAST(sum(CAST(h{h} AS HUGEINT)) % {series.MODULUS} AS BIGINT) AS sum_{h}, bit_xor(h{h}) AS xor_{h}" for h in series.HASHES)
+FORMULAS = lit(" | ".join(f"{k}: {rules.MODELS[k].formula}" for k in sorted(BT.models)))
+
+
 @query("ts_fingerprint", f"""
-SELECT count(*) AS n_rows, count(DISTINCT ({K5})) AS n_series, {r("sum(abs(consumption) + abs(units_adj))", 3)} AS abs_sum, {lit(
-    " | ".join(f"{k}: {rules.MODELS[k].formula}" for k in sorted(BT.models)))} AS formulas FROM ts WHERE period <= {lit(TRAIN)}""")
+WITH h AS (SELECT {K5}, {HASH60} FROM ts WHERE period <= {lit(TRAIN)})
+SELECT 'series' AS level, {K5}, CAST(1 AS BIGINT) AS n_series, count(*) AS n_rows, {FP_SUMS}, {FORMULAS} AS formulas FROM h GROUP BY {K5}
+UNION ALL SELECT 'grouping', grouping, NULL, NULL, NULL, NULL, count(DISTINCT ({K5})), count(*), {FP_SUMS}, {FORMULAS} FROM h GROUP BY grouping
+UNION ALL SELECT 'all', NULL, NULL, NULL, NULL, NULL, count(DISTINCT ({K5})), count(*), {FP_SUMS}, {FORMULAS} FROM h""")
 def _(ws):
     train = st.ts(ws).where(F.col("period") <= F.lit(st.train_end(ws))).select(*GROUPED, "period", "consumption", "units_adj")
-    return out(series.ts_fingerprint(train, {m: rules.MODELS[m].formula for m in ws.params.backtest.models}), 3)
+    fp = series.ts_fingerprint(train, {m: rules.MODELS[m].formula for m in ws.params.backtest.models})
+    res = fp.select(F.lit("series").alias("level"), "*")
+    for level, by in (("grouping", ["grouping"]), ("all", [])):
+        res = res.unionByName(series.merge_fingerprints(fp, by).select(F.lit(level).alias("level"), "*"), allowMissingColumns=True)
+    return res
 
 
 cte("imp", f"""
@@ -483,22 +512,42 @@ def _(ws):
 
 # -- units ------------------------------------------------------------------
 
-CAND = fcs.damped_grid()
-cte("cand", "SELECT i, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(f AS DOUBLE) AS f FROM " + values("t", "i, a, b, f", CAND))
+CAND = [(i, *(round(x * fcs.UNIT) for x in g)) for i, *g in fcs.damped_grid()]
+
+
+def structs(rows):
+    return "[" + ", ".join("{" + ", ".join(f"'{k}': {v}" for k, v in zip("iabf", row)) + "}" for row in rows) + "]"
+
+
+def damped_run(c, y="y"):
+    """The squared error and the end of the recursion over the list ``y`` with the candidate ``c``; an element is a state, so that a fold has one type."""
+    a, b, f = (f"({c}.{k} / {fcs.UNIT}.0::DOUBLE)" for k in "abf")
+    base = f"(acc.l + {f} * acc.s)"
+    start = f"{{'l': {y}[1], 's': ({y}[12] - {y}[1]) / 11.0::DOUBLE, 'q': 0.0::DOUBLE, 'v': 0.0::DOUBLE}}"
+    states = f"list_transform({y}[2:], lambda v: {{'l': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'q': 0.0::DOUBLE, 'v': v}})"
+    step = (f"{{'l': {base} + {a} * (e.v - {base}), 's': {f} * acc.s + {b} * (e.v - {base}), 'q': acc.q + (e.v - {base}) * (e.v - {base}), 'v': 0.0::DOUBLE}}")
+    end = f"list_reduce({states}, lambda acc, e: {step}, {start})"
+    return f"list_transform([{end}], lambda z: {{'sse': round(z.q, 9), 'i': {c}.i, 'a': {c}.a, 'b': {c}.b, 'f': {c}.f, 'l': z.l, 's': z.s}})[1]"
 
 
 def damped_sql(src_cte, keys, first, last, min_obs, tag):
-    """Register the recursion of the damped trend over ``src_cte(keys, period, total)``."""
+    """Register the search of the damped trend over ``src_cte(keys, period, total)``."""
+    bound = {n: f"least(greatest(m.{n} + d.{n} * far.{n}, {fcs.BOUNDS[n][0]}), {fcs.BOUNDS[n][1]})" for n in "abf"}
+    far = f"{{'a': {[s[0] for s in fcs.STEPS]}[k + 1], 'b': {[s[1] for s in fcs.STEPS]}[k + 1], 'f': {[s[1] for s in fcs.STEPS]}[k + 1]}}"
+    near = f"list_transform({structs((i, *d) for i, d in enumerate(fcs.DIRECTIONS))}, lambda d: {{'i': d.i, {', '.join(f"'{n}': {bound[n]}" for n in 'abf')}}})"
     cte(f"{tag}_y", f"""
 SELECT {keys}, list(ln(total) ORDER BY period) AS y, max(period) AS fin, count(*) AS n FROM {src_cte} GROUP BY {keys} HAVING count(*) >= {min_obs}""")
-    cte(f"{tag}_rec", f"""
-SELECT {keys}, i, a, b, f, y, n, CAST(1 AS BIGINT) AS t, y[1] AS l, (y[12] - y[1]) / 11.0::DOUBLE AS s, 0.0::DOUBLE AS sse FROM {tag}_y, cand
-UNION ALL SELECT {keys}, i, a, b, f, y, n, t + 1, (l + f * s) + a * (y[t + 1] - (l + f * s)), f * s + b * (y[t + 1] - (l + f * s)),
-  sse + (y[t + 1] - (l + f * s)) * (y[t + 1] - (l + f * s)) FROM {tag}_rec WHERE t < n""")
+    cte(f"{tag}_grid", f"SELECT {keys}, y, n, list_sort(list_transform({structs(CAND)}, lambda c: {damped_run('c')}))[1] AS m FROM {tag}_y")
+    cte(f"{tag}_opt", f"""
+SELECT {keys}, y, n, 1 AS it, 0 AS k, m FROM {tag}_grid
+UNION ALL SELECT {keys}, y, n, it + 1, CASE WHEN x.sse < m.sse THEN k ELSE k + 1 END, CASE WHEN x.sse < m.sse THEN x ELSE m END
+FROM (SELECT *, list_sort(list_transform(near, lambda c: {damped_run('c')}))[1] AS x
+      FROM (SELECT *, {near} AS near FROM (SELECT *, {far} AS far FROM {tag}_opt WHERE it <= {fcs.MOVES} AND k < {len(fcs.STEPS)})))""")
     cte(f"{tag}_best", f"""
-SELECT * FROM {tag}_rec WHERE t = n QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY round(sse, 9), i) = 1""")
+SELECT {keys}, n, m.a / {fcs.UNIT}.0::DOUBLE AS a, m.b / {fcs.UNIT}.0::DOUBLE AS b, m.f / {fcs.UNIT}.0::DOUBLE AS f, m.l AS l, m.s AS s, m.sse AS sse
+FROM {tag}_opt QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY it DESC) = 1""")
     cte(f"{tag}_fc", f"""
-SELECT {keys}, CAST(p AS DATE) AS period, i, exp(l + s * f * (1 - pow(f, h)) / (1 - f)) * (1 + round(sse, 9) / (n - 1) *
+SELECT {keys}, CAST(p AS DATE) AS period, a, b, f, exp(l + s * f * (1 - pow(f, h)) / (1 - f)) * (1 + sse / (n - 1) *
   (1 + coalesce(list_sum([pow(a + b * f * (1 - pow(f, j)) / (1 - f), 2) for j in range(1, h)]), 0)) / 2) AS forecast
 FROM (SELECT k.*, p, datediff('month', (SELECT max(fin) FROM {tag}_y), p) AS h FROM {tag}_best k,
   (SELECT unnest(generate_series({lit(first)}, {lit(last)}, INTERVAL 1 MONTH)) AS p))""")
@@ -521,7 +570,7 @@ def _(ws):
     return out(fcs.agg_units_part(now, lvl, "units_last"), 6, units_last=4)
 
 
-@query("fc_damped", f"SELECT {LVL}, period, i AS candidate, {r('forecast', 4)} AS forecast FROM ud_fc")
+@query("fc_damped", f"SELECT {LVL}, period, a AS alpha, b AS beta, f AS phi, {r('forecast', 4)} AS forecast FROM ud_fc")
 def _(ws):
     p, end = ws.params.projection, st.test_end(ws)
     lvl = list(p.units_level)

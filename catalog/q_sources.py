@@ -1,5 +1,6 @@
 """Queries: landed files derived from the test tables, and the sinks."""
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from metermill.functions.numeric import snap_round
 from metermill.operators import accounts, covariates
 from metermill.sources import driver_tables as src
 from metermill.sources import landing, sinks
+from metermill.sources.published import PublishedTable, Refused
 from metermill.streaming import incremental
 
 from . import oracle_series as o
@@ -282,26 +284,38 @@ def climate_old(ws):
     return st.climate(ws).where((F.col("period") < F.lit(date(2001, 5, 1))) & (F.col("ibge_code").cast("int") % 5 != 0))
 
 
+def table_of(ws, name, partition, keys, **state):
+    """A new published table of this run's own."""
+    return PublishedTable(ws.spark, ws.output(f"tables/{name}-{uuid.uuid4().hex}"), partition, keys, **state)
+
+
+CLIMATE = ["ibge_code", "period", "temp_med", "prec_tot"]
+
+
+def climate_table(ws):
+    """The climate of the first months, published."""
+    table = table_of(ws, "climate", "period", ["ibge_code", "period"], point="ibge_code", period="period")
+    table.upsert(climate_old(ws).select(*CLIMATE))
+    return table
+
+
 @query("src_watermark", f"""
 SELECT ibge_code, CASE WHEN ibge_code IN (SELECT ibge_code FROM climate_old)
   THEN CAST((SELECT max(period) FROM climate_old) - INTERVAL {C.reread_months} MONTH AS DATE) ELSE DATE '1995-01-01' END AS read_from
 FROM (SELECT DISTINCT ibge_code FROM stage1)""")
 def _(ws):
     points = st.stage1(ws).select("ibge_code").distinct()
-    return incremental.src_watermark(climate_old(ws), points, FIRST, ws.params.covariates)
+    return incremental.src_watermark(climate_table(ws).watermarks(), points, FIRST, ws.params.covariates)
 
 
 @query("snk_upsert", f"""
 SELECT ibge_code, period, CASE WHEN period >= DATE '2001-01-01' THEN {r("temp_med + 1", 6)} ELSE temp_med END AS temp_med, prec_tot
 FROM (SELECT * FROM climate_old UNION SELECT ibge_code, period, temp_med, prec_tot FROM climate WHERE period >= DATE '2001-01-01')""")
 def _(ws):
-    path, keys = ws.output("tables/climate"), ["ibge_code", "period"]
-    cols = ["ibge_code", "period", "temp_med", "prec_tot"]
-    incremental.snk_upsert(ws.spark, climate_old(ws).select(*cols), path, 0, keys)
     new = st.climate(ws).where(F.col("period") >= F.lit(date(2001, 1, 1))).select(
         "ibge_code", "period", snap_round(F.col("temp_med") + 1, 6).alias("temp_med"), "prec_tot"
     )
-    return incremental.snk_upsert(ws.spark, new, path, 1, keys)
+    return incremental.snk_upsert(climate_table(ws), new)
 
 
 FACT_MONTH = f'SELECT "year", "month", count(*) AS n, {r("sum(vol_meas_water)", 3)} AS vol FROM hist GROUP BY 1, 2'
@@ -321,10 +335,25 @@ def _(ws):
     return by_month(sinks.snk_overwrite(st.hist(ws), ws.output("tables/hist_overwrite")))
 
 
-@query("snk_snapshot", FACT_MONTH)
+@query("snk_snapshot", f"""
+WITH h AS (SELECT "year", "month", vol_meas_water AS v, CASE WHEN "month" <= 3 THEN 2 ELSE 1 END * vol_meas_water AS w FROM hist)
+SELECT "year", "month", count(*) AS n, {r("sum(v)", 3)} AS vol, {r("sum(w)", 3)} AS vol_changed, {r("sum(v)", 3)} AS vol_restored FROM h GROUP BY 1, 2""")
 def _(ws):
-    sinks.snk_overwrite(st.hist(ws), ws.output("tables/hist_live"))
-    return by_month(sinks.snk_snapshot(ws.spark, ws.output("tables/hist_live"), ws.output("tables/hist_bkp")))
+    """A snapshot, a change of the first three months of each year, and the table restored."""
+    keys = ["category", "category_code", "office", "territory", "size_class", "year", "month"]
+    rows = st.hist(ws).withColumn("period", F.make_date("year", "month", F.lit(1)))
+    table = table_of(ws, "hist", "period", [c for c in rows.columns if c in keys or rows.schema[c].dataType.typeName() == "string"])
+    table.upsert(rows)
+    before = sinks.snk_snapshot(table, "before")
+    table.upsert(rows.where("month <= 3").withColumn("vol_meas_water", F.col("vol_meas_water") * 2))
+    changed = table.read()
+    table.restore("before")
+
+    def vol(df, name):
+        return df.groupBy("year", "month").agg(F.sum("vol_meas_water").alias(name))
+
+    found = by_month(before).join(vol(changed, "vol_changed"), ["year", "month"]).join(vol(table.read(), "vol_restored"), ["year", "month"])
+    return out(found, 3)
 
 
 @query("snk_csv", BASE_CHECK)
@@ -389,9 +418,38 @@ def _(ws):
     return covariates.dq_range({"climate": st.climate(ws), "jobs": st.jobs(ws), "price_index": st.price_index(ws), "tariff": st.tariff(ws)})
 
 
+LEAST_DAYS = 28
+#: Deliveries of daily readings: the days up to the 10th, all days of all points, all days of the points that are complete.
+DELIVERIES = ("first", "all", "complete")
+
+
 @query("dq_failrate", f"""
-SELECT count(*) AS points, count(*) FILTER (n < 28) AS failures, count(*) FILTER (n < 28) <= {C.max_fail_rate} * greatest(count(*), 1) AS may_write
-FROM (SELECT ibge_code, count(T2M) AS n FROM daily GROUP BY 1)""")
+WITH n AS (SELECT ibge_code, count(T2M) AS n FROM daily GROUP BY 1),
+gate AS (SELECT 'first' AS delivery, count(*) AS points, count(*) FILTER (n < 1) AS failures FROM (SELECT ibge_code, count(T2M) AS n FROM daily WHERE day(day) <= 10 GROUP BY 1)
+  UNION ALL SELECT 'all', count(*), count(*) FILTER (n < {LEAST_DAYS}) FROM n UNION ALL SELECT 'complete', count(*), 0 FROM n WHERE n >= {LEAST_DAYS}),
+gates AS (SELECT *, failures <= {C.max_fail_rate} * greatest(points, 1) AS may_write FROM gate),
+ok AS (SELECT bool_or(may_write) FILTER (delivery = 'first') AS a, bool_or(may_write) FILTER (delivery = 'all') AS b, bool_or(may_write) FILTER (delivery = 'complete') AS c FROM gates),
+held AS (SELECT v.delivery, x.ibge_code, x.T2M FROM (VALUES ('first'), ('all'), ('complete')) AS v(delivery), daily x JOIN n USING (ibge_code), ok
+  WHERE (a AND day(x.day) <= 10) OR (v.delivery <> 'first' AND b) OR (v.delivery = 'complete' AND c AND n.n >= {LEAST_DAYS}))
+SELECT g.delivery, points, failures, may_write, count(h.ibge_code) AS stored, count(DISTINCT h.ibge_code) AS stored_points, {r("sum(T2M)", 3)} AS stored_sum
+FROM gates g LEFT JOIN held h ON h.delivery = g.delivery GROUP BY 1, 2, 3, 4""")
 def _(ws):
-    per = daily(ws).groupBy("ibge_code").agg(F.count("T2M").alias("n"))
-    return covariates.dq_failrate(per, F.col("n") < 28, ws.params.covariates)
+    """Write, audit, publish: what each delivery's gate says, and what the published table holds after it."""
+    p = ws.params.covariates
+    rows = ws.stage("daily", lambda: daily(ws))
+    table = table_of(ws, "daily", "day", ["ibge_code", "day"])
+    complete = rows.groupBy("ibge_code").agg(F.count("T2M").alias("n")).where(F.col("n") >= LEAST_DAYS)
+    batches = {"first": (rows.where(F.dayofmonth("day") <= 10), 1), "all": (rows, LEAST_DAYS), "complete": (rows.join(complete.select("ibge_code"), "ibge_code", "left_semi"), LEAST_DAYS)}
+    found = None
+    for name in DELIVERIES:
+        batch, least = batches[name]
+        try:
+            table.upsert(batch, covariates.failing_points("ibge_code", F.col("T2M"), least, p))
+        except Refused:
+            pass  # the row below shows what is still published
+        gate = covariates.dq_failrate(batch.groupBy("ibge_code").agg(F.count("T2M").alias("n")), F.col("n") < least, p)
+        now = table.read()
+        held = (now if now is not None else rows.limit(0)).agg(F.count("*").alias("stored"), F.countDistinct("ibge_code").alias("stored_points"), F.sum("T2M").alias("stored_sum"))
+        row = gate.crossJoin(held).select(F.lit(name).alias("delivery"), "points", "failures", "may_write", "stored", "stored_points", "stored_sum")
+        found = row if found is None else found.unionByName(row)
+    return out(found, 3)

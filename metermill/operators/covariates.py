@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -161,7 +163,20 @@ def dq_range(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def dq_failrate(results: DataFrame, failed: Column, p: CovariateParams) -> DataFrame:
-    """Gate before a write: at most 5 % of the points may fail."""
+    """Gate before a write: at most 5 % of the points may fail.
+
+    ``PublishedTable.upsert`` takes its audit from here (``failing_points``): a batch beyond the share is staged and not published.
+    """
     return results.agg(
         F.count("*").alias("points"), F.count_if(failed).alias("failures")
     ).withColumn("may_write", F.col("failures") <= F.lit(p.max_fail_rate) * F.greatest(F.col("points"), F.lit(1)))
+
+
+def failing_points(point: str, readings: Column, least: int, p: CovariateParams) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Audit of staged rows: of the batch's points, those that now have fewer than ``least`` readings fail."""
+
+    def audit(staged: DataFrame, batch: DataFrame) -> DataFrame:
+        of_batch = staged.join(batch.select(point).distinct(), point, "left_semi")
+        return dq_failrate(of_batch.groupBy(point).agg(F.count(readings).alias("_n")), F.col("_n") < least, p)
+
+    return audit

@@ -197,11 +197,24 @@ def best_models(choice: DataFrame) -> DataFrame:
 
 
 def refit_due(stored: DataFrame, current: DataFrame) -> DataFrame:
-    """One row: has the training signature changed since the stored fit?"""
-    a = stored.select(*[F.col(c).alias(f"old_{c}") for c in stored.columns])
-    j = current.crossJoin(F.broadcast(a))
-    same = (
-        (F.col("n_rows") == F.col("old_n_rows")) & (F.col("n_series") == F.col("old_n_series"))
-        & (F.abs(F.col("abs_sum") - F.col("old_abs_sum")) <= 1e-12 * F.abs("abs_sum")) & (F.col("formulas") == F.col("old_formulas"))
+    """The series whose fit is not that of today's training set, with the reason: new, gone, models or data.
+
+    Both are signatures by series (``ts_fingerprint``); the training sets are not read again, and unchanged series keep their fit.
+    """
+    marks = ["n_rows", "sum_a", "xor_a", "sum_b", "xor_b"]
+    old = stored.select(*GROUPED, *[F.col(c).alias(f"_{c}") for c in (*marks, "formulas")], F.lit(True).alias("_old"))
+    now = current.select(*GROUPED, *marks, "formulas", F.lit(True).alias("_now"))
+    same = None
+    for c in GROUPED:
+        eq = F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
+        same = eq if same is None else same & eq
+    rows = now.alias("n").join(old.alias("o"), same, "full")
+    data = None
+    for c in marks:
+        ne = F.col(c) != F.col(f"_{c}")
+        data = ne if data is None else data | ne
+    reason = (
+        F.when(F.col("_old").isNull(), "new").when(F.col("_now").isNull(), "gone").when(F.col("formulas") != F.col("_formulas"), "models").when(data, "data")
     )
-    return j.select((~same).alias("refit"))
+    keys = [F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in GROUPED]
+    return rows.select(*keys, reason.alias("reason")).where(F.col("reason").isNotNull())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
@@ -188,8 +189,15 @@ def fc_fallback(ts: DataFrame, grid: DataFrame, hist_end: date) -> DataFrame:
 
 # -- units ------------------------------------------------------------------
 
-# Candidates of the damped trend: smoothing of level and slope, damping.
+# Start of the damped trend's search: smoothing of level and slope, damping.
 ALPHAS, BETAS, PHIS = (0.1, 0.3, 0.5, 0.7, 0.9), (0.02, 0.05, 0.1), (0.8, 0.9, 0.98)
+# The search moves on whole multiples of 1 / UNIT: bounds of each parameter, and the steps (level; slope and damping) it goes through.
+UNIT = 2000
+BOUNDS = {"a": (100, 1900), "b": (20, 1000), "f": (1600, 1960)}
+STEPS = ((200, 80), (100, 40), (50, 20), (25, 10), (12, 5), (6, 2), (3, 1), (1, 1))
+MOVES = 64
+# Along the axes, and along the diagonals: level and slope trade off against each other, so the valley is slanted.
+DIRECTIONS = tuple(d for d in product((-1, 0, 1), repeat=3) if sum(map(abs, d)) in (1, 3))
 
 
 def damped_grid() -> list[tuple[int, float, float, float]]:
@@ -197,47 +205,69 @@ def damped_grid() -> list[tuple[int, float, float, float]]:
     return [(i, *g) for i, g in enumerate(grid)]
 
 
+def _damped_run(y: Column, c: Column) -> Column:
+    """Level, slope and squared error after the array ``y`` with parameters ``c`` (whole multiples); first the error, rounded."""
+    a, b, f = (c[k] / F.lit(float(UNIT)) for k in "abf")
+    start = F.struct(y[0].alias("l"), ((y[11] - y[0]) / F.lit(11.0)).alias("s"), F.lit(0.0).alias("sse"))
+
+    def step(acc: Column, x: Column) -> Column:
+        base = acc["l"] + f * acc["s"]
+        e = x - base
+        return F.struct((base + a * e).alias("l"), (f * acc["s"] + b * e).alias("s"), (acc["sse"] + e * e).alias("sse"))
+
+    end = F.aggregate(F.slice(y, F.lit(2), F.size(y) - 1), start, step)
+    return F.struct(F.round(end["sse"], 9).alias("sse"), c["i"].alias("i"), *[c[k].alias(k) for k in "abf"], end["l"].alias("l"), end["s"].alias("s"))
+
+
+def _candidates(rows: Sequence[tuple[int, int, int, int]]) -> Column:
+    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("iabf", row)]) for row in rows])
+
+
+def damped_fit(y: Column) -> Column:
+    """The damped trend of an array of logs: sse, a, b, f (multiples of 1 / UNIT), l, s.
+
+    The best point of a grid, then a compass search: of the points one step away the best replaces the centre, and where none is
+    better the step shrinks.  It never ends above the grid.  Ties go to the first candidate, and errors count to nine digits, so that
+    the search does not hang on the last bits.
+    """
+    grid = _candidates([(i, round(a * UNIT), round(b * UNIT), round(f * UNIT)) for i, a, b, f in damped_grid()])
+    start = F.array_min(F.transform(grid, lambda c: _damped_run(y, c)))
+    ways = _candidates([(i, *d) for i, d in enumerate(DIRECTIONS)])
+    wide, fine = (F.array(*[F.lit(s[k]) for s in STEPS]) for k in (0, 1))
+
+    def move(acc: Column, _: Column) -> Column:
+        at, k = acc["m"], acc["k"]
+        far = {"a": F.get(wide, k), "b": F.get(fine, k), "f": F.get(fine, k)}
+
+        def near(d: Column) -> Column:
+            bound = [F.least(F.greatest(at[n] + d[n] * far[n], F.lit(BOUNDS[n][0])), F.lit(BOUNDS[n][1])).alias(n) for n in "abf"]
+            return _damped_run(y, F.struct(d["i"].alias("i"), *bound))
+
+        def chosen(best: Column) -> Column:
+            better = best["sse"] < at["sse"]
+            return F.struct(F.when(better, best).otherwise(at).alias("m"), F.when(better, k).otherwise(k + 1).alias("k"))
+
+        # the list of one lets the best point be named once and used twice
+        moved = F.transform(F.array(F.array_min(F.transform(ways, near))), chosen)[0]
+        return F.when(k < len(STEPS), moved).otherwise(acc)
+
+    first = F.struct(start.alias("m"), F.lit(0).alias("k"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MOVES)), first, move)["m"]
+
+
 def fc_damped(levels: DataFrame, keys: Sequence[str], value: str, first: date, last: date, min_obs: int) -> DataFrame:
     """Damped additive trend on the log of a monthly total, per key.
 
-    The months of a key travel as one short array; every candidate runs over it
-    inside the row and the smallest squared error wins, so nothing is shuffled
-    per candidate.  The mean forecast adds half the variance of the log.
+    The months of a key travel as one short array and its parameters are searched inside the row (``damped_fit``), so nothing is
+    shuffled per candidate.  The mean forecast adds half the variance of the log.
     """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("period", F.ln(value).alias("y")))), lambda s: s["y"])
     rows = levels.groupBy(*keys).agg(ordered.alias("y"), F.max("period").alias("end"))
     rows = rows.where(F.size("y") >= min_obs)
-    cands = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(f).alias("f"))
-            for i, a, b, f in damped_grid()
-        ]
-    )
-    y = F.col("y")
-
-    def run(c: Column) -> Column:
-        start = F.struct(
-            y[0].alias("l"), ((y[11] - y[0]) / F.lit(11.0)).alias("s"), F.lit(0.0).alias("sse")
-        )
-
-        def step(acc: Column, x: Column) -> Column:
-            base = acc["l"] + c["f"] * acc["s"]
-            e = x - base
-            return F.struct(
-                (base + c["a"] * e).alias("l"), (c["f"] * acc["s"] + c["b"] * e).alias("s"),
-                (acc["sse"] + e * e).alias("sse"),
-            )
-
-        end = F.aggregate(F.slice(y, F.lit(2), F.size(y) - 1), start, step)
-        return F.struct(
-            F.round(end["sse"], 9).alias("sse"), c["i"].alias("i"), end["l"].alias("l"), end["s"].alias("s"),
-            c["a"].alias("a"), c["b"].alias("b"), c["f"].alias("f"),
-        )
-
-    best = rows.select(*keys, "end", F.size("y").alias("n"), F.array_min(F.transform(cands, run)).alias("m"))
+    best = rows.select(*keys, "end", F.size("y").alias("n"), damped_fit(F.col("y")).alias("m"))
     fut = future_grid(best, [*keys, "end", "n", "m"], first, last)
     h = (month_index("period") - month_index("end")).cast("double")
-    a, b, f = F.col("m.a"), F.col("m.b"), F.col("m.f")
+    a, b, f = (F.col(f"m.{k}") / F.lit(float(UNIT)) for k in "abf")
     damp = f * (1 - F.pow(f, h)) / (1 - f)
     mu = F.col("m.l") + F.col("m.s") * damp
     # variance of the h-step error: 1 + sum of (a + b (f + .. + f^j))^2, j < h
@@ -247,7 +277,7 @@ def fc_damped(levels: DataFrame, keys: Sequence[str], value: str, first: date, l
     )
     sigma2 = F.col("m.sse") / (F.col("n") - 1)
     return fut.select(
-        *keys, "period", F.col("m.i").alias("candidate"), (F.exp(mu) * (1 + sigma2 * (1 + psi) / 2)).alias("forecast")
+        *keys, "period", a.alias("alpha"), b.alias("beta"), f.alias("phi"), (F.exp(mu) * (1 + sigma2 * (1 + psi) / 2)).alias("forecast")
     )
 
 

@@ -79,27 +79,42 @@ def prj_null_drop(base: DataFrame, target: str) -> DataFrame:
     return base.where(F.col(vol).isNotNull() & F.col(units).isNotNull() & (F.col(units) > 0))
 
 
+# Cleaning: months on each side of a local level, rounds of reweighting, and the remainders beyond which a month has no weight, in
+# median absolute remainders.
+SIDE, REWEIGHTS, REACH = 6, 2, 6.0
+
+
 def ts_clean(df: DataFrame, key: str, value: str, out: str, inside: Column, treat: bool) -> DataFrame:
     """Robust cleaning of one monthly column of each key, where ``inside``.
 
-    Non-positive values are missing; with fewer than four points nothing else
-    happens.  On the log scale a centred mean is the trend and the median of
-    each calendar month the season (from 25 months on); a remainder outside
-    Q1 - 3 IQR .. Q3 + 3 IQR is missing too.  Missing points come from the
+    Non-positive values are missing; with fewer than four points nothing else happens.  On the log scale the series is split into
+    trend, season and remainder, iteratively reweighted.  The first trend is a window median, which outliers do not move while they
+    are a minority of its window; the season is the median of each calendar month (from 25 months on).  Then each round weighs the
+    months by the bisquare of their remainder, so that what looks like an outlier has no part in the next trend, and its neighbours
+    are not dragged along.  A remainder outside Q1 - 3 IQR .. Q3 + 3 IQR is missing in the end.  Missing points come from the
     neighbours, season put aside.  Every window shares the key's partition.
     """
     x = F.when(F.col(value) > 0, F.col(value))
     w = Window.partitionBy(key, "_in")
     wt = w.orderBy("period")
+    near = wt.rowsBetween(-SIDE, SIDE)
+    month = Window.partitionBy(key, "_in", F.month("period"))
+    half = F.lit(0.5)
     t = month_index("period").cast("double")
     df = df.withColumns({"_in": F.coalesce(inside, F.lit(False)), "_x": x, "_t": t})
     df = df.withColumns({"_n": F.count("*").over(w), "_obs": F.count("_x").over(w), "_l": F.ln("_x")})
     df = df.withColumn("_f", interpolate("_l", wt, "_t"))
-    df = df.withColumn("_d", F.when(F.col("_l").isNotNull(), F.col("_l") - F.avg("_f").over(wt.rowsBetween(-6, 6))))
-    month = Window.partitionBy(key, "_in", F.month("period"))
-    season = F.when(F.col("_n") >= 25, F.coalesce(F.percentile("_d", F.lit(0.5)).over(month), F.lit(0.0))).otherwise(0.0)
-    df = df.withColumn("_s", season)
-    df = df.withColumn("_r", F.col("_d") - F.col("_s"))
+    df = df.withColumn("_tr", F.percentile("_f", half).over(near))
+    for k in range(REWEIGHTS + 1):
+        df = df.withColumn("_d", F.col("_l") - F.col("_tr"))
+        df = df.withColumn("_s", F.when(F.col("_n") >= 25, F.coalesce(F.percentile("_d", half).over(month), F.lit(0.0))).otherwise(0.0))
+        df = df.withColumn("_r", F.col("_d") - F.col("_s"))
+        if k == REWEIGHTS:
+            break
+        df = df.withColumn("_u", F.abs("_r") / (REACH * F.percentile(F.abs("_r"), half).over(w) + 1e-9))
+        df = df.withColumn("_w", F.when(F.col("_u") < 1, F.pow(1 - F.col("_u") * F.col("_u"), F.lit(2.0))).otherwise(0.0))
+        level = F.sum(F.col("_w") * (F.col("_f") - F.col("_s"))).over(near)
+        df = df.withColumn("_tr", F.coalesce(F.try_divide(level, F.sum("_w").over(near)), F.col("_tr")))
     if treat:
         q1, q3 = F.percentile("_r", F.lit(0.25)).over(w), F.percentile("_r", F.lit(0.75)).over(w)
         df = df.withColumns({"_q1": q1, "_q3": q3})
@@ -303,17 +318,48 @@ def ts_impute_hist(ts: DataFrame, hist_end: date, max_run: int) -> DataFrame:
     )
 
 
-def ts_fingerprint(train: DataFrame, formulas: dict[str, str]) -> DataFrame:
-    """Signature of a training set and its models; a refit is due when it
-    differs from the stored one."""
-    numbers = [f.name for f in train.schema.fields if f.dataType.typeName() in ("double", "long", "integer")]
-    total = sum(F.coalesce(F.abs(F.col(c).cast("double")), F.lit(0.0)) for c in numbers)
+# Separator inside the text of a row, the mark of NULL, and the modulus of the sums.
+UNIT_SEPARATOR, NULL_MARK, MODULUS = "\x1f", "\x1e", 1 << 60
+HASHES = ("a", "b")
+
+
+def row_text(df: DataFrame, digits: int) -> Column:
+    """All columns of a row as one text; numbers with so many decimals, as sums of doubles differ beyond them from run to run."""
+    cells = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if f.dataType.typeName() in ("double", "float", "decimal"):
+            c = F.round(c.try_cast(f"decimal(38,{digits + 4})"), digits).cast(f"decimal(38,{digits})")
+        cells.append(F.coalesce(c.cast("string"), F.lit(NULL_MARK)))
+    return F.concat_ws(UNIT_SEPARATOR, *cells)
+
+
+def ts_fingerprint(train: DataFrame, formulas: dict[str, str], digits: int = 4) -> DataFrame:
+    """Signature of each series of a training set, and of its models.
+
+    A series is a multiset of rows.  Each row has two hashes (60 bits each of the MD5 of its text, key and month included), and the
+    series keeps their sums and their exclusive ors.  Any changed, moved, lost or repeated row shows, whatever the order, and the
+    signatures of parts merge (``merge_fingerprints``), so one pass with map-side combination is enough.
+    """
     text = " | ".join(f"{k}: {v}" for k, v in sorted(formulas.items()))
-    return train.agg(
-        F.count("*").alias("n_rows"),
-        F.countDistinct(*GROUPED).alias("n_series"),
-        F.sum(total).alias("abs_sum"),
-    ).withColumn("formulas", F.lit(text))
+    digest = F.md5(row_text(train, digits).cast("binary"))
+    hashed = [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("long").alias(f"_{h}") for i, h in enumerate(HASHES)]
+    rows = train.select(*GROUPED, *hashed)
+    return rows.groupBy(*GROUPED).agg(F.lit(1).cast("long").alias("n_series"), F.count("*").alias("n_rows"), *_hash_sums("_{}", "_{}")).withColumn("formulas", F.lit(text))
+
+
+def _hash_sums(sums: str, xors: str) -> list[Column]:
+    out = []
+    for h in HASHES:
+        total = F.pmod(F.sum(F.col(sums.format(h)).cast("decimal(20,0)")), F.lit(MODULUS).cast("decimal(20,0)"))
+        out += [total.cast("long").alias(f"sum_{h}"), F.bit_xor(xors.format(h)).alias(f"xor_{h}")]
+    return out
+
+
+def merge_fingerprints(fingerprints: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Signature of each group of series: the same as of all their rows at once."""
+    counts = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_series", "n_rows")]
+    return fingerprints.groupBy(*by).agg(*counts, *_hash_sums("sum_{}", "xor_{}"), F.max("formulas").alias("formulas"))
 
 
 def win_filldir(rows: DataFrame, cols: Sequence[str]) -> DataFrame:

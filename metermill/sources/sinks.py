@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.numeric import nan_to_null
+from .published import PublishedTable
 from .values import relation
 
 
@@ -26,10 +27,10 @@ def snk_overwrite(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def snk_snapshot(spark: SparkSession, path: str, backup: str) -> DataFrame:
-    """Copy of a table as it is before a change."""
-    spark.read.parquet(path).write.mode("overwrite").parquet(backup)
-    return spark.read.parquet(backup)
+def snk_snapshot(table: PublishedTable, name: str) -> DataFrame:
+    """A published table as it is before a change, by a copy of its manifest; ``table.restore(name)`` brings it back."""
+    table.snapshot(name)
+    return table.read_snapshot(name)
 
 
 def csv_ready(df: DataFrame) -> DataFrame:

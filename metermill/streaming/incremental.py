@@ -3,40 +3,35 @@ few months again and upserts; nothing here is a stream."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import DataFrame, functions as F
 
 from ..params import CovariateParams
+from ..sources.published import PublishedTable
 
 
-def src_watermark(table: DataFrame, points: DataFrame, first_ever, p: CovariateParams) -> DataFrame:
-    """Where each point starts to read: a few months before the last stored
-    month, or the whole history for a point the table does not know."""
-    last = table.agg(F.max("period").alias("_last"))
-    known = table.select("ibge_code").distinct().withColumn("_known", F.lit(True))
+def src_watermark(state: DataFrame | None, points: DataFrame, first_ever, p: CovariateParams) -> DataFrame:
+    """Where each point starts to read: a few months before the last stored month, or the whole history for a point the table
+    does not know.
+
+    ``state`` (point, last) is what the published table keeps of each point (``PublishedTable.watermarks``), moved on by every
+    batch from the batch alone; the stored readings are not scanned.  None: nothing is published yet.
+    """
+    if state is None:
+        return points.withColumn("read_from", F.lit(first_ever))
+    last = state.agg(F.max("last").alias("_last"))
+    known = state.select(F.col("point").alias("ibge_code")).withColumn("_known", F.lit(True))
     rows = points.join(known, "ibge_code", "left").crossJoin(F.broadcast(last))
     back = F.add_months(F.col("_last"), -p.reread_months)
     start = F.when(F.col("_known") & F.col("_last").isNotNull(), back).otherwise(F.lit(first_ever))
     return rows.withColumn("read_from", start).drop("_known", "_last")
 
 
-def merge_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Old and new rows, the new one where both have the key."""
-    both = old.withColumn("_rank", F.lit(1)).unionByName(new.withColumn("_rank", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_rank")
-    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_rank")
-
-
-def snk_upsert(spark: SparkSession, new: DataFrame, path: str, version: int, keys: Sequence[str]) -> DataFrame:
-    """MERGE without a table format: version n + 1 is written beside version n,
-    so a failed job leaves the stored table as it was."""
-    target = f"{path}/v{version}"
-    old = spark.read.parquet(f"{path}/v{version - 1}") if version > 0 else None
-    rows = merge_rows(old, new, keys) if old is not None else new
-    rows.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+def snk_upsert(table: PublishedTable, new: DataFrame, audit: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """MERGE without a table format: the next version of the table, its untouched months by their old files."""
+    table.upsert(new, audit)
+    return table.read()
 
 
 def set_subset(known: DataFrame, table: DataFrame, key: str) -> DataFrame:

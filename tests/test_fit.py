@@ -68,6 +68,42 @@ def test_damped_trend_follows_growth(spark):
     assert ("c", month(40)) not in got
 
 
+def planted(a, b, f, n=60):
+    """A flat log series with one shock: from then on its path shows the three parameters, without noise."""
+    level, slope, y = 5.0, 0.0, [5.0]
+    for i in range(n - 1):
+        e = 0.5 if i == 12 else 0.0
+        base = level + f * slope
+        y.append(base + e)
+        level, slope = base + a * e, f * slope + b * e
+    return y
+
+
+def squared_error(y, a, b, f):
+    level, slope, total = y[0], (y[11] - y[0]) / 11, 0.0
+    for x in y[1:]:
+        base = level + f * slope
+        e = x - base
+        level, slope, total = base + a * e, f * slope + b * e, total + e * e
+    return total
+
+
+def test_damped_trend_finds_parameters_off_the_grid(spark):
+    rng = np.random.default_rng(8)
+    truth = [(float(rng.uniform(0.1, 0.9)), float(rng.uniform(0.02, 0.4)), float(rng.uniform(0.81, 0.97))) for _ in range(12)]
+    noisy = [[float(v) for v in 4 + np.cumsum(rng.normal(0.01, 0.03, 50))] for _ in range(12)]
+    series = [planted(*t) for t in truth] + noisy
+    df = spark.createDataFrame([(i, y) for i, y in enumerate(series)], "i int, y array<double>")
+    got = {r.i: r.m for r in df.select("i", fcs.damped_fit(F.col("y")).alias("m")).collect()}
+    grid = [g for _, *g in fcs.damped_grid()]
+    for i, y in enumerate(series):
+        m = got[i]
+        found = tuple(v / fcs.UNIT for v in (m.a, m.b, m.f))
+        if i < len(truth):
+            assert np.abs(np.array(found) - truth[i]).max() <= 0.01
+        assert m.sse <= min(squared_error(y, *g) for g in grid) + 1e-9 and m.sse == pytest.approx(squared_error(y, *found), abs=2e-9)
+
+
 def test_every_history_from_the_minimum_on_is_fitted():
     rng = np.random.default_rng(5)
     for n in range(reg.MIN_MONTHS, 44):
