@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import divergence, lines, lm, minhash, mixing, pieces, pseudonyms, quality, syncmers, tokens, toxicity, whitening
+from . import article, divergence, lines, lm, minhash, mixing, pieces, pseudonyms, quality, syncmers, tokens, toxicity, whitening
 from .shared import documents
 
 
@@ -94,3 +94,8 @@ ORACLES["op12_divergence"] = divergence.ORACLE
 @query
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(documents(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return article.extract(documents(spark, sf_dir, "pages"))
