@@ -33,8 +33,9 @@ from .shared import prepare, stored
 from .text import LOWER, as_array, flat, slices
 
 MIN_DOCS, TOP, UNIT = 3, 200, 1_000_000_000
-#: Bytes of text that a task counts at once (a longer text at once, too), cells of a block of the dense matrix, rows of a result batch.
-CHUNK, CELLS, ROWS = 8 << 20, 1 << 20, 50_000
+#: Bytes of text that a task counts at once (a longer text at once, too), cells of a block of the dense matrix, rows of a result batch, kept
+#: rows of a part that sums sources.
+CHUNK, CELLS, ROWS, PART_ROWS = 8 << 20, 1 << 20, 50_000, 250_000
 
 #: Bytes of terms: ASCII letters, and all bytes of characters beyond ASCII.
 TERM = np.zeros(256, bool)
@@ -218,9 +219,8 @@ class _Sums:
 
 def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item (another source of the language), value (f summed over the language's kept terms)."""
-    spark = kept.sparkSession
-    prepare(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prepare(kept.sparkSession)
+    parts = 1 + kept.count() // PART_ROWS  # from the stored table's footers: what the parts hand on grows with the rows, not with the cluster
     dealt = groups.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "lang", F.lit("").alias("term"), "source", F.col("total").alias("n"), "terms")
     dealt = dealt.unionByName(kept.select(F.pmod(F.xxhash64("lang", "term"), F.lit(parts)).cast("int").alias("part"), "lang", "term", "source", "n", F.lit(0).cast("long").alias("terms")))
     dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "lang", "term", "source")
