@@ -168,37 +168,38 @@ class Lattice:
 
 
 class Memo:
-    """Encodings by input hash, kept from batch to batch in a worker; starts anew beyond ``most`` inputs."""
+    """Encodings by the input's bytes, kept from batch to batch in a worker; starts anew beyond ``most`` inputs or ``most_bytes`` of them."""
 
-    def __init__(self, most: int = 600_000):
-        self.most = most
+    def __init__(self, most: int = 600_000, most_bytes: int = 64 << 20):
+        self.most, self.most_bytes = most, most_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.flat, self.ptr = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.used = self.key_bytes = 0
 
-    def missing(self, hashes: np.ndarray) -> np.ndarray:
-        """Indices of the hashes it doesn't know; after it forgot everything, all of them."""
-        if len(self.slot) + len(hashes) > self.most:
+    def missing(self, keys: list[bytes]) -> np.ndarray:
+        """Indices of the inputs it doesn't know; after it forgot everything, all of them."""
+        if len(self.slot) + len(keys) > self.most or self.key_bytes > self.most_bytes:
             self.clear()
-        return np.array([i for i, h in enumerate(hashes.tolist()) if h not in self.slot], np.int64)
+        return np.array([i for i, k in enumerate(keys) if k not in self.slot], np.int64)
 
-    def add(self, hashes: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
+    def add(self, keys: list[bytes], flat: np.ndarray, counts: np.ndarray) -> None:
         n, first = len(self.slot), self.used
         while first + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(hashes) + 1 > len(self.ptr):
+        while n + len(keys) + 1 > len(self.ptr):
             self.ptr = np.concatenate([self.ptr, np.zeros_like(self.ptr)])
         self.flat[first : first + len(flat)] = flat
-        self.ptr[n : n + len(hashes) + 1] = first + np.concatenate([[0], np.cumsum(counts)])
+        self.ptr[n : n + len(keys) + 1] = first + np.concatenate([[0], np.cumsum(counts)])
         self.used = first + len(flat)
-        self.slot.update(zip(hashes.tolist(), range(n, n + len(hashes)), strict=True))
+        self.key_bytes += sum(map(len, keys))
+        self.slot.update(zip(keys, range(n, n + len(keys)), strict=True))
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Where each begins in ``flat``, and its length."""
-        at = np.fromiter((self.slot[h] for h in hashes.tolist()), np.int64, len(hashes))
+        at = np.fromiter((self.slot[k] for k in keys), np.int64, len(keys))
         return self.ptr[at], self.ptr[at + 1] - self.ptr[at]
 
 

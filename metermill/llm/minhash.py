@@ -5,13 +5,16 @@ empty bin copies a filled one along a fixed random probe sequence (optimal densi
 are bucket keys.  Texts with the same shingle set are one node from then on, so copies cost nothing.
 
 In a bucket one member, the hub, is paired with the others: a star, not all pairs.  Pairs are confirmed on the full sets of
-both texts.  Hubs are the members that share most buckets, so copies around one original settle at once.  A link can also
-join two members s and t of a star o that the hub does not reach.  Then either they have something in common outside o, and
-meet again in the bucket of (o, that shingle); or all they share lies in o, at most min(|s & o|, |t & o|) shingles, and
-sizes tell which few pairs that can be.  In those second buckets rounds of stars follow: members are labelled with the
-components found so far, and where labels differ further hubs outside the largest label, four times as many each round, are paired
-with members of other labels, until each such member has been a hub.  So every pair of a bucket is compared, has one label
-already, or cannot be similar enough.
+both texts.  Hubs are the members that share most buckets, so copies around one original settle at once.
+
+A link can also join two members of a star that the hub does not reach.  Where a star is left with several components, its members meet
+once more, by an exact prefix filter on their whole sets.  Shingles are ordered by how many of these members have them, rarest first.
+Sets of a and b shingles (a <= b) with similarity t share t (a + b) / (1 + t) shingles or more, so they share one of their first few: for
+the smaller one the first a - 2 t a / (1 + t) + 1, for the larger one hardly more if the sizes are near each other, which is why sizes
+meet by classes.  An edited copy's own shingles are the rarest and fill these few places, so copies of one original do not meet each
+other on what all of them have; and where two meet, the places at which they do bound what they can share.  Pairs that are left are
+confirmed like the others.  No link between members of a bucket is lost, and nothing here grows with the square of a group of copies
+that are edited apart.
 
 Two sets with similarity 0.8 share a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.999997.
 
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .graph import components
 from .shared import of_row, packed, prepare, stored, unpacked
@@ -114,8 +117,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
 
 
 def compared(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (hub, node) with the sizes of their full shingle sets (n_hub, n_node), of the intersection (inter), a key of the
-    hub's set (star), and the node's shingles that the hub lacks (outside)."""
+    """The pairs (hub, node) with the sizes of their full shingle sets (n_hub, n_node) and of the intersection (inter)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,17 +125,15 @@ def compared(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
                 coded = pa.chunked_array([part.column("text_hub"), part.column("text_node")]).dictionary_encode()
                 hub, node = (c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks)
                 sets = shingle_sets(coded.chunks[-1].dictionary, shingle)
-                sizes, keys = np.array([len(s) for s in sets], np.int64), np.array([s.sum(dtype=U) for s in sets], U).view(np.int64)
-                outside = [np.setdiff1d(sets[y], sets[x], assume_unique=True) for x, y in zip(hub, node, strict=True)]
-                extra = np.array([len(x) for x in outside], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(extra)]).astype(np.int32)), pa.array(np.concatenate([*outside, np.zeros(0, U)]).view(np.int64)))
-                cols = [part.column("hub"), part.column("node"), pa.array(sizes[hub]), pa.array(sizes[node]), pa.array(sizes[node] - extra), pa.array(keys[hub]), lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["hub", "node", "n_hub", "n_node", "inter", "star", "outside"])
+                sizes = np.array([len(s) for s in sets], np.int64)
+                inter = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(hub, node, strict=True)], np.int64)
+                cols = [part.column("hub"), part.column("node"), pa.array(sizes[hub]), pa.array(sizes[node]), pa.array(inter)]
+                yield pa.RecordBatch.from_arrays(cols, names=["hub", "node", "n_hub", "n_node", "inter"])
 
     t_hub = texts.select(F.col("node").alias("hub"), F.col("mh_text").alias("text_hub"))
     t_node = texts.select("node", F.col("mh_text").alias("text_node"))
     rows = pairs.join(t_node, "node").join(t_hub, "hub").select("hub", "node", "text_hub", "text_node")
-    return rows.mapInArrow(run, "hub long, node long, n_hub long, n_node long, inter long, star long, outside array<long>")
+    return rows.mapInArrow(run, "hub long, node long, n_hub long, n_node long, inter long")
 
 
 def _linked(rows: DataFrame, threshold: int) -> DataFrame:
@@ -163,72 +163,62 @@ def _relabelled(labels: DataFrame, new: DataFrame) -> DataFrame:
     return stored(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels", True)
 
 
-def _reaches(m: Column, n_a: Column, n_b: Column, threshold: int) -> Column:
-    """Whether sets of these sizes with at most m common elements can be similar enough."""
-    return 100 * m >= threshold * (F.greatest(n_a, m) + F.greatest(n_b, m) - m)
-
-
 def links(members: DataFrame, texts: DataFrame, shingle: int, threshold: int = THRESHOLD) -> DataFrame:
     """node and label (the smallest node of its component) of all members."""
-    score = members.select("node", "score").distinct()
     hubs = members.groupBy("bucket").agg(F.max_by("node", F.struct("score", F.negative("node"))).alias("hub"))
     pairs = stored(members.join(hubs, "bucket").filter("node <> hub").select("hub", "node").distinct(), "pairs", True)
-    first = stored(compared(pairs, texts, shingle), "compared")
-    checked = pairs.select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
+    first = stored(compared(pairs, texts, shingle), "compared", True)
     labels = stored(members.select("node").distinct().withColumn("label", F.col("node")), "labels", True)
     labels = _relabelled(labels, stored(_linked(first, threshold), "links", True))
 
-    # what a star still has to settle: all its rows where labels differ
-    rows = first.join(labels, "node").join(labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub")
-    several = rows.groupBy("star", "hub").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("n_node").alias("smallest")).filter("a < b").select("star", "hub", "smallest")
-    rows = stored(rows.join(several, ["star", "hub"]), "unsettled")
-
-    # pairs that have nothing in common outside the hub: only what both share with the hub counts, so one of them must be small
-    near = rows.filter("label <> hub_label").filter(_reaches(F.col("inter"), F.col("n_node"), F.col("smallest"), threshold))
-    near = near.select("star", "hub", F.col("node").alias("s"), F.col("n_node").alias("n_s"), F.col("inter").alias("inter_s"), F.col("label").alias("label_s"))
-    small = rows.select("star", "hub", "node", "n_node", "inter", "label").join(near, ["star", "hub"])
-    small = small.filter(F.col("label") != F.col("label_s")).filter(_reaches(F.least("inter", "inter_s"), F.col("n_node"), F.col("n_s"), threshold))
-    small = stored(small.select(F.least("s", "node").alias("u"), F.greatest("s", "node").alias("v")).distinct().join(checked, ["u", "v"], "left_anti"), "small", True)
-    found = _linked(compared(small.select(F.col("u").alias("hub"), F.col("v").alias("node")), texts, shingle), threshold)
-    labels, checked = _relabelled(labels, stored(found, "links", True)), checked.unionByName(small)
-
-    # pairs with a common shingle outside the hub meet in the bucket of that shingle
-    out = rows.select("star", "hub", "node", "n_node", "inter", "label", "smallest", F.explode("outside").alias("h"))
-    kept = out.groupBy("star", "hub", "h").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("star", "hub", "h")
-    out = stored(out.join(kept, ["star", "hub", "h"]), "outside")
-    able = out.groupBy("star", "hub", "node", "n_node", "inter", "smallest").agg(F.count(F.lit(1)).alias("extra"))
-    able = able.withColumn("most", F.col("inter") + F.col("extra")).filter(_reaches(F.col("most"), F.col("n_node"), F.col("smallest"), threshold))
-    open_ = out.select("star", "hub", "h", "node").join(able.select("star", "hub", "node", "n_node", "most"), ["star", "hub", "node"])
-    open_ = open_.select(F.xxhash64("star", "hub", "h").alias("bucket"), "node", F.col("n_node").alias("n"), "most")
-    return _settled(open_.join(score, "node"), labels, checked, texts, shingle, threshold)
-
-
-def _settled(open_: DataFrame, labels: DataFrame, checked: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """Labels after rounds of stars in buckets (bucket, node, n, most: the most elements it can share, score)."""
-    hubs_each = 2
-    open_ = stored(open_.join(labels, "node").withColumn("served", F.lit(False)), "open", True)
-    while True:
-        by_label = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("in_label"))
-        largest = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("in_label", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("bucket", "largest")
-        able = open_.filter("not served").join(largest, "bucket").filter("label <> largest")
-        hubs = stored(
-            able.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(hubs_each)).alias("part"))
-            .agg(F.max_by(F.struct("node", "label", "n", "most"), F.struct("score", F.negative("node"))).alias("hub"))
-            .select("bucket", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "label", "n", "most")]),
-            "hubs",
-            True,
-        )
-        if not hubs.limit(1).count():
-            return labels
-        could = _reaches(F.least("most", "hub_most"), F.col("n"), F.col("hub_n"), threshold)
-        pairs = open_.join(hubs, "bucket").filter(F.col("label") != F.col("hub_label")).filter(could)
-        pairs = stored(pairs.select(F.least("hub_node", "node").alias("u"), F.greatest("hub_node", "node").alias("v")).distinct().join(checked, ["u", "v"], "left_anti"), "pairs", True)
-        new = stored(_linked(compared(pairs.select(F.col("u").alias("hub"), F.col("v").alias("node")), texts, shingle), threshold), "links", True)
-        checked, labels = checked.unionByName(pairs), _relabelled(labels, new)
-        now = hubs.select("bucket", F.col("hub_node").alias("node"), F.lit(True).alias("now")).distinct()
-        left = open_.join(largest.select("bucket"), "bucket", "left_semi").drop("label").join(labels, "node").join(now, ["bucket", "node"], "left")
-        open_ = stored(left.withColumn("served", F.col("served") | F.col("now").isNotNull()).select(*open_.columns), "open", True)
-        hubs_each *= 4
+    # stars that are left with several components
+    star = first.join(labels, "node").select("hub", "node", "label")
+    several = star.groupBy("hub").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("hub")
+    left = stored(star.join(several, "hub").select("node").distinct().join(labels, "node"), "left", True)
+    checked = pairs.select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v"))
+    more = stored(_candidates(left, texts, shingle, threshold).join(checked, ["u", "v"], "left_anti"), "candidates", True)
+    found = _linked(compared(more.select(F.col("u").alias("hub"), F.col("v").alias("node")), texts, shingle), threshold)
+    return _relabelled(labels, stored(found, "links", True))
+
+
+#: Sizes of one class differ by this factor at most.
+CLASS = 1.05
+
+
+def _candidates(nodes: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """u < v of all pairs of ``nodes`` (node, label) with different labels that can have the similarity: an exact prefix filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "mh_text"):
+                sets = shingle_sets(part.column("mh_text"), shingle)
+                n = np.array([len(s) for s in sets], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate([*sets, np.zeros(0, U)]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(n), lists], names=["node", "n", "h"])
+
+    def needed(a: str, b: str) -> str:
+        """Shingles that sets of these sizes must share."""
+        return f"ceil({threshold} * ({a} + {b}) / {100 + threshold}bd)"
+
+    sets = texts.join(nodes.select("node"), "node", "left_semi").select("node", "mh_text").mapInArrow(run, "node long, n long, h array<long>")
+    each = stored(sets.select("node", "n", F.explode("h").alias("h")), "shingles")
+    shared = each.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    of_node = Window.partitionBy("node")
+    # a set's own shingles are in no other set and take the first places
+    place = F.row_number().over(of_node.orderBy("times", "h")) + F.col("n") - F.count(F.lit(1)).over(of_node)
+    rows = each.join(shared, "h").withColumn("place", place).filter(f"place <= n - ceil({threshold} * n / 100bd) + 1")
+    size_class = f"cast(floor(ln({{}}) / ln({CLASS}d)) as int)"
+    rows = stored(rows.join(nodes, "node").select("h", "node", "label", "n", "place"), "prefixes")
+    smaller = rows.filter(f"place <= n - {needed('n', 'n')} + 1").withColumn("class", F.expr(size_class.format("n")))
+    least = f"ceil({threshold} * n / 100bd)"
+    larger = rows.withColumn("class", F.explode(F.expr(f"sequence({size_class.format(least)}, {size_class.format('n')})")))
+    larger = larger.filter(f"place <= n - {needed(f'greatest({least}, floor(pow({CLASS}d, class)))', 'n')} + 1")
+    smaller = smaller.select("h", "class", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "place")])
+    larger = larger.select("h", "class", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "place")])
+    # what two sets can share from the place on at which they meet first
+    reach = f"1 + least(n_a - place_a, n_b - place_b) >= {needed('n_a', 'n_b')}"
+    meet = smaller.join(larger, ["h", "class"]).filter("label_a <> label_b and (n_a < n_b or n_a = n_b and node_a < node_b)").filter(f"100 * n_a >= {threshold} * n_b").filter(reach)
+    return meet.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = THRESHOLD) -> DataFrame:

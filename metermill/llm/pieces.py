@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .merges import Lattice, Memo, runs
 from .shared import prepare, without
-from .text import U, mixed, powers, slices
+from .text import slices, span_codes
 
 BLANK = "▁"
 codecs.register_error("each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
@@ -130,18 +130,16 @@ class Transducer:
         cut[heads[sizes > 0]] = True
         at = np.flatnonzero(cut)
         stop = np.append(at[1:], len(codes))
-        base, inverse = powers(len(codes))
-        sums = np.zeros(len(codes) + 1, U)
-        np.cumsum((codes.astype(U) + U(1)) * base[: len(codes)], out=sums[1:])
-        h = mixed((sums[stop] - sums[at]) * inverse[at] + (stop - at).astype(U))
-        distinct, where, which = np.unique(h, return_index=True, return_inverse=True)
-        new = self.memo.missing(distinct)
+        which, spans = span_codes(codes.view(np.uint8), 4 * at, 4 * stop)
+        keys = spans.to_pylist()
+        new = self.memo.missing(keys)
         if len(new):
-            a, b = at[where[new]], stop[where[new]]
-            symbols = self.symbol[np.where(blank, ord(BLANK), codes)[runs(a, b - a)]]
-            ids, counts = self._ids(*self.lattice.encode(symbols, np.concatenate([[0], np.cumsum(b - a)])))
-            self.memo.add(distinct[new], ids.astype(np.int32), counts)
-        first, length = self.memo.find(distinct)
+            some = [keys[i] for i in new.tolist()]
+            inputs = np.frombuffer(b"".join(some), np.uint32)
+            symbols = self.symbol[np.where(inputs == 0x20, ord(BLANK), inputs)]
+            ids, counts = self._ids(*self.lattice.encode(symbols, np.concatenate([[0], np.cumsum([len(k) // 4 for k in some])])))
+            self.memo.add(some, ids.astype(np.int32), counts)
+        first, length = self.memo.find(keys)
         each = length[which]
         flat = self.memo.flat[runs(first[which], each)]
         owner = np.searchsorted(np.cumsum(sizes), at, "right")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import packed, prepare, stored, unpacked
-from .text import U, Words, mixed, repeated, slices
+from .text import Words, joint_codes, repeated, slices, span_codes
 
 #: Most labelled rows that a list is learned from.
 SAMPLE = 20_000
@@ -57,16 +57,15 @@ def count_stats(texts: pa.Array) -> dict[str, np.ndarray]:
     w = Words(texts)
     texts_n, n_words = len(w.ptr) - 1, w.count()
     of, starts, ends = w.lines()
-    salt = mixed(np.arange(texts_n, dtype=U) + U(7))
     again = np.zeros(texts_n, np.int64)
     if len(of):
-        line = w.span_hash(starts, ends) ^ salt[of]
+        line = joint_codes([span_codes(w.data, starts, ends)[0], of])
         order = np.argsort(line, kind="stable")
         later = order[1:][line[order][1:] == line[order][:-1]]
         again = np.bincount(of[later], minlength=texts_n)
-    at, key = w.windows(3)
+    at, word = w.window_starts(3), w.codes()
     covered = np.zeros(len(w) + 3, np.int64)
-    hit = at[repeated(key ^ salt[w.text_of_word()[at]])] if len(at) else at
+    hit = at[repeated(joint_codes([word[at], word[at + 1], word[at + 2], w.text_of_word()[at]]))] if len(at) else at
     np.add.at(covered, hit, 1)
     np.add.at(covered, hit + 3, -1)
     inside = np.cumsum(covered)[: len(w)] > 0

@@ -18,20 +18,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, up to n."""
-    if "base" not in _powers or len(_powers["base"]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        for name, b in (("base", _BASE), ("inverse", _INVERSE)):
-            step = np.full(size, b, U)
-            step[0] = 1
-            _powers[name] = np.cumprod(step)
-    return _powers["base"], _powers["inverse"]
+#: Keeps the first 0 .. 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], U)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -41,6 +29,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans; equal bytes, equal hash, wherever they stand.
+
+    A span is cut into words of eight bytes.  Each is mixed with its place in the span, and the sum is mixed again with the length: no
+    polynomial, whose powers of two make whole families of strings collide.
+    """
+    if not len(starts):
+        return np.zeros(0, U)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    size = ends - starts
+    blocks = np.maximum((size + 7) >> 3, 1)
+    first = np.cumsum(blocks) - blocks
+    of = np.repeat(np.arange(len(starts)), blocks)
+    place = np.arange(len(of)) - first[of]
+    x = words[starts[of] + 8 * place] & _FIRST[np.minimum(size[of] - 8 * place, 8)]
+    x = mixed(x ^ mixed((place.astype(U) + U(1)) * U(0x9E3779B97F4A7C15)))
+    return mixed(np.add.reduceat(x, first) + mixed(size.astype(U) ^ U(0xD6E8FEB86659FD93)))
+
+
+def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of byte spans, the same for equal bytes alone (Arrow compares the bytes), and the distinct spans by number."""
+    size = (ends - starts).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    taken = data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], size)] if len(size) else data[:0]
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(taken))]).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def joint_codes(codes: list[np.ndarray]) -> np.ndarray:
+    """One number for each row of several columns of numbers, the same for equal rows alone."""
+    out = codes[0]
+    for more in codes[1:]:
+        span = int(more.max(initial=0)) + 1
+        if int(out.max(initial=0)) >= (1 << 62) // span:
+            out = np.unique(out, return_inverse=True)[1]
+        out = out * span + more
+    return out
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the n + 1 offsets; null is empty."""
     texts = texts.cast(pa.large_string())
@@ -89,7 +117,6 @@ class Words:
         self.inside = inside
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.ptr = np.searchsorted(self.starts, self.offs)
-        self._sums: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -101,12 +128,7 @@ class Words:
         return np.repeat(np.arange(len(self.ptr) - 1), self.count())
 
     def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte spans; equal bytes, equal hash, wherever they stand."""
-        base, inverse = powers(len(self.data))
-        if self._sums is None:
-            self._sums = np.zeros(len(self.data) + 1, U)
-            np.cumsum((self.data.astype(U) + U(1)) * base[: len(self.data)], out=self._sums[1:])
-        return mixed((self._sums[ends] - self._sums[starts]) * inverse[starts] + (ends - starts).astype(U))
+        return span_hash(self.data, starts, ends)
 
     def hashes(self) -> np.ndarray:
         return self.span_hash(self.starts, self.ends)
@@ -117,18 +139,24 @@ class Words:
         np.cumsum(marks, out=sums[1:])
         return sums[self.offs[1:]] - sums[self.offs[:-1]]
 
+    def codes(self) -> np.ndarray:
+        """Numbers of the words, the same for equal words alone."""
+        return span_codes(self.data, self.starts, self.ends)[0]
+
     def windows(self, k: int, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of each window of k words that lies in one text."""
         h = self.hashes() if h is None else h
-        if len(h) < k:
-            return np.zeros(0, np.int64), np.zeros(0, U)
-        of = self.text_of_word()
-        at = np.flatnonzero(of[: len(of) - k + 1] == of[k - 1 :])
+        at = self.window_starts(k)
         key = np.zeros(len(at), U)
         for j in range(k):
             key = mixed(key * U(31) + h[at + j])
         return at, key
 
+    def window_starts(self, k: int) -> np.ndarray:
+        """First word of each window of k words that lies in one text."""
+        of = self.text_of_word()
+        return np.flatnonzero(of[: len(of) - k + 1] == of[k - 1 :]) if len(of) >= k else np.zeros(0, np.int64)
+
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, start and end of each line with a word."""
         n = len(self.data)

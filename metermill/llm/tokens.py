@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .merges import Lattice, Memo
 from .shared import prepare, without
-from .text import U, mixed, powers, slices
+from .text import slices, span_codes
 
 CHUNK = 128
 
@@ -170,18 +170,16 @@ class Counter:
         at = np.flatnonzero(begins(classes))
         owner = np.searchsorted(ends, at, "right")
         stop = np.minimum(np.append(at[1:], len(codes)), ends[owner] - 1)
-        base, inverse = powers(len(codes))
-        sums = np.zeros(len(codes) + 1, U)
-        np.cumsum((codes.astype(U) + U(1)) * base[: len(codes)], out=sums[1:])
-        h = mixed((sums[stop] - sums[at]) * inverse[at] + (stop - at).astype(U))
-        distinct, where, which = np.unique(h, return_index=True, return_inverse=True)
-        new = self.memo.missing(distinct)
+        which, spans = span_codes(codes.view(np.uint8), 4 * at, 4 * stop)
+        keys = spans.to_pylist()
+        new = self.memo.missing(keys)
         if len(new):
-            words = [whole[a:b].encode() for a, b in zip(at[where[new]].tolist(), stop[where[new]].tolist(), strict=True)]
+            some = [keys[i] for i in new.tolist()]
+            words = [k.decode("utf-32-le").encode() for k in some]
             ptr = np.concatenate([[0], np.cumsum([len(w) for w in words])])
             _, counts = self.lattice.encode(np.frombuffer(b"".join(words), np.uint8).astype(np.int64), ptr)
-            self.memo.add(distinct[new], counts.astype(np.int32), np.ones(len(new), np.int64))
-        starts, _ = self.memo.find(distinct)
+            self.memo.add(some, counts.astype(np.int32), np.ones(len(new), np.int64))
+        starts, _ = self.memo.find(keys)
         each = self.memo.flat[starts][which]
         return extra + np.bincount(np.array(of)[owner], each, len(texts)).astype(np.int64)
 
