@@ -221,7 +221,7 @@ def _(ws):
 def decision(ws):
     def make():
         comb = ev.acc_at(ev.sel_combined(judged(ws), choice(ws), BY), ()).where(F.col("scenario") == BT.select_scenario)
-        return ev.sel_decision(choice(ws), comb, ws.params.backtest, "med_agua")
+        return ev.sel_decision(choice(ws), comb, ws.params.backtest, ws.params.backtest.target)
 
     return ws.stage("decision", make)
 
@@ -237,21 +237,6 @@ USING (category_detail), t""")
 DEC = ["value", "best_value", "benchmark_value", "tolerance", "mape_combined", "wape_combined", "bias_combined"]
 
 
-@query("sel_decision", f"SELECT * REPLACE ({', '.join(r(c, 5) + f' AS {c}' for c in DEC)}) FROM decision")
-def _(ws):
-    return out(decision(ws), 5)
-
-
-SRC_DEC = f"""
-SELECT segment, t.target, c.category_detail, coalesce(a.grouping, b.grouping, {lit(P.projection.default_choice[0])}) AS grouping,
-  coalesce(a.model, b.model, {lit(P.projection.default_choice[1])}) AS model,
-  CASE WHEN a.model IS NOT NULL THEN 'backtest' WHEN b.model IS NOT NULL THEN 'backtest (' || t.sibling || ')' ELSE 'padrão' END AS source, 'consumo/economia' AS model_kind
-FROM (SELECT DISTINCT category_detail FROM mbase) c CROSS JOIN {values("t", "target, sibling", [(t, rules.MEASURED_SIBLING.get(t, t)) for t in rules.TARGETS])}
-CROSS JOIN (SELECT {lit(BT.segment)} AS segment) s
-LEFT JOIN (SELECT target, category_detail, grouping, model FROM decision WHERE category_detail <> 'Industrial') a ON a.target = t.target AND a.category_detail = c.category_detail
-LEFT JOIN (SELECT target, category_detail, grouping, model FROM decision WHERE category_detail <> 'Industrial') b ON b.target = t.sibling AND b.category_detail = c.category_detail"""
-
-
 def choices(ws):
     from metermill.sources import landing
 
@@ -260,23 +245,6 @@ def choices(ws):
     return landing.src_decision(ws.spark, dec, cats, ws.params.backtest.segment, ws.params.projection)
 
 
-@query("src_decision", SRC_DEC)
-def _(ws):
-    return choices(ws)
-
-
-@query("jn_override", SRC_DEC.replace("SELECT segment", "SELECT * REPLACE (CASE WHEN category_detail = 'Pública' AND target = 'med_esg' THEN 'G2_superintendencia' ELSE grouping END AS grouping, CASE WHEN category_detail = 'Pública' AND target = 'med_esg' THEN 'vol_arima_2' ELSE model END AS model, CASE WHEN category_detail = 'Pública' AND target = 'med_esg' THEN 'manual' ELSE source END AS source, CASE WHEN category_detail = 'Pública' AND target = 'med_esg' THEN 'volume' ELSE model_kind END AS model_kind) FROM (SELECT segment", 1) + ")")
-def _(ws):
-    from dataclasses import replace
-
-    from metermill.sources import landing
-
-    manual = ((ws.params.backtest.segment, "med_esg", "Pública", "G2_superintendencia", "vol_arima_2"),
-              (ws.params.backtest.segment, "med_esg", "Inexistente", "G2_superintendencia", "arima_0"))
-    p = replace(ws.params.projection, manual_choice=manual)
-    return landing.jn_override(choices(ws), landing.manual_choices(ws.spark, p))
-
-
 # -- cells' summaries -------------------------------------------------------
 
 

@@ -205,7 +205,7 @@ def _(ws):
 
 
 @query("agg_outlier_summary", f"""
-SELECT CASE WHEN period <= {lit(TRAIN)} THEN 'treino' ELSE 'teste_projecao' END AS "window", {r("avg(CASE WHEN outlier THEN 1.0 ELSE 0.0 END)", 6)} AS share_adjusted,
+SELECT CASE WHEN period <= {lit(TRAIN)} THEN 'train' ELSE 'test' END AS "window", {r("avg(CASE WHEN outlier THEN 1.0 ELSE 0.0 END)", 6)} AS share_adjusted,
   {r("sum(vol_adj) / nullif(sum(vol), 0) - 1", 6)} AS volume_change FROM keys1 GROUP BY 1""")
 def _(ws):
     return out(series.agg_outlier_summary(st.key_rows(ws), st.train_end(ws)), 6)

@@ -193,7 +193,13 @@ def pinfo(ws):
 
 
 def plain_choice(ws):
-    return choices(ws).where("target = 'med_agua'")
+    """Choices of the workspace's own target: a part of the run reads those of all parts, the merged segment has its own."""
+    b = ws.params.backtest
+    if ws.whole is ws:
+        return choices(ws).where(F.col("target") == b.target)
+    from .q_parts import part_choices
+
+    return part_choices(ws.whole).where((F.col("segment") == b.segment) & (F.col("target") == b.target))
 
 
 def proj(ws):
@@ -230,7 +236,9 @@ def real(ws):
 
 
 def monthly(ws):
-    return ws.stage("monthly_plain", lambda: pj.agg_mensal(proj(ws), real(ws), SCENS, ws.params.backtest.segment, "med_agua"))
+    """Monthly result of the workspace's segment and target."""
+    b = ws.params.backtest
+    return ws.stage("monthly_plain", lambda: pj.agg_mensal(proj(ws), real(ws), SCENS, b.segment, b.target))
 
 
 cte("month_result", f"""
@@ -242,11 +250,6 @@ SELECT {lit(BT.segment)} AS segment, 'med_agua' AS target, scenario, region_adj,
 MD = ", ".join(r(c, 4) + f" AS {c}" for c in pj.MEASURES)
 
 
-@query("agg_mensal", f"SELECT segment, target, scenario, region_adj, category_detail, territory, period, kind, {MD}, {r('vol / nullif(units, 0)', 4)} AS consumption FROM month_result")
-def _(ws):
-    return out(pj.agg_mensal(proj(ws), real(ws), SCENS, ws.params.backtest.segment, "med_agua"))
-
-
 def _annual(level, dims):
     dd = "".join(f"{c}, " for c in dims)
     cols = ", ".join(c if c in dims else f"CAST(NULL AS VARCHAR) AS {c}" for c in ("region_adj", "category_detail"))
@@ -260,14 +263,9 @@ def _annual(level, dims):
 cte("annual0", " UNION ALL ".join(_annual(k, v) for k, v in (("total", ()), ("categoria", ("category_detail",)), ("superintendencia", ("region_adj",)))))
 YW = 'OVER (PARTITION BY segment, target, scenario, level, region_adj, category_detail ORDER BY "year")'
 AD = ["vol", "vol_eps_low", "vol_eps_high", "vol_units_trend", "units_mean", "units_trend_mean", "consumption_mean"]
-ANNUAL = f"""SELECT segment, target, scenario, level, region_adj, category_detail, "year", projected_months, {", ".join(r(c, 4) + f" AS {c}" for c in AD)},
+ANNUAL_COLUMNS = f"""SELECT segment, target, scenario, level, region_adj, category_detail, "year", projected_months, {", ".join(r(c, 4) + f" AS {c}" for c in AD)},
   {r(f"vol / nullif(lag(vol) {YW}, 0) - 1", 6)} AS var_vol, {r(f"units_mean / nullif(lag(units_mean) {YW}, 0) - 1", 6)} AS var_units,
-  {r(f"consumption_mean / nullif(lag(consumption_mean) {YW}, 0) - 1", 6)} AS var_consumption FROM annual0"""
-
-
-@query("agg_annual", ANNUAL)
-def _(ws):
-    return out(pj.agg_annual(monthly(ws)), var_vol=6, var_units=6, var_consumption=6)
+  {r(f"consumption_mean / nullif(lag(consumption_mean) {YW}, 0) - 1", 6)} AS var_consumption FROM"""
 
 
 @query("win_yoy", f"""
@@ -278,13 +276,6 @@ def _(ws):
     return out(pj.win_yoy(g, ["category_detail"], {"vol": "var_vol"}), 6, vol=4)
 
 
-@query("agg_imputed_share", f"""
-SELECT segment, target, scenario, period, {r("sum(CASE WHEN kind = 'IMPUTADO' THEN vol ELSE 0 END) / nullif(sum(vol), 0)", 6)} AS imputed_share, {r("sum(vol)", 4)} AS vol
-FROM month_result WHERE kind <> 'PROJ' GROUP BY 1, 2, 3, 4""")
-def _(ws):
-    return out(pj.agg_imputed_share(monthly(ws)), 6, vol=4)
-
-
 @query("sc_apply", f"""
 SELECT {K5}, period, 'el_nino' AS scenario, {r(f"temp_med + CASE WHEN {{on}} THEN {PJ.intensity} * coalesce(temp_anom, 0) ELSE 0 END".replace("{on}", f"period BETWEEN {lit(P.backtest.cut)} AND DATE '2001-04-01'"), 4)} AS temp_med,
   {r(f"prec_tot * CASE WHEN {{on}} THEN pow(coalesce(prec_ratio, 1), {PJ.intensity}) ELSE 1 END".replace("{on}", f"period BETWEEN {lit(P.backtest.cut)} AND DATE '2001-04-01'"), 4)} AS prec_tot, {r("jobs", 2)} AS jobs

@@ -5,6 +5,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from metermill import rules
 from metermill.functions.dates import PT_MONTHS, month_index
 from metermill.functions.numeric import snap_round
 from metermill.operators import accounts, covariates
@@ -85,16 +86,21 @@ def _(ws):
     return landing.src_survey(ws.spark, land_json(ws, "survey", rows))
 
 
-cte("daily", f"""
-SELECT CAST(user_id AS VARCHAR) AS ibge_code, CAST(ts AS DATE) AS day,
-  CASE WHEN min(event_id) % 29 = 0 THEN NULL ELSE {r("CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / count(*)", 4)} END AS T2M,
-  CASE WHEN min(event_id) % 31 = 0 THEN NULL ELSE {r("CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / count(*) / 10", 4)} END AS PRECTOTCORR
-FROM events GROUP BY 1, 2""")
+def daily_sql():
+    mean, high, low = ("CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / count(*)", "CAST(max(CAST(value AS DECIMAL(12,2))) AS DOUBLE)", "CAST(min(CAST(value AS DECIMAL(12,2))) AS DOUBLE)")
+    cells = {
+        "T2M": (97, mean), "T2M_MAX": (101, high), "T2M_MIN": (103, low), "PRECTOTCORR": (107, f"{mean} / 10"), "RH2M": (109, f"100 - {low} / 10"),
+        "T2MDEW": (113, f"{mean} - 5"), "WS2M": (127, f"({high} - {low}) / 20"),
+    }
+    return ", ".join(f"CASE WHEN min(event_id) % {k} = 0 THEN NULL ELSE {r(e, 4)} END AS {name}" for name, (k, e) in cells.items())
+
+
+cte("daily", f"SELECT CAST(user_id AS VARCHAR) AS ibge_code, CAST(ts AS DATE) AS day, {daily_sql()} FROM events GROUP BY 1, 2")
 
 
 def daily(ws):
     path = land_json(ws, "daily", src.climate_daily(ws.spark, ws.source))
-    return landing.src_daily(ws.spark, path, ["T2M", "PRECTOTCORR"], ws.params.covariates)
+    return landing.src_daily(ws.spark, path, ws.params.covariates)
 
 
 @query("src_daily", "SELECT * FROM daily")
@@ -103,11 +109,11 @@ def _(ws):
 
 
 @query("agg_climate_month", f"""
-SELECT * FROM (SELECT ibge_code, CAST(date_trunc('month', day) AS DATE) AS period, {r("avg(T2M)", 4)} AS temp_med, {r("avg(PRECTOTCORR)", 4)} AS prec_tot,
-  least(count(T2M), count(PRECTOTCORR)) AS valid_days FROM daily GROUP BY 1, 2)
+SELECT * FROM (SELECT ibge_code, CAST(date_trunc('month', day) AS DATE) AS period, {", ".join(f"{r(f'avg({v})', 4)} AS {n}" for v, n in rules.CLIMATE.items())},
+  least({", ".join(f"count({v})" for v in rules.CLIMATE)}) AS valid_days FROM daily GROUP BY 1, 2)
 WHERE valid_days >= ceil({C.min_coverage} * day(last_day(period))) AND period < {lit(C.current_month)}""")
 def _(ws):
-    return out(covariates.agg_climate_month(daily(ws), {"T2M": "temp_med", "PRECTOTCORR": "prec_tot"}, ws.params.covariates))
+    return out(covariates.agg_climate_month(daily(ws), rules.CLIMATE, ws.params.covariates))
 
 
 cte("jobs_cells", f"""
@@ -247,32 +253,52 @@ SELECT strptime(periodo || '01', '%Y%m%d')::DATE AS period, regiao AS ext_region
 FROM ext_raw WHERE tp = 'PROJ' GROUP BY 1, 2, 3""")
 
 
-def ext_raw(ws):
+def ext_cells(ws):
     g = st.stage4(ws).groupBy("period", "category_detail", "municipality", "region").agg(
         F.sum("vol_meas_water").alias("vol_med_agua"), (F.sum("units_water") * 1.1).alias("econ_agua")
     )
     social = F.col("category_detail").startswith("Residencial Social")
-    rows = g.select(
+    return g.select(
         F.when(F.col("period") >= F.lit(date(2001, 1, 1)), "PROJ").otherwise("REAL").alias("tp"),
         F.date_format("period", "yyyyMM").alias("periodo"),
         F.when(social, "RESIDENCIAL SOCIAL").otherwise(F.col("category_detail")).alias("categoria"),
         F.when(F.col("municipality") == ws.params.grouping.capital, "M").otherwise(F.col("region")).alias("regiao"),
         "vol_med_agua", "econ_agua",
-    ).unpivot(["tp", "periodo", "categoria", "regiao"], ["vol_med_agua", "econ_agua"], "var", "valor")
-    path = ws.output("landing/external")
-    rows.write.mode("overwrite").option("header", True).csv(path)
-    from metermill import schemas
+    )
+
+
+def landed_csv(ws, name, df):
+    path = ws.output(f"landing/{name}")
+    df.write.mode("overwrite").option("header", True).csv(path)
+    return ws.spark.read.option("header", True).csv(path)
+
+
+def ext_raw(ws):
+    return landed_csv(ws, "external", ext_cells(ws).unpivot(["tp", "periodo", "categoria", "regiao"], ["vol_med_agua", "econ_agua"], "var", "valor"))
+
 
-    return ws.spark.read.schema(schemas.EXTERNAL_RAW).option("header", True).csv(path)
+def ext_paired(ws):
+    """The same forecast with volume and units side by side, under the other names, dates as days."""
+    day = F.concat_ws("-", F.substring("periodo", 1, 4), F.substring("periodo", 5, 2), F.lit("01"))
+    return landed_csv(ws, "external_paired", ext_cells(ws).select(
+        day.alias("Periodo"), F.col("regiao").alias("cd_regiao_adj"), F.col("categoria").alias("categoria_detalhe"), F.col("econ_agua").alias("n_economias"),
+        F.col("vol_med_agua").alias("vol_med"), F.col("tp").alias("TP"),
+    ))
 
 
 def external(ws):
     return ws.stage("external", lambda: landing.src_extforecast(ext_raw(ws)))
 
 
-@query("src_extforecast", f"SELECT * {rounded(['vol', 'units'])} FROM ext")
+@query("src_extforecast", f"""
+SELECT * {rounded(['vol', 'units'])} FROM ext CROSS JOIN (VALUES ('raw'), ('paired')) AS l(layout)""")
 def _(ws):
-    return out(landing.src_extforecast(ext_raw(ws)))
+    """Both layouts of one forecast give the same rows."""
+    rows = None
+    for layout, sheet in (("raw", ext_raw(ws)), ("paired", ext_paired(ws))):
+        found = landing.src_extforecast(sheet).select(F.lit(layout).alias("layout"), "*")
+        rows = found if rows is None else rows.unionByName(found)
+    return out(rows)
 
 
 # -- increments and sinks ---------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from metermill.params import driver_scale
 from metermill.sources.values import literal as lit
@@ -48,6 +49,40 @@ def _needs(sql: str) -> list[str]:
     return seen
 
 
+def clone(tag: str, given: dict[str, str], wanted: Sequence[str]) -> None:
+    """Register <name>__<tag> for every expression in ``wanted`` and what it needs, where that depends on one of ``given``.
+
+    ``given`` are the texts that differ in this copy; they may name other expressions, which are copied as well if they are touched.
+    """
+    touched: dict[str, bool] = {name: True for name in given}
+
+    def depends(name: str) -> bool:
+        if name not in touched:
+            touched[name] = False  # a recursive expression names itself
+            touched[name] = any([depends(n) for n in _needs(CTES[name])])
+        return touched[name]
+
+    def visit(name: str) -> None:
+        if f"{name}__{tag}" in CTES:
+            return
+        text = given.get(name, CTES[name])
+        needs = [n for n in _needs(text) if n == name or depends(n)]
+        CTES[f"{name}__{tag}"] = _renamed(text, needs, tag)
+        for n in needs:
+            visit(n)
+
+    for name in wanted:
+        visit(name)
+
+
+def _renamed(text: str, names: Sequence[str], tag: str) -> str:
+    if not names:
+        return text
+    pattern = re.compile(r"(?<![\w.])(" + "|".join(map(re.escape, names)) + r")(?!\w)")
+    parts = re.split(r"('(?:[^']|'')*')", text)  # string literals stay
+    return "".join(t if i % 2 else pattern.sub(rf"\1__{tag}", t) for i, t in enumerate(parts))
+
+
 def build(sql: str) -> str:
     """WITH <every CTE the text needs, dependencies first> <text>."""
     order: list[str] = []

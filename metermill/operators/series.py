@@ -193,7 +193,7 @@ def peak_list(peaked: DataFrame) -> DataFrame:
 
 
 def agg_outlier_summary(keys: DataFrame, clean_to: date) -> DataFrame:
-    window = F.when(F.col("period") <= F.lit(clean_to), "treino").otherwise("teste_projecao")
+    window = F.when(F.col("period") <= F.lit(clean_to), "train").otherwise("test")
     return keys.groupBy(window.alias("window")).agg(
         F.avg(F.col("outlier").cast("double")).alias("share_adjusted"),
         (ratio(F.sum("vol_adj"), F.sum("vol")) - 1).alias("volume_change"),

@@ -65,6 +65,10 @@ class Workspace:
                 self._parts[key].whole = self.whole
             return self._parts[key]
 
+    def has(self, name: str) -> bool:
+        with self._lock:
+            return name in self._built
+
     def stage(self, name: str, build: Callable[[], DataFrame], bucket_by: str | None = None) -> DataFrame:
         """The stage's table, built on first use."""
         with self._lock:

@@ -230,3 +230,8 @@ ELASTICITY_LEVELS = {
     "superintendencia": ("region_adj",),
     "categoria_recorte": ("category_detail", "territory"),
 }
+
+# fixed values: variables of the daily climate provider and the names of their monthly means
+CLIMATE = {
+    "T2M": "temp_med", "T2M_MAX": "temp_max", "T2M_MIN": "temp_min", "PRECTOTCORR": "prec_tot", "RH2M": "humidity", "T2MDEW": "dew_point", "WS2M": "wind_speed",
+}

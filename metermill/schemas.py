@@ -15,7 +15,7 @@ PRICE_INDEX_ALT_RAW = "D3C string, V string"
 SURVEY_RAW = (
     "Indicador string, Data string, DataReferencia string, Media double, Mediana double, baseCalculo int"
 )
-CLIMATE_DAILY_RAW = "cd_ibge string, day string, T2M double, PRECTOTCORR double"
+CLIMATE_DAILY_RAW = "cd_ibge string, day string, T2M double, T2M_MAX double, T2M_MIN double, PRECTOTCORR double, RH2M double, T2MDEW double, WS2M double"
 BASE = (
     "series_key string, region string, municipality string, ibge_code string, office int, category string, "
     "category_detail string, territory string, size_class string, abc_class string, period date, "
@@ -27,7 +27,6 @@ BASE = (
 )
 BASE_ALIASES = {"irt_real": "real_tariff"}
 BASE_OPTIONAL = ["size_class"]
-EXTERNAL_RAW = "tp string, periodo string, categoria string, regiao string, var string, valor double"
 DECISION = "segment string, target string, category_detail string, grouping string, model string"
 
 # Keys

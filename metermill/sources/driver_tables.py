@@ -264,15 +264,23 @@ def price_index_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Daily variables of the test tables: where -999 stands for no value (event id modulo), digits, and the value from the day's events.
+def daily_variables() -> dict[str, tuple[int, int, Column]]:
+    value = F.col("value").cast("decimal(12,2)")
+    mean = F.sum(value).cast("double") / F.count("*")
+    high, low = F.max(value).cast("double"), F.min(value).cast("double")
+    return {
+        "T2M": (97, 4, mean), "T2M_MAX": (101, 4, high), "T2M_MIN": (103, 4, low), "PRECTOTCORR": (107, 4, mean / 10),
+        "RH2M": (109, 4, 100 - low / 10), "T2MDEW": (113, 4, mean - 5), "WS2M": (127, 4, (high - low) / 20),
+    }
+
+
 def climate_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station readings per day, -999 where a variable is missing."""
     e = read(spark, sf_dir, "events")
-    value = F.sum(F.col("value").cast("decimal(12,2)")).cast("double")
     first = F.min("event_id")
-    return e.groupBy(F.col("user_id").cast("string").alias("cd_ibge"), F.date_format("ts", "yyyyMMdd").alias("day")).agg(
-        F.when(first % 29 == 0, -999.0).otherwise(snap_round(value / F.count("*"), 4)).alias("T2M"),
-        F.when(first % 31 == 0, -999.0).otherwise(snap_round(value / F.count("*") / 10, 4)).alias("PRECTOTCORR"),
-    )
+    cells = [F.when(first % k == 0, -999.0).otherwise(snap_round(v, digits)).alias(name) for name, (k, digits, v) in daily_variables().items()]
+    return e.groupBy(F.col("user_id").cast("string").alias("cd_ibge"), F.date_format("ts", "yyyyMMdd").alias("day")).agg(*cells)
 
 
 def new_connections(spark: SparkSession, sf_dir: str) -> DataFrame:

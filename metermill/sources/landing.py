@@ -11,7 +11,7 @@ from .. import schemas
 from ..functions.dates import parse_period, parse_pt_month
 from ..functions.text import normalise_name
 from ..params import CovariateParams, ProjectionParams
-from ..rules import MEASURED_SIBLING, TARGETS, VOLUME_MODELS
+from ..rules import CLIMATE, MEASURED_SIBLING, TARGETS, VOLUME_MODELS
 from .values import relation
 
 MISSING_MARKS = ("...", "-", "")  # fixed values: how the second provider writes "no value"
@@ -62,8 +62,8 @@ def src_survey(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def src_daily(spark: SparkSession, path: str, variables: Sequence[str], p: CovariateParams) -> DataFrame:
-    """Daily readings per point; fill values become NULL."""
+def src_daily(spark: SparkSession, path: str, p: CovariateParams, variables: Sequence[str] = tuple(CLIMATE)) -> DataFrame:
+    """Daily readings per point, all variables of the provider; fill values become NULL."""
     raw = spark.read.schema(schemas.CLIMATE_DAILY_RAW).json(path)
 
     def clean(c: str) -> Column:
@@ -157,13 +157,53 @@ def src_premise(sheet: DataFrame, category: str = "Residencial") -> DataFrame:
     )
 
 
-def src_extforecast(raw: DataFrame) -> DataFrame:
-    """External forecast, raw layout: projection rows if any are marked, volume
-    and units side by side."""
-    rows = raw.withColumn("period", parse_period("periodo"))
+# fixed values: columns of the external forecast.  Raw: one measure a row.  Paired: the measures of a row side by side, by these names.
+EXT_RAW = ("regiao", "categoria", "var", "valor")
+EXT_PAIRED = {"vol_med_agua": ("vol_med_agua", "vol_med", "vol"), "econ_agua": ("econ_agua", "n_economias", "economias", "econ")}
+EXT_KEYS = {"regiao": ("regiao", "cd_regiao_adj", "cd_regiao"), "categoria": ("categoria", "categoria_detalhe")}
+
+
+def ext_layout(columns: Sequence[str]) -> str:
+    """raw or paired, by the header."""
+    names = {c.strip().lower() for c in columns}
+    if set(EXT_RAW) <= names:
+        return "raw"
+    if all(names & set(v) for v in (*EXT_PAIRED.values(), *EXT_KEYS.values())):
+        return "paired"
+    raise ValueError(f"an external forecast has the columns {EXT_RAW}, or keys with volume and units, not {sorted(columns)}")
+
+
+def ext_rows(sheet: DataFrame) -> DataFrame:
+    """Either layout as raw rows: tp, periodo, categoria, regiao, var, valor (typed).
+
+    The paired layout may have several pairs of columns, one a scenario or block, told apart by a suffix (``vol_med_2``, ``n_economias_2``):
+    every pair becomes rows.  A missing ``tp`` is null; header names count without case and outer blanks.
+    """
+    by_name = {c.strip().lower(): F.col(f"`{c}`") for c in sheet.columns}
+    layout = ext_layout(sheet.columns)
+
+    def text(*names: str) -> Column:
+        found = next((by_name[n] for n in names if n in by_name), F.lit(None))
+        return found.cast("string")
+
+    ids = [text("tp").alias("tp"), text("periodo").alias("periodo"), text(*EXT_KEYS["categoria"]).alias("categoria"), text(*EXT_KEYS["regiao"]).alias("regiao")]
+    if layout == "raw":
+        return sheet.select(*ids, text("var").alias("var"), by_name["valor"].try_cast("double").alias("valor"))
+    cells = []
+    for var, aliases in EXT_PAIRED.items():
+        for name, c in by_name.items():
+            stem = name.rstrip("0123456789").rstrip("_")
+            if name in aliases or stem in aliases:
+                cells.append(F.struct(F.lit(var).alias("var"), c.try_cast("double").alias("valor")))
+    return sheet.select(*ids, F.explode(F.array(*cells)).alias("c")).select("tp", "periodo", "categoria", "regiao", "c.var", "c.valor")
+
+
+def src_extforecast(sheet: DataFrame) -> DataFrame:
+    """External forecast in either layout, recognised by its header: projection rows if any are marked, volume and units side by side."""
+    rows = ext_rows(sheet).withColumn("period", parse_period("periodo"))
     has_proj = rows.agg(F.coalesce(F.bool_or(F.col("tp") == "PROJ"), F.lit(False)).alias("_p"))
     rows = rows.crossJoin(F.broadcast(has_proj)).where(~F.col("_p") | (F.col("tp") == "PROJ"))
-    wide = rows.groupBy("period", "categoria", "regiao").pivot("var", ["vol_med_agua", "econ_agua"]).agg(F.sum("valor"))
+    wide = rows.groupBy("period", "categoria", "regiao").pivot("var", list(EXT_PAIRED)).agg(F.sum("valor"))
     return wide.select(
         "period", F.col("regiao").alias("ext_region"), F.col("categoria").alias("ext_category"),
         F.col("vol_med_agua").alias("vol"), F.col("econ_agua").alias("units"),

@@ -4,7 +4,8 @@ A version is a list of files per partition value (its manifest).  A writer stage
 it staged, and then creates the commit file of the next version.  That file is created exclusively, so of two writers that
 started from one version the second fails, and readers see the old version or the new one, never a mixture.  Files are never
 changed: a version takes over the files of partitions that its batch did not touch, a snapshot is a copy of a manifest, and
-restoring one is a commit.
+restoring one is a commit.  A writer that dies while it creates the commit file leaves an empty one: readers pass over it, later
+writers get a ``Conflict`` until it is removed by hand.
 
     data/run=<id>/<partition>=<value>/*.parquet   manifests/<id>/   state/<id>/   commits/<version>   snapshots/<name>/
 
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from .files import Files
+
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"  # how Spark names the folder of null
 
 
@@ -37,44 +40,6 @@ class Conflict(RuntimeError):
     """Another writer published first."""
 
 
-class Files:
-    """The few file system calls behind a table, on whatever file system the path names."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self._jvm = spark._jvm
-        self._root = root
-        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self._root}/{name}" if name else self._root)
-
-    def names(self, folder: str) -> list[str]:
-        at = self._path(folder)
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
-
-    def create(self, name: str, text: str) -> bool:
-        """Write a small file unless it exists; False if it does."""
-        try:
-            stream = self._fs.create(self._path(name), False)
-        except Exception as e:
-            if self._fs.exists(self._path(name)):
-                return False
-            raise e
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        return True
-
-    def text(self, name: str) -> str:
-        stream = self._fs.open(self._path(name))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def remove(self, name: str) -> None:
-        self._fs.delete(self._path(name), True)
-
-
 @dataclass(frozen=True)
 class Version:
     number: int

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.numeric import nan_to_null
+from .files import Files
 from .published import PublishedTable
 from .values import relation
 
@@ -38,14 +40,30 @@ def csv_ready(df: DataFrame) -> DataFrame:
     return df.withColumns(fixed) if fixed else df
 
 
+def csv_cell(text: str) -> str:
+    """A name as a CSV writer puts it into a header."""
+    return '"' + text.replace("\\", "\\\\").replace('"', '\\"') + '"' if any(c in text for c in ',"\n\r\\') else text
+
+
 def snk_csv(df: DataFrame, folder: str, order: Sequence[str], prefix: str = "base") -> str:
-    """Ordered CSV named after its first and last month; returns the path."""
+    """One ordered CSV file with one header, named after its first and last month; returns its path.
+
+    Spark sorts by ranges and writes one part a range; the parts become one file by the file system (``Files.join``), in the order of
+    the ranges.  No row passes through the driver.  Without rows or months the file has its header and the plain prefix.
+    """
     first, last = df.agg(
         F.date_format(F.min("period"), "yyyyMM"), F.date_format(F.max("period"), "yyyyMM")
     ).first()
-    path = f"{folder}/{prefix}_{first}-{last}.csv"
-    csv_ready(df).orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
-    return path
+    name = f"{prefix}_{first}-{last}.csv" if first else f"{prefix}.csv"
+    parts = f"parts-{uuid.uuid4().hex}"
+    ready = csv_ready(df)
+    ready.orderBy(*order).write.option("header", False).csv(f"{folder}/{parts}")
+    files = Files(df.sparkSession, folder)
+    # part-00007-...csv: the number is the place of its range
+    names = sorted((n for n in files.names(parts) if n.startswith("part-")), key=lambda n: int(n.split("-")[1]))
+    files.join([f"{parts}/{n}" for n in names], name, ",".join(map(csv_cell, ready.columns)) + "\n")
+    files.remove(parts)
+    return f"{folder}/{name}"
 
 
 def snk_sample(df: DataFrame, key: str = "series_key", percent: int = 50) -> DataFrame:
