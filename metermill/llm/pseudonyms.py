@@ -25,12 +25,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import prepare, without
 from .text import slices
 
-KEY = b"metermill pseudonyms"
+#: Setting of the session that holds the key where the caller gives none.
+KEY_SETTING = "spark.metermill.pseudonymKey"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 ROUNDS = 8
 
@@ -158,7 +159,7 @@ def _ends(text: str, kind: str, span: re.Match) -> list[int]:
 
 
 class Pseudonymizer:
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.key, self.cache = key, {}
 
     def _permute(self, kind: str, x: int, size: int, valid: Callable[[int], bool], undo: bool) -> int:
@@ -313,8 +314,21 @@ class Pseudonymizer:
         return "".join([*out, text[at:]]), spans
 
 
-def pseudonymized(docs: DataFrame, text_col: str = "text", key: bytes = KEY, undo: bool = False) -> DataFrame:
-    """``docs`` with the text rewritten and ps_spans, an array of (kind, start, end)."""
+def secret(spark: SparkSession, key: bytes | None) -> bytes:
+    """The caller's key or the session's; there is no default, as whoever has the key can undo the pseudonyms."""
+    if key is None:
+        key = spark.conf.get(KEY_SETTING, "").encode()
+    if not key:
+        raise ValueError(f"pseudonyms need a key: pass one or set {KEY_SETTING}")
+    return key
+
+
+def pseudonymized(docs: DataFrame, text_col: str = "text", key: bytes | None = None, undo: bool = False) -> DataFrame:
+    """``docs`` with the text rewritten and ps_spans, an array of (kind, start, end).
+
+    A new key is a new pseudonym for everything: to change keys, ``restored`` with the old one and run again with the new one.
+    """
+    key = secret(docs.sparkSession, key)
     prepare(docs.sparkSession)
     empty = F.lit(None).cast(SPANS).alias("ps_spans")
     known = undo and dict(docs.dtypes).get("ps_spans") == SPANS
@@ -343,7 +357,7 @@ def pseudonymized(docs: DataFrame, text_col: str = "text", key: bytes = KEY, und
     return docs.mapInArrow(run, schema)
 
 
-def restored(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def restored(docs: DataFrame, text_col: str = "text", key: bytes | None = None) -> DataFrame:
     """The texts as they were before ``pseudonymized`` with the same key.  Exact with its ps_spans; without that column the values
     are found again by form, which can fail where other digits stand next to one."""
     return pseudonymized(docs, text_col, key, undo=True).drop("ps_spans")

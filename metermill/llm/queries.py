@@ -74,7 +74,8 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pseudonyms.pseudonymized(documents(spark, sf_dir).select("doc_id", "text"))
+    # a key for test tables, in the open; real ones come from the caller or the session
+    rows = pseudonyms.pseudonymized(documents(spark, sf_dir).select("doc_id", "text"), key=b"test tables only")
     return rows.select("doc_id", F.size("ps_spans").cast("long").alias("n_found"), "text", F.col("ps_spans").alias("spans"))
 
 

@@ -9,7 +9,8 @@ from hypothesis import given, settings, strategies as st
 
 from metermill.llm import pseudonyms as ps
 
-M = ps.Pseudonymizer()
+KEY = b"key of these tests"
+M = ps.Pseudonymizer(KEY)
 
 
 @given(st.integers(1, 3000))
@@ -74,7 +75,7 @@ def test_dates_stay_dates_and_are_one_to_one():
 
 def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    out = ps.pseudonymized(docs.withColumn("start", docs.doc_id)).cache()
+    out = ps.pseudonymized(docs.withColumn("start", docs.doc_id), key=KEY).cache()
     before = {r.doc_id: r.text for r in docs.collect()}
     mails, n = {}, 0
     for r in out.collect():
@@ -86,12 +87,12 @@ def test_table(spark):
         for s in r.ps_spans:
             mails.setdefault(r.text[s.start : s.end], 0)
     assert n > 20
-    assert {r.doc_id: r.text for r in ps.restored(out.drop("start")).collect()} == before
+    assert {r.doc_id: r.text for r in ps.restored(out.drop("start"), key=KEY).collect()} == before
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None), (None, ""), (2, "8.8.8.8"), (2, "8.8.8.8")]])
 def test_odd_tables(spark, rows):
-    out = ps.pseudonymized(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    out = ps.pseudonymized(spark.createDataFrame(rows, "doc_id long, text string"), key=KEY).collect()
     assert len(out) == len(rows) and len({r.text for r in out if r.doc_id == 2}) == (1 if rows else 0)
 
 
@@ -139,8 +140,8 @@ def test_restored_by_spans(spark):
     rng = random.Random(7)
     texts = [f"{rng.randint(0, 99999)} {rng.randint(0, 999)} {card(rng)[:8]} {card(rng)} {rng.randint(0, 999)}" for _ in range(300)]
     rows = list(enumerate(texts))
-    out = ps.pseudonymized(spark.createDataFrame([*rows, (300, None)], "doc_id long, text string"))
-    assert {r.doc_id: r.text for r in ps.restored(out).collect()} == {**dict(rows), 300: None}
+    out = ps.pseudonymized(spark.createDataFrame([*rows, (300, None)], "doc_id long, text string"), key=KEY)
+    assert {r.doc_id: r.text for r in ps.restored(out, key=KEY).collect()} == {**dict(rows), 300: None}
 
 
 def test_dates_of_timestamps_and_year_first_forms():
@@ -152,3 +153,16 @@ def test_dates_of_timestamps_and_year_first_forms():
         assert M.text(got, undo=True)[0] == M.back(got, spans) == text
     for t in ("2024-03-05Text", "2024/03-05", "2024.13.05", "2024/02/30", "/2024/03/05/x"):
         assert M.text(t) == (t, [])
+
+
+def test_a_key_is_required(spark):
+    df = spark.createDataFrame([(1, "call 415-555-0123")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        ps.pseudonymized(df)
+    one, two = (ps.pseudonymized(df, key=k).first().text for k in (b"one", b"two"))
+    assert one != two
+    spark.conf.set(ps.KEY_SETTING, "one")
+    try:
+        assert ps.pseudonymized(df).first().text == one
+    finally:
+        spark.conf.unset(ps.KEY_SETTING)
