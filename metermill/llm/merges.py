@@ -170,7 +170,7 @@ class Lattice:
 class Memo:
     """Encodings by the input's bytes, kept from batch to batch in a worker; starts anew beyond ``most`` inputs or ``most_bytes`` of them."""
 
-    def __init__(self, most: int = 600_000, most_bytes: int = 64 << 20):
+    def __init__(self, most: int = 300_000, most_bytes: int = 32 << 20):
         self.most, self.most_bytes = most, most_bytes
         self.clear()
 
