@@ -209,7 +209,7 @@ def _(ws):
 
 @query("win_cumprod", f"SELECT * {rounded(['monthly', 'index'], 6)} FROM ipca_index")
 def _(ws):
-    return out(covariates.win_cumprod(src.price_index_monthly(ws.spark, ws.source)), 6)
+    return out(covariates.win_cumprod(src.price_index_monthly(st.order_months(ws))), 6)
 
 
 @query("agg_tariff", f"SELECT * {rounded(['nominal', 'index', 'real_tariff'], 6)} FROM tariff")
